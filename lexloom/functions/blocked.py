@@ -5,7 +5,11 @@ blocks of its order column: the in-block part is a window over (key, block), the
 blocks are summarised with a map-side-combined aggregate (one row per block),
 only these summaries are windowed per key, and an equi-join brings the carry
 back. A key with a third of all rows is thus spread over as many tasks as it has
-blocks. ``block=None`` gives the plain window, for keys known to be small.
+blocks. The blocked form reads its input twice.
+
+``block=None`` gives the plain window. It is the default for groups that stem
+from one text value (the headings of a document): these are bounded by the value
+itself, and a chain of such steps shares a single exchange.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def carry(
     after: bool = False,
     inclusive: bool = False,
     ties: Sequence[str] = (),
-    block: int | None = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Add, per row, the last non-null value among the rows before it.
 
@@ -73,7 +77,7 @@ def running_sum(
     out: str,
     inclusive: bool = False,
     ties: Sequence[str] = (),
-    block: int | None = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows before each row (0 for the first)."""
     keys, ties = list(keys), list(ties)
@@ -102,7 +106,7 @@ def dense_index(
     pos: str,
     out: str,
     ties: Sequence[str] = (),
-    block: int | None = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Add 0, 1, 2, … per key in the order of ``pos`` (and ``ties``)."""
     return running_sum(df, keys, pos, F.lit(1), out, ties=ties, block=block)
@@ -116,7 +120,7 @@ def asof_join(
     event_pos: str,
     cols: Sequence[str],
     event_tie: str | None = None,
-    block: int | None = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Left as-of join: the last event at or before each probe (last of equals).
 

@@ -183,7 +183,7 @@ def number_section_chunks(splits: DataFrame, source: str = "source_id") -> DataF
 
 def chunkable_index(nodes: DataFrame) -> DataFrame:
     """Position among the chunkable nodes of a document (used when a node has no number)."""
-    return dense_index(nodes, ["doc_id"], "node_ix", "chunkable_ix", block=4096)
+    return dense_index(nodes, ["doc_id"], "node_ix", "chunkable_ix")
 
 
 def breadcrumb(nodes: DataFrame, title: str = "doc_title") -> DataFrame:

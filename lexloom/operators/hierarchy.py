@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import constants as K
 from lexloom.functions.blocked import carry, dense_index
-from lexloom.functions.text import filled, lookup, present
-from lexloom.operators.structure import OFFSET_BLOCK, chapter_for_page, page_range, slice_spans
+from lexloom.functions.text import filled, lookup, present, strip, tokens
+from lexloom.operators.structure import chapter_for_page, page_range, slice_spans
+from lexloom.session import checkpointed
 
 RANKS = range(9)
 
@@ -32,7 +33,7 @@ def numbering_prefix(number: Column) -> Column:
 
 def node_id(cands: DataFrame, source: str = "doc_id") -> DataFrame:
     """Add ``node_id``: source, type and number (or the per-type index), sanitised."""
-    out = dense_index(cands, ["doc_id", "node_type"], "start_char", "__type_ix", block=OFFSET_BLOCK)
+    out = dense_index(cands, ["doc_id", "node_type"], "start_char", "__type_ix")
     label = filled(F.col("number"), F.col("__type_ix").cast("string"))
     raw = F.concat_ws("_", F.col(source).cast("string"), "node_type", label)
     return out.withColumn("node_id", F.regexp_replace(raw, r"(?U)[^\w\-]", "_")).drop("__type_ix")
@@ -50,7 +51,7 @@ def _parent(rank: Column, prefix: Column, hint: Column, open_nodes: Column) -> C
         F.when(prefix.isNotNull(), F.array_max(by_prefix)),
         F.array_max(by_rank),
         F.when(F.nullif(hint, F.lit("")).isNotNull(), F.array_max(by_hint)),
-    )["ix"]
+    )
 
 
 def build_hierarchy(cands: DataFrame) -> DataFrame:
@@ -62,14 +63,14 @@ def build_hierarchy(cands: DataFrame) -> DataFrame:
     """
     if "parent_hint" not in cands.columns:
         cands = cands.withColumn("parent_hint", F.lit(None).cast("string"))
-    nodes = dense_index(node_id(cands), ["doc_id"], "start_char", "node_ix", ties=["node_type"], block=OFFSET_BLOCK)
+    nodes = dense_index(node_id(cands), ["doc_id"], "start_char", "node_ix", ties=["node_type"])
     nodes = nodes.withColumn("node_ix", F.col("node_ix").cast("int")).withColumn("rank", rank_of(F.col("node_type")))
     entry = F.struct(
         F.col("node_ix").alias("ix"), F.col("rank").alias("rank"),
-        F.col("number").alias("number"), F.col("title").alias("title"),
+        F.col("number").alias("number"), F.col("title").alias("title"), F.col("node_id").alias("node_id"),
     )
     last = {f"__r{r}": F.when(F.col("rank") == r, entry) for r in RANKS}
-    nodes = carry(nodes, ["doc_id"], "node_ix", last, block=4096)
+    nodes = carry(nodes, ["doc_id"], "node_ix", last)
     still_open = []
     for r in RANKS:
         later = [F.col(f"__r{q}.ix") for q in range(r)]
@@ -77,12 +78,10 @@ def build_hierarchy(cands: DataFrame) -> DataFrame:
         still_open.append(F.when(~closed, F.col(f"__r{r}")))
     nodes = nodes.withColumn("__open", present(F.array(*still_open)))
     nodes = nodes.withColumn(
-        "parent_ix",
-        _parent(F.col("rank"), numbering_prefix(F.col("number")), F.col("parent_hint"), F.col("__open")),
+        "__p", _parent(F.col("rank"), numbering_prefix(F.col("number")), F.col("parent_hint"), F.col("__open"))
     )
-    nodes = nodes.drop("__open", *last)
-    ids = nodes.select("doc_id", F.col("node_ix").alias("parent_ix"), F.col("node_id").alias("parent_id"))
-    return nodes.join(ids, ["doc_id", "parent_ix"], "left")
+    nodes = nodes.withColumns({"parent_ix": F.col("__p.ix"), "parent_id": F.col("__p.node_id")})
+    return nodes.drop("__open", "__p", *last)
 
 
 def toc_titles(nodes: DataFrame, toc: DataFrame) -> DataFrame:
@@ -97,9 +96,12 @@ def tree_paths(nodes: DataFrame, levels: int = 16) -> DataFrame:
     """Add ``path``: the nodes from the root down to the node itself.
 
     Pointer doubling: each round joins a path to the path of its topmost node,
-    so 16 levels take four equi-joins. Ranks bound the depth below 11; only
-    chains of parent hints can be deeper, for which ``levels`` can be raised.
+    so 16 levels take four equi-joins over narrow rows. The rounds reuse one
+    table, which is checkpointed so that they never repeat what led to it. Ranks
+    bound the depth below 11; only chains of parent hints can be deeper, for
+    which ``levels`` can be raised.
     """
+    nodes = checkpointed(nodes)
     label = filled(F.col("number"), F.coalesce("title", F.lit("")))
     step = F.struct(F.col("node_ix").alias("ix"), F.col("node_type").alias("node_type"), label.alias("label"))
     paths = nodes.select("doc_id", "node_ix", F.array(step).alias("path"), F.col("parent_ix").alias("up"))
@@ -135,27 +137,20 @@ def ancestors(nodes: DataFrame, levels: int = 16) -> DataFrame:
 
 
 def strip_marks(c: Column) -> Column:
-    from lexloom.functions.text import strip
-
     return strip(F.regexp_replace(c, f"{K.HEADING_END}|{K.HEADING_START}", ""))
 
 
 def slice_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Add the verbatim slice and a copy without heading marks."""
-    size = docs.select("doc_id", F.length("text").cast("long").alias("__size"))
     cols = nodes.columns
-    n = nodes.join(size, "doc_id")
-    end = F.when(F.col("end_char") > F.col("start_char"), F.least("end_char", "__size")).otherwise(F.col("__size"))
-    n = n.withColumn("__end_char", F.col("end_char")).withColumn("end_char", end)
-    out = slice_spans(n, docs, "original_text")
-    out = out.withColumn("end_char", F.col("__end_char"))
+    n = nodes.withColumn("__end", F.col("end_char"))
+    if "doc_size" in cols:
+        end = F.when(F.col("end_char") > F.col("start_char"), F.least("end_char", "doc_size")).otherwise(F.col("doc_size"))
+        n = n.withColumn("end_char", end)
+    out = slice_spans(n, docs, "original_text").withColumn("end_char", F.col("__end"))
     return out.select(*cols, "original_text", strip_marks(F.col("original_text")).alias("text"))
 
 
-def with_pages(nodes: DataFrame, offsets: DataFrame) -> DataFrame:
-    return page_range(nodes, offsets)
-
-
 def section_docs(sections: DataFrame, offsets: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     """Legacy section records with provision, chapter, pages and token estimate."""
     out = page_range(sections, offsets)
@@ -163,8 +158,6 @@ def section_docs(sections: DataFrame, offsets: DataFrame, toc: DataFrame | None
         out = chapter_for_page(out, toc, page="start_page").withColumn("__toc", F.col("chapter"))
     else:
         out = out.withColumn("__toc", F.lit(None).cast("string"))
-    from lexloom.functions.text import tokens
-
     return out.select(
         "doc_id", "section_number", "section_title",
         F.concat(F.lit("Section "), "section_number").alias("provision_ref"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import constants as K
 from lexloom.functions import rules as R
-from lexloom.functions.blocked import dense_index
 from lexloom.functions.text import filled, lookup, strip
 
 
@@ -38,20 +37,18 @@ HALO = 16384  # turns per block of one session
 def _with_history(turns: DataFrame, n: int, values: dict[str, Column], block: int = HALO) -> DataFrame:
     """Per turn the latest non-null value among the ``n`` turns before it.
 
-    A session is cut into blocks of consecutive turns; each block also receives
-    the last ``n`` turns of the block before it, so a very long session is spread
-    over tasks and the row frame stays exact.
+    A session is cut into blocks of consecutive turns; the last ``n`` turns of a
+    block are also copied into the next one, so a very long session is spread over
+    tasks and the row frame stays exact. ``turn_index`` counts without gaps, as
+    ``append_turn`` numbers turns.
     """
     cols = turns.columns
-    d = dense_index(turns, ["session_id"], "turn_index", "__ix", block=block)
-    d = d.select("*", *[v.alias(f"__v_{name}") for name, v in values.items()])
-    own = d.withColumn("__blk", F.floor(F.col("__ix") / block)).withColumn("__own", F.lit(True))
-    halo = d.where(F.col("__ix") % block >= block - n).withColumn("__blk", F.floor(F.col("__ix") / block) + 1)
-    both = own.unionByName(halo.withColumn("__own", F.lit(False)))
-    w = Window.partitionBy("session_id", "__blk").orderBy("__ix").rowsBetween(-n, -1)
-    out = both.select(
-        *cols, "__own", *[F.last(f"__v_{name}", ignorenulls=True).over(w).alias(name) for name in values]
-    )
+    d = turns.select("*", *[v.alias(f"__v_{name}") for name, v in values.items()])
+    own = F.floor(F.col("turn_index") / block)
+    copied = F.when(F.col("turn_index") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    d = d.withColumn("__blk", F.explode(copied)).withColumn("__own", F.col("__blk") == own)
+    w = Window.partitionBy("session_id", "__blk").orderBy("turn_index").rowsBetween(-n, -1)
+    out = d.select(*cols, "__own", *[F.last(f"__v_{name}", ignorenulls=True).over(w).alias(name) for name in values])
     return out.where("__own").drop("__own")
 
 

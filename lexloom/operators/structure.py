@@ -16,8 +16,7 @@ from lexloom.functions import constants as K
 from lexloom.functions.blocked import asof_join, carry, running_sum
 from lexloom.functions.text import filled, strip
 
-OFFSET_BLOCK = 1 << 20  # characters per block of one document
-PAGE_BLOCK = 4096
+PAGE_BLOCK = 4096  # pages per block of one document
 PIECE = 1 << 16  # characters per text piece when spans are cut out of texts
 
 # Unicode non-characters: they cannot occur in interchanged text.
@@ -93,7 +92,7 @@ def page_range(spans: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add start_page and end_page; the later page wins a shared boundary; else 1."""
     ev = offsets.select("doc_id", F.col("start").alias("__s"), F.col("page").alias("__page"), F.col("end").alias("__end"))
     for probe, out in (("start_char", "start_page"), ("end_char", "end_page")):
-        spans = asof_join(spans, ev, ["doc_id"], probe, "__s", ["__page", "__end"], block=OFFSET_BLOCK)
+        spans = asof_join(spans, ev, ["doc_id"], probe, "__s", ["__page", "__end"])
         inside = F.col(probe) <= F.col("__end")
         spans = spans.withColumn(out, F.coalesce(F.when(inside, F.col("__page")), F.lit(1))).drop("__page", "__end")
     return spans
@@ -123,13 +122,13 @@ def body_start(toc: DataFrame) -> DataFrame:
     return toc_index(toc).groupBy("doc_id").agg(F.min("page").alias("body_page"))
 
 
-def chapter_for_page(probes: DataFrame, toc: DataFrame, page: str = "page") -> DataFrame:
-    """Add the chapter label in force on a page."""
+def chapter_for_page(probes: DataFrame, toc: DataFrame, page: str = "page", block: int | None = None) -> DataFrame:
+    """Add the chapter label in force on a page. ``block`` spreads documents with very many probes."""
     ev = toc_index(toc).select("doc_id", F.col("page").alias("__p"), "entry_ix", F.col("label").alias("chapter"))
-    return asof_join(probes, ev, ["doc_id"], page, "__p", ["chapter"], event_tie="entry_ix", block=PAGE_BLOCK)
+    return asof_join(probes, ev, ["doc_id"], page, "__p", ["chapter"], event_tie="entry_ix", block=block)
 
 
-def entry_for_page(probes: DataFrame, toc: DataFrame, page: str = "page") -> DataFrame:
+def entry_for_page(probes: DataFrame, toc: DataFrame, page: str = "page", block: int | None = None) -> DataFrame:
     """Add the contents entry (any level) in force on a page."""
     ev = toc.select(
         "doc_id", F.col("page").alias("entry_page"), "entry_ix",
@@ -137,7 +136,7 @@ def entry_for_page(probes: DataFrame, toc: DataFrame, page: str = "page") -> Dat
     )
     return asof_join(
         probes, ev, ["doc_id"], page, "entry_page", ["entry_level", "entry_title", "entry_page"],
-        event_tie="entry_ix", block=PAGE_BLOCK,
+        event_tie="entry_ix", block=block,
     )
 
 
@@ -157,34 +156,32 @@ def find_spans(docs: DataFrame, patterns, groups: int = 2) -> DataFrame:
         )
         for label, pattern in patterns
     ]
-    segs = docs.select("doc_id", F.explode(F.array(*marked)).alias("m"))
+    size_ = F.length("text").cast("long").alias("doc_size")
+    segs = docs.select("doc_id", size_, F.explode(F.array(*marked)).alias("m"))
     segs = segs.where(F.size("m.segs") > 1).select(
-        "doc_id", F.col("m.label").alias("label"), F.posexplode("m.segs").alias("seg_no", "seg")
+        "doc_id", "doc_size", F.col("m.label").alias("label"), F.posexplode("m.segs").alias("seg_no", "seg")
     )
     parts = F.split("seg", _M[2], -1)
     body = F.when(F.col("seg_no") == 0, F.col("seg")).otherwise(F.element_at(parts, -1))
     hit = F.substring_index(body, _M[3], 1)
     size = F.length(body) - F.when(F.col("seg_no") == 0, 0).otherwise(1)
     out = segs.select(
-        "doc_id", "label", "seg_no", size.cast("long").alias("seg_size"),
+        "doc_id", "doc_size", "label", "seg_no", size.cast("long").alias("seg_size"),
         F.when(F.col("seg_no") > 0, F.length(hit)).cast("long").alias("hit_size"),
         *[F.when(F.col("seg_no") > 0, F.get(parts, F.lit(i - 1))).alias(f"g{i}") for i in range(1, groups + 1)],
     )
     out = running_sum(out, ["doc_id", "label"], "seg_no", F.col("seg_size"), "start_char")
     return out.where("seg_no > 0").select(
-        "doc_id", "label", "start_char", (F.col("start_char") + F.col("hit_size")).alias("end_char"),
+        "doc_id", "doc_size", "label", "start_char", (F.col("start_char") + F.col("hit_size")).alias("end_char"),
         *[f"g{i}" for i in range(1, groups + 1)],
     )
 
 
-CANDIDATE_COLUMNS = ["doc_id", "node_type", "number", "title", "start_char", "end_char", "detection_method"]
-
-
 def detect_headings(docs: DataFrame) -> DataFrame:
     """Candidates inside marked headings; the first matching pattern decides the type."""
     block = f"(?s){K.HEADING_START}(.*?){K.HEADING_END}"
     heads = find_spans(docs.where(F.col("text").contains(K.HEADING_START)), [("heading", block)], groups=1)
-    heads = heads.select("doc_id", "start_char", "end_char", strip(F.col("g1")).alias("h"))
+    heads = heads.select("doc_id", "doc_size", "start_char", "end_char", strip(F.col("g1")).alias("h"))
     case = {t: ("(?dU)" if t == "section" else "(?idU)") for t, _ in K.HEADING_PATTERNS}
     hit = None
     for t, p in K.HEADING_PATTERNS:
@@ -199,7 +196,7 @@ def detect_headings(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "hit.node_type", strip(F.col("hit.number")).alias("number"),
         F.nullif(strip(F.col("hit.title")), F.lit("")).alias("title"),
-        "start_char", "end_char", F.lit("heading_sentinel").alias("detection_method"),
+        "start_char", "end_char", F.lit("heading_sentinel").alias("detection_method"), "doc_size",
     )
 
 
@@ -215,7 +212,7 @@ def detect_plain(docs: DataFrame) -> DataFrame:
     return spans.select(
         "doc_id", F.col("label").alias("node_type"), strip(F.col("g1")).alias("number"),
         F.nullif(strip(F.col("g2")), F.lit("")).alias("title"),
-        "start_char", "end_char", F.lit("regex").alias("detection_method"),
+        "start_char", "end_char", F.lit("regex").alias("detection_method"), "doc_size",
     )
 
 
@@ -228,16 +225,17 @@ def dedup_last(cands: DataFrame) -> DataFrame:
     return best.select("doc_id", "node_type", "number", "r.*").select(*cands.columns)
 
 
-def bound_spans(cands: DataFrame, docs: DataFrame) -> DataFrame:
-    """End of a candidate = start of the next one, else the end of the document."""
+def bound_spans(cands: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """End of a candidate = start of the next one, else the end of the document.
+
+    Detected candidates carry the document's length; for others it is read from ``docs``.
+    """
     cols = cands.columns
-    out = carry(
-        cands, ["doc_id"], "start_char", {"__next": F.col("start_char")}, after=True,
-        ties=["node_type"], block=OFFSET_BLOCK,
-    )
-    size = docs.select("doc_id", F.length("text").cast("long").alias("__size"))
-    out = out.join(size, "doc_id", "left").withColumn("end_char", F.coalesce("__next", "__size"))
-    return out.select(*cols)
+    if "doc_size" not in cols:
+        sizes = docs.select("doc_id", F.length("text").cast("long").alias("doc_size"))
+        cands = cands.join(sizes, "doc_id", "left")
+    out = carry(cands, ["doc_id"], "start_char", {"__next": F.col("start_char")}, after=True, ties=["node_type"])
+    return out.withColumn("end_char", F.coalesce("__next", "doc_size")).select(*cols)
 
 
 def leading_int(c: Column) -> Column:
@@ -246,9 +244,7 @@ def leading_int(c: Column) -> Column:
 
 def sequential_flag(cands: DataFrame) -> DataFrame:
     """True when the leading integer repeats or follows that of the previous same-type candidate."""
-    prev = carry(
-        cands, ["doc_id", "node_type"], "start_char", {"__prev": F.coalesce("number", F.lit(""))}, block=OFFSET_BLOCK
-    )
+    prev = carry(cands, ["doc_id", "node_type"], "start_char", {"__prev": F.coalesce("number", F.lit(""))})
     step = leading_int(F.col("number")) - leading_int(F.col("__prev"))
     return prev.withColumn("is_sequential", F.coalesce(step.isin(0, 1), F.lit(False))).drop("__prev")
 
@@ -272,7 +268,7 @@ def score_candidate(cands: DataFrame, has_toc: Column | bool = False) -> DataFra
 def detect_candidates(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     """Detection as a whole: headings or plain patterns, last wins, bounds, flags, scores."""
     found = dedup_last(detect_headings(docs).unionByName(detect_plain(docs)))
-    found = sequential_flag(bound_spans(found, docs))
+    found = sequential_flag(bound_spans(found))
     if toc is None:
         return score_candidate(found)
     listed = toc_index(toc).select("doc_id").distinct().withColumn("__toc", F.lit(True))
@@ -303,9 +299,9 @@ def detect_sections_legacy(docs: DataFrame, toc: DataFrame | None = None) -> Dat
     sec = find_spans(docs, [("section", "(?mdU)" + K.LEGACY_SECTION)])
     sec = sec.select(
         "doc_id", F.lit("section").alias("node_type"), strip(F.col("g1")).alias("number"),
-        strip(F.col("g2")).alias("title"), "start_char", "end_char",
+        strip(F.col("g2")).alias("title"), "start_char", "end_char", "doc_size",
     )
-    sec = bound_spans(dedup_last(sec), docs)
+    sec = bound_spans(dedup_last(sec))
     chap = find_spans(docs, [("chapter", "(?mdU)" + K.LEGACY_CHAPTER)])
     chap = chap.groupBy("doc_id", strip(F.col("g1")).alias("k")).agg(
         F.max_by("g2", "start_char").alias("g2"), F.max("start_char").alias("__at")
@@ -314,7 +310,7 @@ def detect_sections_legacy(docs: DataFrame, toc: DataFrame | None = None) -> Dat
     if toc is not None:
         listed = toc_index(toc).select("doc_id").distinct()
         chap = chap.join(listed, "doc_id", "left_anti")
-    sec = asof_join(sec, chap, ["doc_id"], "start_char", "__at", ["chapter_ref"], block=OFFSET_BLOCK)
+    sec = asof_join(sec, chap, ["doc_id"], "start_char", "__at", ["chapter_ref"])
     return sec.select(
         "doc_id", F.col("number").alias("section_number"), F.col("title").alias("section_title"),
         "start_char", "end_char", "chapter_ref",
@@ -346,29 +342,28 @@ def slice_spans(spans: DataFrame, docs: DataFrame, out: str = "original_text", s
     with very many spans lands in a single task.
     """
     cols = spans.columns
-    keyed = spans.withColumn("__id", F.struct("doc_id", "start_char", "end_char"))
-    ids = keyed.select("doc_id", "__id").distinct()
-    first = F.floor(F.col("__id.start_char") / size).cast("int")
-    last = F.floor((F.greatest(F.col("__id.end_char"), F.col("__id.start_char") + 1) - 1) / size).cast("int")
-    parts = ids.select("doc_id", "__id", F.explode(F.sequence(first, last)).alias("piece_no"))
-    begin = F.greatest(F.col("__id.start_char") - F.col("piece_no") * size, F.lit(0))
-    end = F.least(F.col("__id.end_char") - F.col("piece_no") * size, F.lit(size))
-    parts = parts.join(text_pieces(docs, size), ["doc_id", "piece_no"]).select(
-        "__id", "piece_no",
-        F.substring(F.col("piece"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("part"),
-    )
-    texts = parts.groupBy("__id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda x: x["part"]), ""
-        ).alias(out)
-    )
-    return keyed.join(texts, "__id", "left").select(*cols, F.coalesce(out, F.lit("")).alias(out))
+    start, stop = F.col("start_char"), F.greatest("end_char", "start_char")
+    first = F.floor(start / size).cast("int")
+    last = F.floor((F.greatest(stop, start + 1) - 1) / size).cast("int")
+    parts = spans.withColumn("piece_no", F.explode(F.sequence(first, last)))
+    begin = F.greatest(start - F.col("piece_no") * size, F.lit(0))
+    end = F.least(stop - F.col("piece_no") * size, F.lit(size))
+    part = F.substring(F.col("piece"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    parts = parts.join(text_pieces(docs, size), ["doc_id", "piece_no"], "left").select(*cols, "piece_no", part.alias("part"))
+    texts = parts.groupBy(*cols).agg(F.collect_list(F.struct("piece_no", "part")).alias("ps"))
+    joined = F.array_join(F.transform(F.array_sort("ps"), lambda x: x["part"]), "")
+    return texts.select(*cols, joined.alias(out))
 
 
 # --- validation --------------------------------------------------------------------------
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+def _nfkc(c: Column) -> Column:
+    """Unicode NFKC; Spark has no built-in for it, so Arrow batches go through Python."""
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return nfkc(c)
 
 
 def integrity_form(c: Column) -> Column:
@@ -381,36 +376,22 @@ def validate(cands: DataFrame, docs: DataFrame) -> DataFrame:
     cut = slice_spans(cands, docs, "__cut").withColumn("__cut", strip(F.col("__cut")))
     gone = F.col("__cut").rlike(K.REPEALED_PATTERN)
     named = F.coalesce(F.col("title").rlike(K.REPEALED_PATTERN), F.lit(False))
-    checked = cut.withColumn(
-        "outcome",
-        F.when((F.col("confidence") < K.REVIEW_THRESHOLD) & ~(gone | named), "low_confidence")
-        .when((F.length("__cut") < 10) & ~gone, "too_short"),
-    )
-    heads = checked.where("outcome is null").select(
-        "doc_id", "node_type", "number", "start_char", integrity_form(F.substring("__cut", 1, 500)).alias("__head")
-    )
-    # One normalisation per document; the heads to look up in it are at most one
-    # per heading of that same text.
-    looked = heads.groupBy("doc_id").agg(
-        F.collect_list(F.struct("node_type", "number", "start_char", "__head")).alias("hs")
+    early = F.when((F.col("confidence") < K.REVIEW_THRESHOLD) & ~(gone | named), "low_confidence").when(
+        (F.length("__cut") < 10) & ~gone, "too_short"
     )
-    sources = docs.join(looked, "doc_id").select("doc_id", "hs", integrity_form(F.col("text")).alias("__src"))
-    found = sources.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                "hs",
-                lambda h: F.struct(
-                    h["node_type"].alias("node_type"), h["number"].alias("number"), h["start_char"].alias("start_char"),
-                    F.contains(F.col("__src"), h["__head"]).alias("ok"),
-                ),
-            )
-        ).alias("h"),
-    ).select("doc_id", "h.*")
-    keys = ["doc_id", "node_type", "start_char"]
-    out = checked.join(found.select(*keys, "ok"), keys, "left")
-    outcome = F.coalesce("outcome", F.when(F.col("ok"), "accepted").otherwise("not_in_source"))
-    return out.select(*cands.columns, outcome.alias("outcome"))
+    checked = cut.select(*cands.columns, early.alias("__early"), F.substring("__cut", 1, 500).alias("__head"))
+    heads = F.when(F.col("__early").isNull(), F.col("__head"))
+    checked = checked.withColumn("__head", integrity_form(heads))
+    # The source is normalised once per document. Its candidates travel as short
+    # heads; they are headings of that same text value, which bounds their number.
+    per_doc = checked.groupBy("doc_id").agg(F.collect_list(F.struct(*checked.columns)).alias("cs"))
+    d = docs.join(per_doc, "doc_id").select("cs", integrity_form(F.col("text")).alias("__src"))
+
+    def outcome(c):
+        return F.coalesce(c["__early"], F.when(F.contains(F.col("__src"), c["__head"]), "accepted").otherwise("not_in_source"))
+
+    d = d.select(F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), outcome(c).alias("outcome")))).alias("x"))
+    return d.select(*[F.col(f"x.c.{n}").alias(n) for n in cands.columns], "x.outcome")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

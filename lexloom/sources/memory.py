@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.blocked import dense_index
+from lexloom.functions.blocked import BLOCK, dense_index
 
 
-def append_turn(turns: DataFrame, new_turns: DataFrame, order: str = "ts") -> DataFrame:
-    """New turns with turn_index continuing the count of their session."""
+def append_turn(turns: DataFrame, new_turns: DataFrame, order: str = "ts", block: int | None = BLOCK) -> DataFrame:
+    """New turns with turn_index continuing the count of their session.
+
+    ``block`` is a width in units of ``order``; it spreads one very busy session.
+    """
     so_far = turns.groupBy("session_id").agg(F.count("*").alias("__n"))
     new = new_turns.withColumn("__pos", F.col(order).cast("long"))
-    new = dense_index(new, ["session_id"], "__pos", "__i")
+    new = dense_index(new, ["session_id"], "__pos", "__i", block=block)
     out = new.join(so_far, "session_id", "left")
     ix = (F.coalesce("__n", F.lit(0)) + F.col("__i") + 1).cast("int")
     return out.withColumn("turn_index", ix).drop("__n", "__i", "__pos")
