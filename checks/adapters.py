@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.sources.readers import read_table
+
 TABLES = ("documents", "labels", "benchmark", "embeddings", "conversations", "events", "pages")
 
 SHARED = {
@@ -145,12 +147,11 @@ _NODES = (
 SPLIT["fx_nodes"] = tuple(_NODES + f"({s}) x" for s in SPLIT["fx_lines"])
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+TEXT_TABLES = ("documents",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["structure"]
+MODULES = ["structure", "corpus", "retrieval"]
 
 
 def all_queries() -> dict:

@@ -28,6 +28,15 @@ def filled(c: Column, *defaults) -> Column:
     return F.coalesce(*parts)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda is otherwise evaluated for every element,
+    even when an earlier projection named it: the optimizer merges projections.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(c: Column) -> Column:
     """Split on runs of Unicode white space, no empty tokens."""
     return F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")

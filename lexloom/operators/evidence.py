@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import constants as K
 from lexloom.functions import rules as R
 from lexloom.functions.signals import locator_form
-from lexloom.functions.text import contains_any, filled, present, round4, strip
+from lexloom.functions.text import contains_any, filled, let, present, round4, strip
 from lexloom.session import checkpointed
 
 
@@ -220,11 +220,16 @@ def assumption_caveat(df: DataFrame) -> DataFrame:
 
 def answer_citations(answer: Column) -> Column:
     """Cited sections, rules and articles, first spelling per normalised form."""
-    found = F.transform(
-        F.regexp_extract_all(answer, F.lit(K.ANSWER_CITATION_PATTERN), F.lit(0)), strip
-    )
-    norms = F.transform(found, locator_form)
-    return F.filter(found, lambda c, i: F.array_position(norms, locator_form(c)) == i + 1)
+    found = F.transform(F.regexp_extract_all(answer, F.lit(K.ANSWER_CITATION_PATTERN), F.lit(0)), strip)
+    pairs = F.transform(found, lambda c: F.struct(c.alias("cite"), locator_form(c).alias("norm")))
+
+    def firsts(ps):
+        return let(
+            F.transform(ps, lambda p: p["norm"]),
+            lambda norms: F.filter(ps, lambda p, i: F.array_position(norms, p["norm"]) == i + 1),
+        )
+
+    return F.transform(let(pairs, firsts), lambda p: p["cite"])
 
 
 def verify_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:

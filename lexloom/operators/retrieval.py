@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import constants as K
-from lexloom.functions.text import filled, lookup, str_array, strip, tokens
+from lexloom.functions.text import filled, let, lookup, strip, tokens
 
 BROADCAST_QUERY_BYTES = 64 << 20  # query vectors copied to every task at most
 BLOCK_ROWS = 20_000  # vectors per side of one block product
@@ -313,12 +313,14 @@ def filtered_topk(sub_queries: DataFrame, chunks: DataFrame, k: int = K.RETRIEVA
 
 
 # --- candidates --------------------------------------------------------------------------
-def keyword_overlap(query: Column, low_text: Column) -> Column:
-    """Share of query words (longer than two) contained in the lower-cased text."""
+def keyword_overlap(query: Column, text: Column) -> Column:
+    """Share of query words (longer than two) contained in the text, without case."""
     words = F.filter(F.transform(tokens(query), F.lower), lambda t: F.length(t) > 2)
-    hit = F.size(F.filter(words, lambda t: F.contains(low_text, t)))
-    share = hit / F.nullif(F.size(words), F.lit(0))
-    return F.coalesce(F.bround(F.least(share, F.lit(1.0)), 4), F.lit(0.0))
+
+    def share(low):
+        return let(words, lambda ws: F.size(F.filter(ws, lambda t: F.contains(low, t))) / F.nullif(F.size(ws), F.lit(0)))
+
+    return F.coalesce(F.bround(F.least(let(F.lower(text), share), F.lit(1.0)), 4), F.lit(0.0))
 
 
 def to_candidate(hits: DataFrame) -> DataFrame:
@@ -354,8 +356,7 @@ def to_candidate(hits: DataFrame) -> DataFrame:
     )
     if "query_text" not in have:
         return out
-    low = out.withColumn("__low", F.lower("text"))
-    return low.withColumn("keyword_score", keyword_overlap(F.col("query_text"), F.col("__low"))).drop("__low")
+    return out.withColumn("keyword_score", keyword_overlap(F.col("query_text"), F.col("text")))
 
 
 def context_blocks(ranked: DataFrame, keep: int) -> DataFrame:

@@ -11,10 +11,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import constants as K
 from lexloom.functions.blocked import asof_join, carry, running_sum
-from lexloom.functions.text import filled, strip
+from lexloom.functions.text import filled, let, strip
 
 PAGE_BLOCK = 4096  # pages per block of one document
 PIECE = 1 << 16  # characters per text piece when spans are cut out of texts
@@ -141,23 +142,27 @@ def entry_for_page(probes: DataFrame, toc: DataFrame, page: str = "page", block:
 
 
 # --- pattern spans -----------------------------------------------------------------------
-def find_spans(docs: DataFrame, patterns, groups: int = 2) -> DataFrame:
+def _marked_up(label: str, pattern: str, groups: int) -> Column:
+    refs = "".join(f"${i}{_M[2]}" for i in range(1, groups + 1))
+    return F.struct(
+        F.lit(label).alias("label"),
+        F.split(F.regexp_replace("text", pattern, f"{_M[0]}{refs}$0{_M[3]}"), _M[0], -1).alias("segs"),
+    )
+
+
+def find_spans(docs: DataFrame, patterns, groups: int = 2, marked: Column | None = None) -> DataFrame:
     """All matches of (label, pattern) pairs, with offsets, in one projection.
 
     The regex engine marks every match in place; splitting at the marks gives the
     matches and the lengths in between, and a running sum of these lengths gives
-    the offsets. Texts are read once per pattern and never leave the row.
+    the offsets. Texts are read once per pattern and never leave the row. With
+    ``marked``, documents where it holds get the heading-block pattern instead.
     """
-    refs = "".join(f"${i}{_M[2]}" for i in range(1, groups + 1))
-    marked = [
-        F.struct(
-            F.lit(label).alias("label"),
-            F.split(F.regexp_replace("text", pattern, f"{_M[0]}{refs}$0{_M[3]}"), _M[0], -1).alias("segs"),
-        )
-        for label, pattern in patterns
-    ]
-    size_ = F.length("text").cast("long").alias("doc_size")
-    segs = docs.select("doc_id", size_, F.explode(F.array(*marked)).alias("m"))
+    cuts = F.array(*[_marked_up(label, p, groups) for label, p in patterns])
+    if marked is not None:
+        block = f"(?s){K.HEADING_START}(.*?)(){K.HEADING_END}"
+        cuts = F.when(marked, F.array(_marked_up("heading", block, groups))).otherwise(cuts)
+    segs = docs.select("doc_id", F.length("text").cast("long").alias("doc_size"), F.explode(cuts).alias("m"))
     segs = segs.where(F.size("m.segs") > 1).select(
         "doc_id", "doc_size", F.col("m.label").alias("label"), F.posexplode("m.segs").alias("seg_no", "seg")
     )
@@ -177,43 +182,55 @@ def find_spans(docs: DataFrame, patterns, groups: int = 2) -> DataFrame:
     )
 
 
-def detect_headings(docs: DataFrame) -> DataFrame:
-    """Candidates inside marked headings; the first matching pattern decides the type."""
-    block = f"(?s){K.HEADING_START}(.*?){K.HEADING_END}"
-    heads = find_spans(docs.where(F.col("text").contains(K.HEADING_START)), [("heading", block)], groups=1)
-    heads = heads.select("doc_id", "doc_size", "start_char", "end_char", strip(F.col("g1")).alias("h"))
-    case = {t: ("(?dU)" if t == "section" else "(?idU)") for t, _ in K.HEADING_PATTERNS}
+def is_marked(text: Column) -> Column:
+    return text.contains(K.HEADING_START)
+
+
+def _plain_patterns() -> list[tuple[str, str]]:
+    return [(t, ("(?mdU)" if t == "section" else "(?imdU)") + p) for t, p in K.PLAIN_PATTERNS]
+
+
+def _typed_heading(h: Column) -> Column:
+    """struct(node_type, number, title) of a heading text; the first matching pattern decides."""
     hit = None
     for t, p in K.HEADING_PATTERNS:
-        pattern = case[t] + p
+        pattern = ("(?dU)" if t == "section" else "(?idU)") + p
         value = F.struct(
-            F.lit(t).alias("node_type"),
-            F.regexp_extract("h", pattern, 1).alias("number"),
-            F.regexp_extract("h", pattern, 2).alias("title"),
+            F.lit(t).alias("node_type"), F.regexp_extract(h, pattern, 1).alias("number"),
+            F.regexp_extract(h, pattern, 2).alias("title"),
         )
-        hit = F.when(F.col("h").rlike(pattern), value) if hit is None else hit.when(F.col("h").rlike(pattern), value)
-    out = heads.withColumn("hit", hit).where("hit is not null")
-    return out.select(
-        "doc_id", "hit.node_type", strip(F.col("hit.number")).alias("number"),
-        F.nullif(strip(F.col("hit.title")), F.lit("")).alias("title"),
-        "start_char", "end_char", F.lit("heading_sentinel").alias("detection_method"), "doc_size",
+        hit = F.when(h.rlike(pattern), value) if hit is None else hit.when(h.rlike(pattern), value)
+    return hit
+
+
+def _candidates(spans: DataFrame) -> DataFrame:
+    spans = spans.withColumn("__h", strip(F.col("g1")))
+    plain = F.struct(F.col("label").alias("node_type"), F.col("g1").alias("number"), F.col("g2").alias("title"))
+    hit = F.when(F.col("label") == "heading", _typed_heading(F.col("__h"))).otherwise(plain)
+    return spans.withColumn("__hit", hit).where("__hit is not null").select(
+        "doc_id", "__hit.node_type", strip(F.col("__hit.number")).alias("number"),
+        F.nullif(strip(F.col("__hit.title")), F.lit("")).alias("title"), "start_char", "end_char",
+        F.when(F.col("label") == "heading", "heading_sentinel").otherwise("regex").alias("detection_method"), "doc_size",
     )
 
 
+def detect_headings(docs: DataFrame) -> DataFrame:
+    """Candidates inside marked headings; the first matching pattern decides the type."""
+    return _candidates(find_spans(docs.where(is_marked(F.col("text"))), _plain_patterns(), marked=F.lit(True)))
+
+
 def detect_plain(docs: DataFrame) -> DataFrame:
     """Line-anchored patterns for texts without marked headings.
 
     A heading number may be followed by a line break: the next line then is the
     title, because the separator class of the patterns crosses line ends.
     """
-    plain = docs.where(~F.col("text").contains(K.HEADING_START))
-    patterns = [(t, ("(?mdU)" if t == "section" else "(?imdU)") + p) for t, p in K.PLAIN_PATTERNS]
-    spans = find_spans(plain, patterns)
-    return spans.select(
-        "doc_id", F.col("label").alias("node_type"), strip(F.col("g1")).alias("number"),
-        F.nullif(strip(F.col("g2")), F.lit("")).alias("title"),
-        "start_char", "end_char", F.lit("regex").alias("detection_method"), "doc_size",
-    )
+    return _candidates(find_spans(docs.where(~is_marked(F.col("text"))), _plain_patterns()))
+
+
+def detect_any(docs: DataFrame) -> DataFrame:
+    """Marked headings where a document has them, else plain patterns: one pass over the texts."""
+    return _candidates(find_spans(docs, _plain_patterns(), marked=is_marked(F.col("text"))))
 
 
 def dedup_last(cands: DataFrame) -> DataFrame:
@@ -267,7 +284,7 @@ def score_candidate(cands: DataFrame, has_toc: Column | bool = False) -> DataFra
 
 def detect_candidates(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     """Detection as a whole: headings or plain patterns, last wins, bounds, flags, scores."""
-    found = dedup_last(detect_headings(docs).unionByName(detect_plain(docs)))
+    found = dedup_last(detect_any(docs))
     found = sequential_flag(bound_spans(found))
     if toc is None:
         return score_candidate(found)
@@ -350,7 +367,10 @@ def slice_spans(spans: DataFrame, docs: DataFrame, out: str = "original_text", s
     end = F.least(stop - F.col("piece_no") * size, F.lit(size))
     part = F.substring(F.col("piece"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
     parts = parts.join(text_pieces(docs, size), ["doc_id", "piece_no"], "left").select(*cols, "piece_no", part.alias("part"))
-    texts = parts.groupBy(*cols).agg(F.collect_list(F.struct("piece_no", "part")).alias("ps"))
+    nested = {f.name for f in spans.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    texts = parts.groupBy(*[c for c in cols if c not in nested]).agg(
+        F.collect_list(F.struct("piece_no", "part")).alias("ps"), *[F.first(c).alias(c) for c in cols if c in nested]
+    )
     joined = F.array_join(F.transform(F.array_sort("ps"), lambda x: x["part"]), "")
     return texts.select(*cols, joined.alias(out))
 
@@ -387,10 +407,14 @@ def validate(cands: DataFrame, docs: DataFrame) -> DataFrame:
     per_doc = checked.groupBy("doc_id").agg(F.collect_list(F.struct(*checked.columns)).alias("cs"))
     d = docs.join(per_doc, "doc_id").select("cs", integrity_form(F.col("text")).alias("__src"))
 
-    def outcome(c):
-        return F.coalesce(c["__early"], F.when(F.contains(F.col("__src"), c["__head"]), "accepted").otherwise("not_in_source"))
+    def outcome(c, src):
+        return F.coalesce(c["__early"], F.when(F.contains(src, c["__head"]), "accepted").otherwise("not_in_source"))
 
-    d = d.select(F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), outcome(c).alias("outcome")))).alias("x"))
+    looked = let(
+        F.col("__src"),
+        lambda src: F.transform("cs", lambda c: F.struct(c.alias("c"), outcome(c, src).alias("outcome"))),
+    )
+    d = d.select(F.explode(looked).alias("x"))
     return d.select(*[F.col(f"x.c.{n}").alias(n) for n in cands.columns], "x.outcome")
 
 

@@ -37,7 +37,8 @@ def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFram
             nodes = H.toc_titles(nodes, toc)
     else:
         nodes = nodes.withColumns({"start_page": F.lit(1), "end_page": F.lit(1)})
-    return H.ancestors(H.slice_text(nodes, docs))
+    # The tree is built on narrow rows; texts join last.
+    return H.slice_text(H.ancestors(nodes), docs)
 
 
 def chunk_nodes(

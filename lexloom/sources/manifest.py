@@ -130,9 +130,11 @@ def resolve_paths(manifest: DataFrame, listing: DataFrame, base_dir: str = ".")
         F.when(F.col("folder_") == "", F.lit("data")).otherwise(F.concat(F.lit("data/"), F.col("folder_"))),
         F.lit("data/abs"),
     ]
-    loose = F.flatten(
-        F.array(*[F.transform(variants, lambda v, d=d: _loose(joined(d, F.lit("")), v)) for d in loose_dirs])
-    )
+
+    def loose_in(folder_: Column) -> Column:
+        return F.transform(variants, lambda v: _loose(folder_, v))
+
+    loose = F.flatten(F.array(*[loose_in(d) for d in loose_dirs]))
     sid = strip(F.col("source_id"))
     sids = F.concat(
         F.array(sid),
