@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["structure", "corpus", "retrieval"]
+MODULES = ["structure", "corpus", "retrieval", "ranking"]
 
 
 def all_queries() -> dict:

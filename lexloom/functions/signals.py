@@ -48,7 +48,8 @@ def s_authority(level: Column, document_type: Column) -> Column:
     digits = F.regexp_replace(level.cast("string"), "[^0-9]", "")
     number = F.nullif(digits, F.lit("")).try_cast("double")
     by_type = lookup(F.lower(strip(F.coalesce(document_type, F.lit("")))), K.DOCTYPE_SCORE, K.DOCTYPE_DEFAULT)
-    return F.coalesce(clip01(1.0 - number / K.AUTHORITY_MAX), by_type)
+    # least and greatest skip nulls, so a missing level is decided before clipping
+    return F.when(number.isNotNull(), clip01(1.0 - number / K.AUTHORITY_MAX)).otherwise(by_type)
 
 
 def s_jurisdiction(q_low: Column, doc: Column, target: Column, preset: str = "backend") -> Column:
