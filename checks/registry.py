@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["structure", "corpus", "retrieval", "ranking"]
+MODULES = ["structure", "corpus", "retrieval", "ranking", "questions", "answers"]
 
 
 def all_queries() -> dict:
