@@ -47,7 +47,7 @@ Q["index_citations"] = (
     ),
     duck("fx_answers") + f" SELECT concat(conv_id, '-', turn) AS answer_id, sha256({_REWRITE}) AS text_hash, concat('D', conv_id % 50, '|X', conv_id) AS cited, '1,2,1,-' AS numbers FROM fx_answers",
 )
-_EXC = "CASE doc_id % 4 WHEN 0 THEN concat(' ', {last}, ' ') WHEN 1 THEN upper({last}) WHEN 2 THEN concat({first}, '  \n ', {last}) ELSE 'zz qq vv' END"
+_EXC = "CASE doc_id % 4 WHEN 0 THEN concat(' ', {last}, ' ') WHEN 1 THEN lower({last}) WHEN 2 THEN concat({first}, '  \n ', {last}) ELSE 'zz qq vv' END"
 
 
 def spans(s, d):

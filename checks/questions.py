@@ -43,9 +43,9 @@ Q["understand"] = (
 _CAT = "CASE " + " ".join(f"WHEN {any_of('dl', w)} THEN '{c}' " for c, _, _, w in K.CATEGORY_RULES) + "ELSE 'unclassified' END"
 _CONF = "CASE " + " ".join(f"WHEN {any_of('dl', w)} THEN {f}::DOUBLE " for _, f, _, w in K.CATEGORY_RULES) + "ELSE 0.5::DOUBLE END"
 _REASON = "CASE " + " ".join(f"WHEN {any_of('dl', w)} THEN '{r}' " for _, _, r, w in K.CATEGORY_RULES) + "ELSE 'Initial classification.' END"
-_BOT = "[" + ", ".join(f"CASE WHEN contains(both, '{k}') THEN '{v}' END" for k, v in K.BOTANICALS.items()) + "]"
+_BOT = "[" + ", ".join(f"CASE WHEN contains(mixtext, '{k}') THEN '{v}' END" for k, v in K.BOTANICALS.items()) + "]"
 CLS_SQL = UND_SQL + f"""
-, dl AS (SELECT *, lower(coalesce(description, '')) AS dl, lower(concat(coalesce(description, ''), ' ', array_to_string(entities, ' '))) AS both FROM und),
+, dl AS (SELECT *, lower(coalesce(description, '')) AS dl, lower(concat(coalesce(description, ''), ' ', array_to_string(entities, ' '))) AS mixtext FROM und),
 c0 AS (SELECT *, {_CAT} AS category, {_CONF} AS confidence, {_REASON} AS reasoning, {first_of('dl', K.ROUTE_RULES, "'unknown'")} AS route_of_administration,
   {first_of('dl', K.USE_RULES, "'unknown'")} AS intended_use, list_sort(list_distinct(list_filter({_BOT}, lambda x: x IS NOT NULL))) AS ingredients FROM dl),
 cls AS (SELECT *, concat_ws('|', CASE WHEN category = 'unclassified' AND coalesce(description, '') <> '' THEN 'category' END,
@@ -139,7 +139,7 @@ Q["clarification_questions"] = (
 )
 Q["clarification_message"] = (
     lambda s, d: P.clarification_message(P.clarification_questions(missing(s, d))),
-    _QSQL + f""" SELECT query_id, concat('{K.CLARIFY_INTRO}', chr(10), string_agg(concat(question_no, '. ', question, coalesce(concat(' (Options: ', replace(options, '|', ', '), ')'), '')), chr(10) ORDER BY question_no), chr(10), '{K.CLARIFY_OUTRO.replace(chr(10), "' || chr(10) || '")}') AS final_answer FROM qq GROUP BY query_id""",
+    _QSQL + f""" SELECT query_id, concat('{K.CLARIFY_INTRO}', chr(10), string_agg(concat(question_no, '. ', question, coalesce(' (Options: ' || replace(options, '|', ', ') || ')', '')), chr(10) ORDER BY question_no), chr(10), '{K.CLARIFY_OUTRO.replace(chr(10), "' || chr(10) || '")}') AS final_answer FROM qq GROUP BY query_id""",
 )
 
 

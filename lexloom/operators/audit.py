@@ -33,7 +33,7 @@ def audit_queries(requests: DataFrame) -> DataFrame:
     d = requests.withColumn("query", F.concat_ws(" ", "abstract", ing, syn))
     d = d.withColumn("rerank_category", audit_category(F.col("classification")))
     # Retrieval itself is not limited to a category; only the reranker knows it.
-    return d.select("*", F.posexplode(subs).alias("area_ix", "s")).select(
+    return d.select("*", F.posexplode_outer(subs).alias("area_ix", "s")).select(
         *d.columns, "area_ix", "s.legal_area", "s.query_text",
         F.lit("india").alias("jurisdiction"), F.lit(None).cast("string").alias("product_category"),
     )

@@ -142,7 +142,8 @@ def split_recursive(
     cut = splitter(size, overlap, separators or K.SEPARATORS, literal_dot)
     cols = [c for c in df.columns if c != col]
     rows = df.withColumn("__w", F.get(cut(F.array(col)), F.lit(0)))
-    return rows.select(*cols, F.size("__w").alias(f"{out}_total"), F.posexplode("__w").alias(f"{out}_no", out))
+    rows = rows.select(*cols, F.size("__w").alias(f"{out}_total"), F.posexplode_outer("__w").alias(f"{out}_no", out))
+    return rows.where(F.col(out).isNotNull())
 
 
 def split_nodes(nodes: DataFrame, col: str = "text", size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
@@ -162,7 +163,7 @@ def split_nodes(nodes: DataFrame, col: str = "text", size: int = K.CHUNK_SIZE, o
     packed = packed.withColumn("__w", windows)
     return packed.select(
         *nodes.columns, F.size("__w").alias("total_chunks_in_section"),
-        F.posexplode("__w").alias("chunk_index", "split_text"),
+        F.posexplode_outer("__w").alias("chunk_index", "split_text"),
     )
 
 

@@ -212,7 +212,7 @@ def clarification_questions(missing: DataFrame, key: str = "query_id") -> DataFr
     known = [f for f, _, _ in K.QUESTION_CATALOG]
     valid = F.filter("missing_facts", lambda f: f.isin(*known))
     asked = F.when(F.size(valid) > 0, F.slice(valid, 1, 3)).otherwise(F.slice("missing_facts", 1, 2))
-    d = missing.select(key, F.posexplode(asked).alias("pos", "field"))
+    d = missing.select(key, F.posexplode_outer(asked).alias("pos", "field")).where("field is not null")
     generic = F.format_string(K.GENERIC_QUESTION, F.replace(F.col("field"), F.lit("_"), F.lit(" ")))
     return d.select(
         key, (F.col("pos") + 1).alias("question_no"), "field",
@@ -259,7 +259,8 @@ def decompose(cls: DataFrame, query: str = "query") -> DataFrame:
     ing = F.col("ingredients") if "ingredients" in cls.columns else F.lit(None).cast("array<string>")
     d = d.withColumn("__areas", R.select_areas(F.col("category"), F.col("__low"), ing))
     base = F.coalesce(F.nullif("hyde_context", F.lit("")), F.col(query)) if "hyde_context" in cls.columns else F.col(query)
-    d = d.withColumn("__base", base).select("*", F.posexplode("__areas").alias("area_ix", "legal_area"))
+    # Areas are never empty; the outer form adds no filter that repeats the rules.
+    d = d.withColumn("__base", base).select("*", F.posexplode_outer("__areas").alias("area_ix", "legal_area"))
     d = d.withColumn("query_text", R.reframe(F.col("__base"), F.col("legal_area")))
     return d.withColumn("product_category", F.col("category")).drop("__low", "__areas", "__base")
 
@@ -270,7 +271,7 @@ def retry_decompose(failed: DataFrame, query: str = "query") -> DataFrame:
     hint = F.when(F.coalesce(F.size(hints), F.lit(0)) > 0, F.concat(F.lit(" "), F.array_join(hints, ", "))).otherwise("")
     d = failed.withColumn("__base", F.concat(F.col(query), hint))
     areas = F.array(*[F.lit(a) for a in K.AREAS])
-    d = d.select("*", F.posexplode(areas).alias("area_ix", "legal_area"))
+    d = d.select("*", F.posexplode_outer(areas).alias("area_ix", "legal_area"))
     d = d.withColumn("query_text", R.reframe(F.col("__base"), F.col("legal_area")))
     return d.withColumn("product_category", F.lit(None).cast("string")).drop("__base")
 

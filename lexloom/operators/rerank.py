@@ -104,7 +104,8 @@ def dedup_near(scored: DataFrame, preset: str = "backend", keys: list[str] = PAC
             F.concat(acc, F.array(c))
         ),
     )
-    return packs.select(*keys, F.explode(kept).alias("c")).select(*keys, "c.position", "c.row.*")
+    # Outer: an inferred non-empty filter would fold every pack twice.
+    return packs.select(*keys, F.explode_outer(kept).alias("c")).where("c is not null").select(*keys, "c.position", "c.row.*")
 
 
 def pack_inputs(packs: DataFrame, sub_queries: DataFrame, ctx: DataFrame | None = None,

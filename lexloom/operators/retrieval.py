@@ -295,15 +295,15 @@ def filtered_topk(sub_queries: DataFrame, chunks: DataFrame, k: int = K.RETRIEVA
         chunks = chunks.withColumn("__coll", F.col("collection_name"))
         on.append("__coll")
     if "legal_area" in have:
-        sq = sq.withColumn("__area", F.explode(expand_areas(F.col("filter_areas"))))
+        sq = sq.withColumn("__area", F.explode_outer(expand_areas(F.col("filter_areas"))))
         chunks = chunks.withColumn("__area", F.col("legal_area"))
         on.append("__area")
     if "applicable_product" in have:
         # No category, no filter: such a sub-query takes the "any" bucket, which
         # every chunk also enters; otherwise the accepted values are listed.
         wanted = F.coalesce(accepted_products(F.col("product_category")), F.array(F.lit("*")))
-        sq = sq.withColumn("__prod", F.explode(wanted))
-        chunks = chunks.withColumn("__prod", F.explode(F.array(F.lit("*"), F.col("applicable_product"))))
+        sq = sq.withColumn("__prod", F.explode_outer(wanted))
+        chunks = chunks.withColumn("__prod", F.explode_outer(F.array(F.lit("*"), F.col("applicable_product"))))
         on.append("__prod")
     hits = cosine_topk(sq, chunks, k, q_id="__sub", on=on)
     subs = sub_queries.withColumn(

@@ -101,7 +101,9 @@ def page_range(spans: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """Line table with character offsets."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    lines = docs.where("text is not null").select(
+        "doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "text")
+    )
     size = F.length("text").cast("long")
     lines = running_sum(lines, ["doc_id"], "line_no", size + 1, "start_char")
     has = F.col("text").contains(K.HEADING_START)
@@ -155,16 +157,17 @@ def find_spans(docs: DataFrame, patterns, groups: int = 2, marked: Column | None
 
     The regex engine marks every match in place; splitting at the marks gives the
     matches and the lengths in between, and a running sum of these lengths gives
-    the offsets. Texts are read once per pattern and never leave the row. With
+    the offsets. Texts are read once per pattern and never leave the row (the outer explode keeps
+    the optimizer from adding a non-empty filter that would run them twice). With
     ``marked``, documents where it holds get the heading-block pattern instead.
     """
     cuts = F.array(*[_marked_up(label, p, groups) for label, p in patterns])
     if marked is not None:
         block = f"(?s){K.HEADING_START}(.*?)(){K.HEADING_END}"
         cuts = F.when(marked, F.array(_marked_up("heading", block, groups))).otherwise(cuts)
-    segs = docs.select("doc_id", F.length("text").cast("long").alias("doc_size"), F.explode(cuts).alias("m"))
+    segs = docs.select("doc_id", F.length("text").cast("long").alias("doc_size"), F.explode_outer(cuts).alias("m"))
     segs = segs.where(F.size("m.segs") > 1).select(
-        "doc_id", "doc_size", F.col("m.label").alias("label"), F.posexplode("m.segs").alias("seg_no", "seg")
+        "doc_id", "doc_size", F.col("m.label").alias("label"), F.posexplode_outer("m.segs").alias("seg_no", "seg")
     )
     parts = F.split("seg", _M[2], -1)
     body = F.when(F.col("seg_no") == 0, F.col("seg")).otherwise(F.element_at(parts, -1))
@@ -347,7 +350,7 @@ def from_legacy(sections: DataFrame) -> DataFrame:
 def text_pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
     """Documents cut into fixed-size pieces (doc_id, piece_no, piece)."""
     last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / size).cast("int")
-    nos = F.explode(F.sequence(F.lit(0), last)).alias("piece_no")
+    nos = F.explode_outer(F.sequence(F.lit(0), last)).alias("piece_no")
     cut = docs.select("doc_id", "text", nos)
     return cut.select("doc_id", "piece_no", F.substring(F.col("text"), F.col("piece_no") * size + 1, F.lit(size)).alias("piece"))
 
@@ -362,7 +365,7 @@ def slice_spans(spans: DataFrame, docs: DataFrame, out: str = "original_text", s
     start, stop = F.col("start_char"), F.greatest("end_char", "start_char")
     first = F.floor(start / size).cast("int")
     last = F.floor((F.greatest(stop, start + 1) - 1) / size).cast("int")
-    parts = spans.withColumn("piece_no", F.explode(F.sequence(first, last)))
+    parts = spans.withColumn("piece_no", F.explode_outer(F.sequence(first, last)))
     begin = F.greatest(start - F.col("piece_no") * size, F.lit(0))
     end = F.least(stop - F.col("piece_no") * size, F.lit(size))
     part = F.substring(F.col("piece"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
@@ -414,7 +417,7 @@ def validate(cands: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("__src"),
         lambda src: F.transform("cs", lambda c: F.struct(c.alias("c"), outcome(c, src).alias("outcome"))),
     )
-    d = d.select(F.explode(looked).alias("x"))
+    d = d.select(F.explode_outer(looked).alias("x"))
     return d.select(*[F.col(f"x.c.{n}").alias(n) for n in cands.columns], "x.outcome")
 
 

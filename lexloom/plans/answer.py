@@ -11,6 +11,7 @@ from lexloom.operators import evidence as E
 from lexloom.operators import questions as Q
 from lexloom.operators.rerank import rerank
 from lexloom.operators.retrieval import embed, filtered_topk, route, to_candidate
+from lexloom.session import checkpointed
 
 
 def prepare(queries: DataFrame, extracted: DataFrame | None = None, generated: DataFrame | None = None) -> DataFrame:
@@ -43,12 +44,13 @@ def answer(
     the retrieved context itself is the answer. ``verify`` adds the citation
     check. Failed questions are retried once over all areas.
     """
-    prepared = prepare(queries)
+    prepared = checkpointed(prepare(queries))
 
     def attempt(part: DataFrame, round_no: int) -> DataFrame:
         subs = Q.decompose(part) if round_no == 0 else Q.retry_decompose(part)
-        subs = subs.withColumn("product_category", F.col("product_category"))
-        evidence = ranked_evidence(subs, retrieve(subs, chunks, encoder, dim))
+        subs = checkpointed(subs)
+        # Context, sources and checks all read the evidence (a few rows per question).
+        evidence = checkpointed(ranked_evidence(subs, retrieve(subs, chunks, encoder, dim)))
         d = part.join(E.context_string(evidence), "query_id", "left")
         if generator is None:
             d = d.withColumn("answer", F.coalesce("context", F.lit("")))
@@ -63,9 +65,8 @@ def answer(
             d = d.withColumns({"reason": F.coalesce("reason", "__why"), "passed": F.col("passed") & F.col("__ok")})
             d = d.drop("__ok", "__why")
         sources = E.format_sources(evidence).groupBy("query_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("source_no", "id", "title", "provision", "pages", "chunk_ids"))),
-                lambda s: s,
+            F.array_sort(
+                F.collect_list(F.struct("source_no", "id", "title", "provision", "pages", "chunk_ids"))
             ).alias("sources")
         )
         return E.gate_answers(d).join(sources, "query_id", "left")

@@ -11,12 +11,13 @@ from lexloom.operators import audit as A
 from lexloom.operators.questions import build_prompts
 from lexloom.operators.rerank import rerank
 from lexloom.plans.answer import retrieve
+from lexloom.session import checkpointed
 
 
 def audit(requests: DataFrame, chunks: DataFrame, generator: Callable[[DataFrame], DataFrame] | None = None,
           encoder: Callable | None = None, dim: int = 256) -> DataFrame:
     """All requests in one job. ``generator`` maps (query_id, prompt) to (query_id, reply)."""
-    subs = A.audit_queries(requests)
+    subs = checkpointed(A.audit_queries(requests))
     packs = retrieve(subs, chunks, encoder, dim)
     ranked = rerank(packs, subs.withColumn("product_category", F.col("rerank_category")))
     d = requests.join(A.audit_context(ranked), "query_id", "left")
