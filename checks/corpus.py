@@ -53,6 +53,12 @@ Q["format_router"] = (
     "SELECT doc_id, concat('a/', source, CASE doc_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '.pdf' ELSE '' END) AS path, "
     "CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' ELSE 'rejected' END AS format FROM documents",
 )
+Q["embedding_dims"] = (
+    lambda s, d: table(s, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN 'Gemini' ELSE 'huggingface' END AS p",
+        "CASE doc_id % 5 WHEN 0 THEN 'BAAI/bge-m3' WHEN 1 THEN 'BAAI/bge-base-en' WHEN 2 THEN 'BAAI/bge-large-en' ELSE 'mini' END AS m")
+    .select("doc_id", M.embedding_dims(F.col("p"), F.col("m")).alias("dim")),
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 3072 ELSE CASE doc_id % 5 WHEN 0 THEN 1024 WHEN 1 THEN 768 WHEN 2 THEN 1024 ELSE 384 END END AS dim FROM documents",
+)
 _FILE = (
     "CASE doc_id % 6 WHEN 0 THEN concat('pdfs/', doc_id, '.pdf') WHEN 1 THEN concat('data/pdfs/', doc_id, '.pdf') "
     "WHEN 2 THEN concat('data/pdfs/The  Act ', doc_id, '.PDF') WHEN 3 THEN concat('data/abs/S-', doc_id, '.pdf') "

@@ -315,7 +315,16 @@ Q["verify_citations"] = (
     lambda s, d: E.verify_citations(answers(s, d), evidence(s, d)).select(
         "answer_id", "passed", "reason", F.array_join("verified", "|").alias("verified"), F.array_join("unverified", "|").alias("unverified")
     ),
-    None,
+    _MERGE_SQL + f""", {duck('fx_answers').removeprefix('WITH ')},
+va AS (SELECT concat(conv_id, '-', turn) AS answer_id, conv_id, contains(lower(answer), 'excerpt does not contain') AS admits, regexp_extract_all(answer, '(?i)\\b(?:Section|Sec\\.|Rule|Article)\\s*\\d+[A-Za-z]?(?:\\s*\\([a-z0-9A-Z]+\\))*', 0) AS cs FROM fx_answers),
+vc AS (SELECT answer_id, conv_id, i, cs[i] AS cite, regexp_replace(lower(cs[i]), '[^\\w()]', '', 'g') AS norm FROM va, range(1, len(cs) + 1) AS r(i) WHERE NOT admits),
+vd AS (SELECT *, regexp_extract(norm, '(\\d+[a-z]?(?:\\([a-z0-9]+\\))*)', 1) AS t, regexp_extract(norm, '(\\d+)', 1) AS parent FROM vc QUALIFY row_number() OVER (PARTITION BY answer_id, norm ORDER BY i) = 1),
+ve AS (SELECT query_id, section AS loc, lower(concat_ws(' ', section, title, text)) AS low FROM merged),
+vo AS (SELECT d.answer_id, d.i, d.cite, coalesce(bool_or(contains(loc, t) OR contains(t, loc) OR contains(low, t) OR contains(low, 'section ' || parent)), false) AS ok FROM vd d LEFT JOIN ve e ON e.query_id = d.conv_id GROUP BY ALL),
+vs AS (SELECT answer_id, string_agg(cite, '|' ORDER BY i) FILTER (ok) AS v, string_agg(cite, '|' ORDER BY i) FILTER (NOT ok) AS u FROM vo GROUP BY answer_id)
+SELECT a.answer_id, NOT admits AND u IS NULL AS passed, CASE WHEN admits THEN 'Model admitted evidence was missing from retrieved context (''excerpt does not contain'').'
+  WHEN u IS NOT NULL THEN concat('Statutory citations not backed by retrieved evidence text: ', replace(u, '|', ', '), '. Answer relied on background model knowledge rather than retrieved statutory chunks.') END AS reason,
+  coalesce(v, '') AS verified, coalesce(u, '') AS unverified FROM va a LEFT JOIN vs USING (answer_id)""",
 )
 Q["admissions"] = (
     lambda s, d: answers(s, d).select("answer_id", admission_check(F.lower("answer")).alias("reason")),

@@ -206,17 +206,37 @@ SELECT doc_id, node_type, number, original_text, {duck_strip("replace(replace(or
 )
 
 
+LEGACY_LINE = r"^(\d{1,3}[A-Z]{0,2})\.\s+([A-Za-z].{3,200}?)[.—–:-]\s*$"
+
+
 def legacy(s, d):
     docs = fx(s, d, "fx_plain")
     return L.detect_sections_legacy(docs)
 
 
-Q["sections_legacy"] = (lambda s, d: legacy(s, d), None)
+LEGACY_SQL = f"""
+, ll AS (SELECT doc_id, i, l[i] AS line, len(l) AS n, length(text) AS size FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM fx_plain), range(1, len(l) + 1) AS r(i)),
+lp AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) - 1 AS start_char FROM ll),
+lm AS (SELECT *, regexp_extract(line, '{LEGACY_LINE}', 1) AS section_number, {duck_strip(f"regexp_extract(line, '{LEGACY_LINE}', 2)")} AS section_title FROM lp
+  WHERE i > 1 AND i < n AND regexp_matches(line, '{LEGACY_LINE}')),
+lk AS (SELECT * FROM lm QUALIFY row_number() OVER (PARTITION BY doc_id, section_number ORDER BY start_char DESC) = 1),
+legacy AS (SELECT doc_id, section_number, section_title, start_char, coalesce(lead(start_char) OVER (PARTITION BY doc_id ORDER BY start_char), size) AS end_char FROM lk)"""
+LCOLS = ["doc_id", "section_number", "section_title", "start_char", "end_char"]
+# The adapter numbers chapters in digits, which the legacy chapter pattern does not take.
+Q["sections_legacy"] = (
+    lambda s, d: legacy(s, d).select(*LCOLS), duck("fx_plain") + LEGACY_SQL + f" SELECT {', '.join(LCOLS)} FROM legacy",
+)
 Q["missing_chapters"] = (
-    lambda s, d: L.missing_chapters(legacy(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_missing")), None,
+    lambda s, d: L.missing_chapters(legacy(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_missing")),
+    duck("fx_plain") + LEGACY_SQL + " SELECT doc_id, count(*) AS n_missing FROM legacy GROUP BY doc_id",
 )
 Q["validate_legacy"] = (
-    lambda s, d: L.validate_legacy(legacy(s, d), fx(s, d, "fx_plain")).select("doc_id", "section_number", "section_title", "text"), None,
+    lambda s, d: L.validate_legacy(legacy(s, d), fx(s, d, "fx_plain")).select("doc_id", "section_number", "section_title", "text"),
+    duck("fx_plain") + LEGACY_SQL + f"""
+, cut AS (SELECT l.*, {duck_strip('substring(d.text, l.start_char + 1, l.end_char - l.start_char)')} AS c FROM legacy l JOIN fx_plain d USING (doc_id)),
+ok AS (SELECT *, regexp_matches(c, '{_REPEALED}') OR regexp_matches(section_title, '{_REPEALED}') AS gone FROM cut)
+SELECT doc_id, section_number, section_title, CASE WHEN length(c) < 20 THEN concat('[STATUS: REPEALED/OMITTED] ', coalesce(nullif(c, ''), section_title))
+  ELSE regexp_replace(regexp_replace(c, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\[\\d+\\]', '', 'g') END AS text FROM ok WHERE length(c) >= 20 OR gone""",
 )
 
 
@@ -226,7 +246,10 @@ def section_docs(s, d):
 
 
 Q["section_docs"] = (section_docs, None)
-Q["from_legacy"] = (lambda s, d: L.from_legacy(legacy(s, d)), None)
+Q["from_legacy"] = (
+    lambda s, d: L.from_legacy(legacy(s, d)).select("doc_id", "node_type", "number", "confidence", "detection_method", "parent_hint"),
+    duck("fx_plain") + LEGACY_SQL + " SELECT doc_id, 'section' AS node_type, section_number AS number, 0.85::DOUBLE AS confidence, 'legacy' AS detection_method, CAST(NULL AS VARCHAR) AS parent_hint FROM legacy",
+)
 
 # --- trees -------------------------------------------------------------------------------
 RANK = "CASE node_type WHEN 'document' THEN 0 WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'subsection' THEN 4 WHEN 'clause' THEN 5 WHEN 'subclause' THEN 6 WHEN 'paragraph' THEN 7 ELSE 8 END"

@@ -13,6 +13,8 @@ from lexloom.operators.rerank import rerank
 from lexloom.operators.retrieval import embed, filtered_topk, route, to_candidate
 from lexloom.session import checkpointed
 
+BROADCAST_HITS = 500_000  # rows of ids and scores, below 50 MB
+
 
 def prepare(queries: DataFrame, extracted: DataFrame | None = None, generated: DataFrame | None = None) -> DataFrame:
     """Understanding, classification, description gate and jurisdiction; no shuffle without model tables."""
@@ -25,8 +27,11 @@ def retrieve(sub_queries: DataFrame, chunks: DataFrame, encoder: Callable | None
              k: int = 5) -> DataFrame:
     """Candidates per (query, area): routed, filtered, exact top-k."""
     routed = embed(route(sub_queries), "query_text", encoder, dim)
-    hits = filtered_topk(routed, chunks, k)
-    found = hits.join(chunks.drop("embedding"), "chunk_id")
+    # Hits are k rows per sub-query. Counted, and broadcast when few, they find their
+    # texts without shuffling the corpus; otherwise both sides are joined by key.
+    hits = checkpointed(filtered_topk(routed, chunks, k))
+    few = hits.count() <= BROADCAST_HITS
+    found = chunks.drop("embedding").join(F.broadcast(hits) if few else hits, "chunk_id")
     return to_candidate(found.join(sub_queries.select("query_id", "area_ix", "query_text"), ["query_id", "area_ix"]))
 
 
