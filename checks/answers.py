@@ -192,7 +192,11 @@ SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'Likely Blocked' WHEN 2 THEN '3' ELSE
   CASE doc_id % 5 WHEN 1 THEN '{_NA}' WHEN 2 THEN '{_NA}' ELSE '{_FL}' END AS nba_band,
   CASE doc_id % 5 WHEN 1 THEN source ELSE reply END AS analysis FROM r""",
 )
-Q["audit_report"] = (lambda s, d: verdicts(s, d).select("doc_id", F.sha2("report", 256).alias("report_hash")), None)
+Q["audit_report"] = (
+    lambda s, d: verdicts(s, d).select("doc_id", F.sha2("report", 256).alias("report_hash")),
+    "WITH v AS (" + Q["parse_verdict"][1] + """) SELECT doc_id, sha256(concat('**Formulation Audit — ', verdict, '** 🇮🇳 India Domestic Analysis', chr(10), chr(10),
+  '**Section 3(p) / TKDL Bar:** ', tkdl_band, chr(10), chr(10), '**Section 3(e) / Synergy:** ', s3e_band, chr(10), chr(10), '**NBA Form III / Section 6:** ', nba_band, chr(10), chr(10), analysis)) AS report_hash FROM v""",
+)
 
 # --- sessions ----------------------------------------------------------------------------
 

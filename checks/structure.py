@@ -245,7 +245,17 @@ def section_docs(s, d):
     return H.section_docs(L.validate_legacy(legacy(s, d), docs), L.page_offsets(fx(s, d, "fx_pages")), toc(s, d)).drop("text")
 
 
-Q["section_docs"] = (section_docs, None)
+Q["section_docs"] = (
+    section_docs,
+    "WITH " + Q["validate_legacy"][1].removeprefix("WITH ").rsplit("SELECT doc_id, section_number", 1)[0].rstrip() + """,
+vt AS (SELECT doc_id, section_number, section_title, start_char, end_char, CASE WHEN length(c) < 20 THEN concat('[STATUS: REPEALED/OMITTED] ', coalesce(nullif(c, ''), section_title)) ELSE regexp_replace(c, '\\[\\d+\\]', '', 'g') END AS text FROM ok WHERE length(c) >= 20 OR gone),
+""" + duck("fx_pages").removeprefix("WITH ") + OFFSETS_SQL + ", toc AS (" + TOC.replace("{p}", "fx_pages") + """),
+ix AS (SELECT doc_id, page, upper(trim(title)) AS chapter FROM toc WHERE level = 1 OR regexp_matches(trim(title), '(?i)^chapter\\s+[IVXLCDM0-9]+')),
+pg AS (SELECT *, coalesce((SELECT max(page) FROM offsets o WHERE o.doc_id = vt.doc_id AND vt.start_char BETWEEN o.start AND o."end"), 1) AS start_page,
+  coalesce((SELECT max(page) FROM offsets o WHERE o.doc_id = vt.doc_id AND vt.end_char BETWEEN o.start AND o."end"), 1) AS end_page FROM vt)
+SELECT p.doc_id, section_number, section_title, concat('Section ', section_number) AS provision_ref, coalesce(i.chapter, 'N/A') AS chapter, start_page, end_page,
+  CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS INT) AS token_estimate FROM pg p ASOF LEFT JOIN ix i ON p.doc_id = i.doc_id AND p.start_page >= i.page""",
+)
 Q["from_legacy"] = (
     lambda s, d: L.from_legacy(legacy(s, d)).select("doc_id", "node_type", "number", "confidence", "detection_method", "parent_hint"),
     duck("fx_plain") + LEGACY_SQL + " SELECT doc_id, 'section' AS node_type, section_number AS number, 0.85::DOUBLE AS confidence, 'legacy' AS detection_method, CAST(NULL AS VARCHAR) AS parent_hint FROM legacy",

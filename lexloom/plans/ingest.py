@@ -12,7 +12,8 @@ from lexloom.operators import chunking as C
 from lexloom.operators import hierarchy as H
 from lexloom.operators import structure as L
 from lexloom.operators.retrieval import embed
-from lexloom.sources.store import pending_docs, write_chunks
+from lexloom.session import checkpointed
+from lexloom.sources.store import pending_docs, unique_ids, upsert
 
 
 def empty_cache(spark) -> DataFrame:
@@ -22,8 +23,13 @@ def empty_cache(spark) -> DataFrame:
 def _situated(splits: DataFrame, cache: DataFrame | None, generator, contextual: bool) -> DataFrame:
     if not contextual:
         return C.contextualise(splits.withColumn("generated_context", F.lit("")))
+    if cache is None and generator is None:
+        # Nothing to look up or to generate: the structural sentence of each chunk.
+        d = splits.withColumn("generated_context", F.col("fallback_context"))
+        return C.contextualise(d.drop("parent_context", "fallback_context"))
     cache = cache if cache is not None else empty_cache(splits.sparkSession)
-    situated, _ = C.context_lookup(splits, cache, generator)
+    # The look-up reads its input for the keys and for the chunks; split once.
+    situated, _ = C.context_lookup(checkpointed(splits), cache, generator)
     return C.contextualise(situated.drop("parent_context", "fallback_context"))
 
 
@@ -76,7 +82,9 @@ def ingest_pages(
         pages = pages.join(todo, "doc_id", "left_semi")
     docs, offsets = L.concat_pages(pages)
     chunks = chunk_nodes(build_nodes(docs, offsets, toc), manifest, cache, generator, contextual=contextual)
-    return write_chunks(embed(chunks, "page_content", encoder, dim), existing)
+    # Ids are made unique on the stored chunk table, and vectors are computed last:
+    # neither splitting nor encoding runs twice.
+    return upsert(embed(unique_ids(checkpointed(chunks)), "page_content", encoder, dim), existing)
 
 
 def ingest_texts(

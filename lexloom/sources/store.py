@@ -23,15 +23,19 @@ def unique_ids(chunks: DataFrame, position: str = "position") -> DataFrame:
     return out.withColumn("point_id", uuid5(F.col("chunk_id")))
 
 
-def write_chunks(chunks: DataFrame, existing: DataFrame | None = None, position: str = "position") -> DataFrame:
-    """Upsert by point_id: new rows replace stored rows with the same id."""
-    new = unique_ids(chunks, position)
+def upsert(new: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """New rows replace stored rows with the same point_id."""
     if existing is None:
         return new
     kept = existing.join(new.select("point_id"), "point_id", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def write_chunks(chunks: DataFrame, existing: DataFrame | None = None, position: str = "position") -> DataFrame:
+    """Unique ids, then upsert by point_id."""
+    return upsert(unique_ids(chunks, position), existing)
+
+
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Partition by collection; writing is the only action."""
     chunks.write.mode("overwrite").partitionBy("collection_name").parquet(path)
