@@ -224,8 +224,17 @@ def _run(s, df, mode="append"):
     """Run a stream over all available input into parquet and read it back."""
     base = s.conf.get("spark.checkpoint.dir", None)
     out = tempfile.mkdtemp(prefix="lexloom-stream-") if base is None else f"{base}/lexloom-stream-{os.urandom(6).hex()}"
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", out + "/_state").option("path", out + "/rows").trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    if s.sparkContext.master.startswith("local"):  # one state store per core is enough on one machine
+        s.conf.set("spark.sql.shuffle.partitions", str(s.sparkContext.defaultParallelism))
+    try:
+        q = (
+            df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", out + "/_state")
+            .option("path", out + "/rows").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        s.conf.set("spark.sql.shuffle.partitions", before)
     return s.read.schema(df.schema).parquet(out + "/rows")
 
 

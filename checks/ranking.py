@@ -180,10 +180,10 @@ Q["rerank_without_dedup"] = (lambda s, d: _r(reranked(s, d, False)), _RANKED_SQL
 
 
 def dups(s, d):
-    """Packs with copies, contained lines, upper-case copies and blanks."""
+    """Packs with copies, contained lines, lower-case copies and blanks."""
     p = packs(s, d).select("query_id", "area_ix", "rank", "chunk_id", "text")
     kinds = F.array(
-        F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.upper("text").alias("t")),
+        F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.lower("text").alias("t")),
         F.struct(F.lit(2).alias("k"), F.element_at(F.split("text", "\n"), -1).alias("t")), F.struct(F.lit(3).alias("k"), F.lit(" ").alias("t")),
     )
     p = p.withColumn("x", F.explode(kinds))
@@ -193,8 +193,15 @@ def dups(s, d):
     )
 
 
+_DUPS_SQL = duck(*FX).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, top AS (SELECT p.*, c.text, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, p.doc_id) AS rank FROM fx_pairs p JOIN fx_chunks c ON c.chunk_id = p.chunk_id QUALIFY rank <= {TOP}),
+dd AS (SELECT query_id, area_ix, concat(chunk_id, '-', k) AS chunk_id, CAST(rank * 4 + k AS INT) AS pos,
+  CASE k WHEN 0 THEN text WHEN 1 THEN lower(text) WHEN 2 THEN string_split(text, chr(10))[-1] ELSE ' ' END AS t FROM top, range(0, 4) AS r(k)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY pos) AS position, {duck_strip('lower(t)')} AS low FROM dd)
+, keys AS""" + _DEDUP_SQL.split("\n, keys AS", 1)[1]
 Q["dedup_near"] = (
-    lambda s, d: R.dedup_near(dups(s, d)).select("query_id", "area_ix", "position", "chunk_id"), None,
+    lambda s, d: R.dedup_near(dups(s, d)).select("query_id", "area_ix", "position", "chunk_id"),
+    _DUPS_SQL + " SELECT query_id, area_ix, pos AS position, chunk_id FROM kept",
 )
 
 
