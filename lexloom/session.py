@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -17,12 +19,32 @@ SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the operators rely on (UTC, ANSI, AQE)."""
+    """Pin the runtime settings the operators rely on (UTC, ANSI, AQE) and send the package to the workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package, once per application (functions are pickled by name)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="lexloom-zip-"), "lexloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)
+
+
 def local_session(cpus: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the bench. Clusters bring their own."""
     cpus = cpus or os.cpu_count() or 4
@@ -40,17 +62,23 @@ def local_session(cpus: int | None = None, partitions: int | None = None, memory
 
 
 def checkpointed(df, spark: SparkSession | None = None):
-    """Cut the lineage through the reliable checkpoint folder of the cluster.
+    """Cut the lineage through the reliable checkpoint folder of the cluster."""
+    shared_folder(spark or df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder comes from ``spark.checkpoint.dir``; only where a session has
-    none (local tests) a private folder is chosen.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the application, from ``spark.checkpoint.dir``.
+
+    Where a session names none, a private folder serves local masters only: on a
+    cluster each machine would write to its own disk, so the setting is required.
     """
-    spark = spark or df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            import tempfile
-
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             configured = tempfile.mkdtemp(prefix="lexloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
