@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from lexloom.llm import quality_cnn, simhash_dedup
+from lexloom.llm import decontamination, mixing, pii, quality_cnn, simhash_dedup
 from lexloom.llm.common import table
 
 
-def op9_simhash_dedup(spark, sf_dir):
-    return simhash_dedup.op9(table(spark, sf_dir, "documents"))
+def _docs(operator, *others):
+    def query(spark, sf_dir):
+        return operator(*(table(spark, sf_dir, name) for name in ("documents", *others)))
 
-
-def op10_quality_classifier(spark, sf_dir):
-    return quality_cnn.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return query
 
 
 Q = {
-    "op9_simhash_dedup": (op9_simhash_dedup, None),
-    "op10_quality_classifier": (op10_quality_classifier, None),
+    "op1_pii": (_docs(pii.op1), None),
+    "op2_source_mixing": (_docs(mixing.op2), None),
+    "op7_benchmark_decontamination": (_docs(decontamination.op7, "benchmark"), None),
+    "op9_simhash_dedup": (_docs(simhash_dedup.op9), None),
+    "op10_quality_classifier": (_docs(quality_cnn.op10, "labels"), None),
 }
