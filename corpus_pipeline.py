@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import simhash_dedup, quality_cnn
+from lexloom.llm import decontamination, mixing, pii, quality_cnn, simhash_dedup
 from lexloom.llm.common import table
 from lexloom.session import apply_settings, shared_folder
 
@@ -30,9 +30,30 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash_dedup.deduplicated(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    apply_settings(spark)
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are masked in the text; no document goes."""
+    apply_settings(spark)
+    return pii.redacted(docs, pii.fit(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, in words, repeats counted."""
+    apply_settings(spark)
+    return mixing.mixed(docs)
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("mixing sources to target weights", mixing_stage),
 ]
 
 #: No SQL: the network, the fingerprints and the redaction have no SQL form; tests hold the stages against brute force.
