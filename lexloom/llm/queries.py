@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontamination, mixing, pii, quality_cnn, simhash_dedup
+from lexloom.llm import decontamination, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup
 from lexloom.llm.common import table
 
 
@@ -16,6 +16,8 @@ def _docs(operator, *others):
 Q = {
     "op1_pii": (_docs(pii.op1), None),
     "op2_source_mixing": (_docs(mixing.op2), None),
+    "op4_quality_rules": (_docs(quality_rules.op4), None),
+    "op6_license_scan": (_docs(license_scan.op6), license_scan.oracle()),
     "op7_benchmark_decontamination": (_docs(decontamination.op7, "benchmark"), None),
     "op9_simhash_dedup": (_docs(simhash_dedup.op9), None),
     "op10_quality_classifier": (_docs(quality_cnn.op10, "labels"), None),
