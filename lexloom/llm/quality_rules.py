@@ -94,7 +94,9 @@ def trusted(text: Column, words: Column) -> Column:
 def bin_weights(docs: DataFrame) -> list[float]:
     """log(p_trusted / p_raw) of every bin, from counts over all documents: a list of ``BUCKETS`` numbers."""
     worded = docs.select("text", words_of(F.col("text")).alias("words"))
-    rows = worded.select(F.explode(_bins(F.col("words"))).alias("bin"), trusted(F.col("text"), F.col("words")).cast("long").alias("good"))
+    # the verdict is a column of its own before the rows multiply
+    judged = worded.select(_bins(F.col("words")).alias("bins"), trusted(F.col("text"), F.col("words")).cast("long").alias("good"))
+    rows = judged.select(F.explode("bins").alias("bin"), "good")
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in rows.groupBy("bin").agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect():
         raw[r["bin"]], good[r["bin"]] = r["n"], r["good"]
