@@ -7,6 +7,7 @@ word windows are found with whole-array numpy steps. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -169,3 +172,10 @@ def byte_spans(buf: np.ndarray) -> Spans:
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return byte_spans(buf).of(starts, ends)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read again: cuts the lineage, and columns are read singly."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontamination, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup
+from lexloom.llm import decontamination, lattice_lm, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup
 from lexloom.llm.common import table
 
 
@@ -19,6 +19,7 @@ Q = {
     "op4_quality_rules": (_docs(quality_rules.op4), None),
     "op6_license_scan": (_docs(license_scan.op6), license_scan.oracle()),
     "op7_benchmark_decontamination": (_docs(decontamination.op7, "benchmark"), None),
+    "op8_lattice_lm": (_docs(lattice_lm.op8), None),
     "op9_simhash_dedup": (_docs(simhash_dedup.op9), None),
     "op10_quality_classifier": (_docs(quality_cnn.op10, "labels"), None),
 }
