@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontamination, lattice_lm, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup
+from lexloom.llm import decontamination, lattice_lm, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup, substring_dedup, suffix_dedup
 from lexloom.llm.common import table
 
 
@@ -16,7 +16,9 @@ def _docs(operator, *others):
 Q = {
     "op1_pii": (_docs(pii.op1), None),
     "op2_source_mixing": (_docs(mixing.op2), None),
+    "op3_suffix_dedup": (_docs(suffix_dedup.op3), None),
     "op4_quality_rules": (_docs(quality_rules.op4), None),
+    "op5_substring_dedup": (_docs(substring_dedup.op5), None),
     "op6_license_scan": (_docs(license_scan.op6), license_scan.oracle()),
     "op7_benchmark_decontamination": (_docs(decontamination.op7, "benchmark"), None),
     "op8_lattice_lm": (_docs(lattice_lm.op8), None),
