@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(groups.select("fp")))
     known = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = checkpointed(known)  # both sides of the next join are then plain, so a root with very many members can be split
+    least = checkpointed(known.groupBy("root").agg(F.min("least").alias("component_id")))
     named = known.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
