@@ -98,15 +98,20 @@ def tree_paths(nodes: DataFrame, levels: int = 16) -> DataFrame:
     Pointer doubling: each round joins a path to the path of its topmost node,
     so 16 levels take four equi-joins over narrow rows. The rounds reuse one
     table, which is checkpointed so that they never repeat what led to it. Ranks
-    bound the depth below 11; only chains of parent hints can be deeper, for
-    which ``levels`` can be raised.
+    bound the depth below 11; chains of parent hints can be deeper, so rounds go
+    on, each checkpointed, until no path has a node above it. ``levels`` is how
+    deep paths may be before that is looked at.
     """
     nodes = checkpointed(nodes)
     label = filled(F.col("number"), F.coalesce("title", F.lit("")))
     step = F.struct(F.col("node_ix").alias("ix"), F.col("node_type").alias("node_type"), label.alias("label"))
     paths = nodes.select("doc_id", "node_ix", F.array(step).alias("path"), F.col("parent_ix").alias("up"))
     reach = 1
-    while reach < levels:
+    while True:
+        if reach >= levels:
+            paths = checkpointed(paths)
+            if paths.where("up IS NOT NULL").isEmpty():
+                break
         above = paths.select(
             "doc_id", F.col("node_ix").alias("up"), F.col("path").alias("__above"), F.col("up").alias("__up")
         )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import constants as K
 from lexloom.functions import rules as R
+from lexloom.functions.blocked import dense_index
 from lexloom.functions.text import filled, lookup, strip
 
 
@@ -39,13 +40,16 @@ def _with_history(turns: DataFrame, n: int, values: dict[str, Column], block: in
 
     A session is cut into blocks of consecutive turns; the last ``n`` turns of a
     block are also copied into the next one, so a very long session is spread over
-    tasks and the row frame stays exact. ``turn_index`` counts without gaps, as
-    ``append_turn`` numbers turns.
+    tasks and the row frame stays exact. Blocks count turns, not turn numbers, so
+    gaps in ``turn_index`` lose no history.
     """
+    if block < n:
+        raise ValueError("a block must hold the whole history")
     cols = turns.columns
     d = turns.select("*", *[v.alias(f"__v_{name}") for name, v in values.items()])
-    own = F.floor(F.col("turn_index") / block)
-    copied = F.when(F.col("turn_index") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    d = dense_index(d, ["session_id"], "turn_index", "__ix", block=block)
+    own = F.floor(F.col("__ix") / block)
+    copied = F.when(F.col("__ix") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
     d = d.withColumn("__blk", F.explode(copied)).withColumn("__own", F.col("__blk") == own)
     w = Window.partitionBy("session_id", "__blk").orderBy("turn_index").rowsBetween(-n, -1)
     out = d.select(*cols, "__own", *[F.last(f"__v_{name}", ignorenulls=True).over(w).alias(name) for name in values])

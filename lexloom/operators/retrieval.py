@@ -108,13 +108,21 @@ def collect_packs(*packs: DataFrame) -> DataFrame:
 
 
 # --- exact similarity top-k ----------------------------------------------------------------
-def _matrix(values) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=np.float64) for v in values], dtype=np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 
 
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a list column without nulls and of one length, straight from its buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
+
+
 SCORE_CELLS = 4_000_000  # scores held at once in a task
+BM25_ROWS = 512  # chunks scored at once
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
@@ -171,10 +179,19 @@ def cosine_topk(
     each task keeps k per query. Otherwise both sides are cut into blocks of
     ``block_rows`` and every pair of blocks is one task-sized product that emits
     k rows per query. ``blocked`` forces the choice.
+
+    Rows whose vector is null or has another length than the queries' longest take
+    no part; a null in an ``on`` column equals nothing.
     """
     on = list(on)
-    q = queries.select(*on, F.col(q_id).alias("__q"), F.col("embedding").alias("__qv"))
-    c = chunks.select(*on, F.col(c_id).alias("__c"), F.col("embedding").alias("__cv"))
+    key = F.to_json(F.struct(*on)) if on else F.lit("")
+    known = F.lit(True)
+    for name in on:
+        known &= F.col(name).isNotNull()
+    q = queries.where(known).select(key.alias("__k"), F.col(q_id).alias("__q"), F.col("embedding").alias("__qv"))
+    c = chunks.where(known).select(key.alias("__k"), F.col(c_id).alias("__c"), F.col("embedding").alias("__cv"))
+    dim = q.agg(F.max(F.size("__qv"))).first()[0] or 0
+    q, c = q.where(F.size("__qv") == dim), c.where(F.size("__cv") == dim)
     schema = T.StructType(
         [
             T.StructField("__q", q.schema["__q"].dataType),
@@ -184,72 +201,77 @@ def cosine_topk(
     )
     local = None
     if not blocked:
-        local = _bounded_queries(q)
+        local = _bounded_queries(q, dim)
         if local is None and blocked is False:
             raise ValueError("query vectors exceed the broadcast bound; use blocked=True")
-    hits = _scan_in_place(local, q, c, on, k, schema, not_self) if local is not None else _blocked(
-        q, c, on, k, schema, not_self, block_rows
+    hits = _scan_in_place(local, c, k, schema, not_self) if local is not None else _blocked(
+        q, c, k, schema, not_self, block_rows
     )
     out = _top_k(hits, ["__q"], "__c", k)
     return out.select(F.col("__q").alias(q_id), F.col("__c").alias(c_id), "score", "rank")
 
 
-def _bounded_queries(q: DataFrame):
+def _bounded_queries(q: DataFrame, dim: int):
     """The query rows, if their total size passes the check; else None."""
-    dim = q.select(F.size("__qv").alias("d")).agg(F.max("d"), F.count("*")).first()
-    if not dim[1] or dim[0] * dim[1] * 8 > BROADCAST_QUERY_BYTES:
-        return None if dim[1] else []
+    n = q.count()
+    if n * dim * 8 > BROADCAST_QUERY_BYTES:
+        return None
     return q.toArrow()
 
 
-def _scan_in_place(local, q, c, on, k, schema, not_self) -> DataFrame:
+def _scan_in_place(local: pa.Table, c, k, schema, not_self) -> DataFrame:
     spark = c.sparkSession
-    if isinstance(local, list):
+    if not local.num_rows:
         return spark.createDataFrame([], schema)
-    keys = list(zip(*[local.column(x).to_pylist() for x in on])) if on else [()] * local.num_rows
+    keys = np.array(local.column("__k").to_pylist(), dtype=object)
     ids = np.array(local.column("__q").to_pylist())
-    vecs = _matrix(local.column("__qv").to_pylist())
-    groups: dict = {}
-    for i, key in enumerate(keys):
-        groups.setdefault(key, []).append(i)
-    shared = spark.sparkContext.broadcast({key: (ids[ix], vecs[ix]) for key, ix in groups.items()})
+    vecs = _vectors(local.column("__qv"))
+    q_type = local.column("__q").type
+    shared = spark.sparkContext.broadcast({key: (ids[keys == key], vecs[keys == key]) for key in set(keys)})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         kept: dict = {}
+        c_type = None
         for batch in batches:
-            b_keys = list(zip(*[batch.column(x).to_pylist() for x in on])) if on else [()] * batch.num_rows
-            rows: dict = {}
-            for i, key in enumerate(b_keys):
-                if key in table:
-                    rows.setdefault(key, []).append(i)
-            if not rows:
+            if not batch.num_rows:
                 continue
-            c_ids = np.array(batch.column("__c").to_pylist())
-            values = batch.column("__cv")
-            for key, ix in rows.items():
-                take = np.asarray(ix)
-                mat = _matrix(values.take(pa.array(take)).to_pylist())
+            c_type = batch.column("__c").type
+            coded = batch.column("__k").dictionary_encode()
+            codes = coded.indices.to_numpy()
+            found = [(i, key) for i, key in enumerate(coded.dictionary.to_pylist()) if key in table]
+            if not found:
+                continue
+            c_ids = np.asarray(batch.column("__c").to_pylist())
+            mat = _vectors(batch.column("__cv"))
+            for i, key in found:
+                take = np.flatnonzero(codes == i)
                 q_ids, q_mat = table[key]
-                r, cid, val = _score_block(q_ids, q_mat, c_ids[take], mat, k, not_self)
+                r, cid, val = _score_block(q_ids, q_mat, c_ids[take], mat[take], k, not_self)
                 part = pd.DataFrame({"r": r, "c": cid, "s": val})
-                if key in kept:
-                    part = pd.concat([kept[key], part])
-                    part = part.sort_values(["r", "s", "c"], ascending=[True, False, True]).groupby("r").head(k)
-                kept[key] = part
+                kept[key] = _kept(kept.get(key), part, k)
         for key, part in kept.items():
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"__q": table[key][0][part["r"].to_numpy()], "__c": part["c"].to_numpy(), "score": part["s"].to_numpy()}),
-                preserve_index=False,
-            )
+            yield _hits(table[key][0], q_type, part, c_type, ["__q", "__c", "score"])
 
     return c.mapInArrow(scan, schema)
 
 
-def _blocked(q, c, on, k, schema, not_self, block_rows) -> DataFrame:
+def _hits(q_ids: np.ndarray, q_type: pa.DataType, part: pd.DataFrame, c_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    """Kept rows with the id types of their tables."""
+    q, c = pa.array(q_ids[part["r"].to_numpy()], q_type), pa.array(part["c"].to_numpy(), c_type)
+    return pa.RecordBatch.from_arrays([q, c, pa.array(part["s"].to_numpy(), pa.float64())], names)
+
+
+def _kept(before: pd.DataFrame | None, part: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows per query (r) of what a task has seen: score (s) descending, id (c) ascending."""
+    if before is None:
+        return part
+    part = pd.concat([before, part])
+    return part.sort_values(["r", "s", "c"], ascending=[True, False, True]).groupby("r").head(k)
+
+
+def _blocked(q, c, k, schema, not_self, block_rows) -> DataFrame:
     """Block-by-block products as a cogroup; both group sides are bounded by the block size."""
-    key = F.struct(*on) if on else F.struct(F.lit(1).alias("one"))
-    q, c = q.withColumn("__k", key), c.withColumn("__k", key)
 
     def counts(df, name):
         n = F.ceil(F.count("*") / F.lit(block_rows)).cast("int")
@@ -262,18 +284,17 @@ def _blocked(q, c, on, k, schema, not_self, block_rows) -> DataFrame:
     c = c.join(plan, "__k").withColumn("__cb", F.pmod(F.xxhash64("__c"), "__nc").cast("int"))
     c = c.withColumn("__qb", F.explode(F.sequence(F.lit(0), F.col("__nq") - 1)))
     bkeys = ["__k", "__qb", "__cb"]
-    kb = [F.to_json("__k").alias("__k"), "__qb", "__cb"]
-    qg = q.select(*kb, "__q", "__qv").groupBy(*bkeys)
-    cg = c.select(*kb, "__c", "__cv").groupBy(*bkeys)
+    qg = q.select(*bkeys, "__q", "__qv").groupBy(*bkeys)
+    cg = c.select(*bkeys, "__c", "__cv").groupBy(*bkeys)
 
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"__q": [], "__c": [], "score": []})
-        ids = left["__q"].to_numpy()
-        r, cid, val = _score_block(ids, _matrix(left["__qv"]), right["__c"].to_numpy(), _matrix(right["__cv"]), k, not_self)
-        return pd.DataFrame({"__q": ids[r], "__c": cid, "score": val})
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"__q": left["__q"][:0], "__c": right["__c"][:0], "score": pa.array([], pa.float64())})
+        ids, names = np.asarray(left["__q"].to_pylist()), np.asarray(right["__c"].to_pylist())
+        r, cid, val = _score_block(ids, _vectors(left["__qv"]), names, _vectors(right["__cv"]), k, not_self)
+        return pa.table({"__q": pa.array(ids[r], left["__q"].type), "__c": pa.array(cid, right["__c"].type), "score": pa.array(val)})
 
-    return qg.cogroup(cg).applyInPandas(product, schema)
+    return qg.cogroup(cg).applyInArrow(product, schema)
 
 
 def overfetch(queries: DataFrame, chunks: DataFrame, k: int, multiplier: int = 3, **kw) -> DataFrame:
@@ -285,27 +306,39 @@ def filtered_topk(sub_queries: DataFrame, chunks: DataFrame, k: int = K.RETRIEVA
     """Routed, filtered retrieval of sub-queries (keyed by query_id, area_ix).
 
     The area and product filters turn into equality with exploded accepted
-    values, so only matching (sub-query, chunk) pairs are ever scored.
+    values, so only matching (sub-query, chunk) pairs are ever scored. No areas or
+    no category means no such filter.
     """
     have = set(chunks.columns)
     sq = sub_queries.withColumn("__sub", F.concat_ws("#", F.col("query_id").cast("string"), F.col("area_ix").cast("string")))
-    on = []
+    keyed = chunks
+    always = []
     if "collection_name" in have:
-        sq = sq.withColumn("__coll", F.col("collection"))
-        chunks = chunks.withColumn("__coll", F.col("collection_name"))
-        on.append("__coll")
+        sq, keyed = sq.withColumn("__coll", F.col("collection")), keyed.withColumn("__coll", F.col("collection_name"))
+        always.append("__coll")
+    wanted: dict = {}
     if "legal_area" in have:
-        sq = sq.withColumn("__area", F.explode_outer(expand_areas(F.col("filter_areas"))))
-        chunks = chunks.withColumn("__area", F.col("legal_area"))
-        on.append("__area")
+        areas = expand_areas(F.coalesce("filter_areas", F.array().cast("array<string>")))
+        wanted["__area"] = F.when(F.size(areas) > 0, areas)
+        keyed = keyed.withColumn("__area", F.col("legal_area"))
     if "applicable_product" in have:
-        # No category, no filter: such a sub-query takes the "any" bucket, which
-        # every chunk also enters; otherwise the accepted values are listed.
-        wanted = F.coalesce(accepted_products(F.col("product_category")), F.array(F.lit("*")))
-        sq = sq.withColumn("__prod", F.explode_outer(wanted))
-        chunks = chunks.withColumn("__prod", F.explode_outer(F.array(F.lit("*"), F.col("applicable_product"))))
-        on.append("__prod")
-    hits = cosine_topk(sq, chunks, k, q_id="__sub", on=on)
+        wanted["__prod"] = F.array_distinct(accepted_products(F.col("product_category")))
+        keyed = keyed.withColumn("__prod", F.col("applicable_product"))
+    # Sub-queries without areas or category have no such filter. They are searched
+    # apart, on fewer keys, so that no chunk is ever listed under several values.
+    flags = [c.isNotNull().alias(name) for name, c in wanted.items()]
+    hits = None
+    for row in sq.select(*flags, F.lit(True).alias("any")).distinct().collect():
+        part, on = sq, list(always)
+        for name, values in wanted.items():
+            part = part.where(values.isNotNull() if row[name] else values.isNull())
+            if row[name]:
+                part = part.withColumn(name, F.explode_outer(values))
+                on.append(name)
+        found = cosine_topk(part, keyed, k, q_id="__sub", on=on)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = cosine_topk(sq, keyed, k, q_id="__sub")
     subs = sub_queries.withColumn(
         "__sub", F.concat_ws("#", F.col("query_id").cast("string"), F.col("area_ix").cast("string"))
     )
@@ -423,30 +456,39 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b:
 
 
 def _bm25_scan(asked: pa.Table, weights: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    ids = np.array(asked.column("query_id").to_pylist())
+    ids, q_type = np.array(asked.column("query_id").to_pylist()), asked.column("query_id").type
     postings: dict = {}
     for i, terms in enumerate(asked.column("terms").to_pylist()):
         for t in terms:
             postings.setdefault(t, []).append(i)
     shared = weights.sparkSession.sparkContext.broadcast((ids, {t: np.array(ix) for t, ix in postings.items()}))
 
+    def scored(part: pa.RecordBatch, posts: dict, n: int) -> pd.DataFrame:
+        """(query, chunk, score) of the pairs that share a word; nothing is held for the others."""
+        pair, add = [], []
+        for col, terms in enumerate(part.column("terms").to_pylist()):
+            for t, w in sorted(terms):
+                if t in posts:  # the weights hold the words of all queries, the postings those of one slice
+                    pair.append(col * n + posts[t])
+                    add.append(np.full(len(posts[t]), w))
+        if not pair:
+            return pd.DataFrame({"r": np.zeros(0, int), "c": [], "s": []})
+        key, where = np.unique(np.concatenate(pair), return_inverse=True)
+        total = np.round(np.bincount(where, np.concatenate(add)), 6)
+        names = np.asarray(part.column("chunk_id").to_pylist())
+        best = pd.DataFrame({"r": key % n, "c": names[key // n], "s": total})
+        return best.sort_values(["r", "s", "c"], ascending=[True, False, True]).groupby("r").head(k)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, posts = shared.value
-        step = max(1, SCORE_CELLS // max(1, len(q_ids)))
+        kept = c_type = None
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                scores = np.full((len(q_ids), part.num_rows), -np.inf)
-                for col, terms in enumerate(part.column("terms").to_pylist()):
-                    total = np.zeros(len(q_ids))
-                    seen = np.zeros(len(q_ids), dtype=bool)
-                    for t, w in sorted(terms):
-                        total[posts[t]] += w
-                        seen[posts[t]] = True
-                    scores[seen, col] = np.round(total[seen], 6)
-                r, names, vals = _best(scores, np.asarray(part.column("chunk_id").to_pylist()), k)
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({"query_id": q_ids[r], "chunk_id": names, "score": vals}), preserve_index=False
-                )
+            c_type = batch.column("chunk_id").type
+            for at in range(0, batch.num_rows, BM25_ROWS):
+                part = scored(batch.slice(at, BM25_ROWS), posts, max(1, len(q_ids)))
+                if len(part):
+                    kept = _kept(kept, part, k)
+        if kept is not None:
+            yield _hits(q_ids, q_type, kept, c_type, ["query_id", "chunk_id", "score"])
 
     return weights.select("chunk_id", "terms").mapInArrow(scan, schema)

@@ -372,10 +372,14 @@ def slice_spans(spans: DataFrame, docs: DataFrame, out: str = "original_text", s
     parts = parts.join(text_pieces(docs, size), ["doc_id", "piece_no"], "left").select(*cols, "piece_no", part.alias("part"))
     nested = {f.name for f in spans.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
     texts = parts.groupBy(*[c for c in cols if c not in nested]).agg(
-        F.collect_list(F.struct("piece_no", "part")).alias("ps"), *[F.first(c).alias(c) for c in cols if c in nested]
+        F.collect_set(F.struct("piece_no", "part")).alias("ps"), F.count("*").alias("__n"),
+        *[F.first(c).alias(c) for c in cols if c in nested],
     )
     joined = F.array_join(F.transform(F.array_sort("ps"), lambda x: x["part"]), "")
-    return texts.select(*cols, joined.alias(out))
+    # Equal spans meet in one group: each piece is then there once per span.
+    times = (F.col("__n") / F.size("ps")).cast("int")
+    found = texts.select(*cols, joined.alias(out), times.alias("__times"))
+    return found.select(*cols, out, F.explode_outer(F.sequence(F.lit(1), "__times")).alias("__i")).drop("__i")
 
 
 # --- validation --------------------------------------------------------------------------

@@ -67,7 +67,7 @@ def chunk_nodes(
     drop = ["text", "original_text", "path", "ancestors", "rank", "parent_ix", "parent_hint", "detection_method", "doc_title"]
     chunks = _situated(splits.drop(*drop), cache, generator, contextual)
     chunks = chunks.withColumn("structure_confidence", F.col("confidence"))
-    chunks = chunks.withColumn("position", F.col("node_ix").cast("long") * 1_000_000 + F.col("chunk_index"))
+    chunks = chunks.withColumn("position", F.shiftleft(F.col("node_ix").cast("long"), 32) + F.col("chunk_index"))
     return C.enrich(chunks, manifest)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.text import uuid5
 
@@ -13,7 +14,18 @@ def unique_ids(chunks: DataFrame, position: str = "position") -> DataFrame:
 
     The first position per id is a map-side-combined minimum. Its join is by
     chunk_id, which adaptive execution splits when copies of one id dominate.
+    Rows that share id and position are told apart by a further ``_{n}``, counted in
+    the order of their contents; only such rows are ranked.
     """
+    pairs = chunks.groupBy("chunk_id", position).agg(F.count("*").alias("__m")).where("__m > 1").drop("__m")
+    if not pairs.isEmpty():
+        plain = [f.name for f in chunks.schema.fields if not isinstance(f.dataType, T.MapType)]
+        w = Window.partitionBy("chunk_id", position).orderBy(F.xxhash64(*plain))
+        same = chunks.join(pairs, ["chunk_id", position], "left_semi").withColumn("__k", F.row_number().over(w) - 1)
+        tail = F.when(F.col("__k") > 0, F.concat(F.lit("_"), F.col("__k").cast("string"))).otherwise("")
+        again = unique_ids(same.where("__k = 0").drop("__k").unionByName(chunks.join(pairs, ["chunk_id", position], "left_anti")), position)
+        more = same.where("__k > 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("_dup"), F.col(position).cast("string"), tail))
+        return again.unionByName(more.drop("__k").withColumn("point_id", uuid5(F.col("chunk_id"))))
     first = chunks.groupBy("chunk_id").agg(F.min(position).alias("__first"), F.count("*").alias("__n"))
     repeated = first.where("__n > 1").select("chunk_id", "__first")
     out = chunks.join(repeated, "chunk_id", "left")

@@ -36,9 +36,12 @@ def ingest_stream(
         .load(source_dir).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
 
+    root = source_dir.rstrip("/")
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-        docs = batch.select(F.url_decode(name).alias("doc_id"), "text")
+        # The path below the source folder names a document: files of one name in two folders stay two.
+        below = F.element_at(F.split("path", F.concat(F.lit("\\Q"), F.lit(root), F.lit("/\\E"))), -1)
+        docs = batch.select(F.url_decode(F.regexp_replace(below, r"\.[^./]*$", "")).alias("doc_id"), "text")
         try:
             seen = spark.read.parquet(store).where(F.col("ingest_batch") != batch_id).select("source_id").distinct()
             docs = docs.join(seen, docs["doc_id"] == seen["source_id"], "left_anti")
