@@ -196,7 +196,8 @@ def retry_loop(
 ) -> DataFrame:
     """Answer all queries, then give the failed ones ``rounds`` more attempts.
 
-    ``attempt(queries, round)`` returns one row per query with ``status``. Each
+    ``attempt(queries, round)`` returns one row per query with ``status``, and may return
+    ``unverified`` citations, which the next attempt gets as a column. Each
     result is checkpointed to the reliable folder, so a lost executor or a later
     round never repeats earlier retrieval, and a round without failures ends it.
     """
@@ -205,7 +206,8 @@ def retry_loop(
         failed = out.where("status = 'abstained'")
         if failed.isEmpty():
             break
-        again = checkpointed(attempt(queries.join(failed.select("query_id"), "query_id", "left_semi"), i))
+        hints = ["unverified"] if "unverified" in out.columns else []
+        again = checkpointed(attempt(queries.join(failed.select("query_id", *hints), "query_id"), i))
         done = out.join(again.select("query_id"), "query_id", "left_anti")
         out = done.unionByName(again, allowMissingColumns=True)
     return out

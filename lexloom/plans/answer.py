@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import rules as R
 from lexloom.operators import evidence as E
 from lexloom.operators import questions as Q
 from lexloom.operators.rerank import rerank
@@ -42,14 +43,25 @@ def ranked_evidence(sub_queries: DataFrame, packs: DataFrame) -> DataFrame:
 def answer(
     queries: DataFrame, chunks: DataFrame, encoder: Callable | None = None, dim: int = 256,
     generator: Callable[[DataFrame], DataFrame] | None = None, verify: bool = False, retries: int = 1,
+    extracted: DataFrame | None = None, generated: DataFrame | None = None, max_rounds: int = 2,
 ) -> DataFrame:
-    """One row per question: status, final_answer, context and sources.
+    """One row per question: status, final_answer, context, sources and pending_questions.
 
     ``generator`` maps (query_id, prompt) rows to (query_id, answer); without it
     the retrieved context itself is the answer. ``verify`` adds the citation
-    check. Failed questions are retried once over all areas.
+    check. ``extracted`` and ``generated`` are a model's readings and descriptions
+    of the products. Failed questions are retried once over all areas, with the
+    citations that could not be verified as hints.
+
+    General questions are answered at once, without retrieval. Questions that lack
+    a load-bearing fact stop with ``needs_clarification`` and what to ask, for at most
+    ``max_rounds`` rounds (a column ``clarification_round`` counts them).
     """
-    prepared = checkpointed(prepare(queries))
+    everyone = checkpointed(prepare(queries, extracted, generated))
+    round_no = F.col("clarification_round") if "clarification_round" in queries.columns else F.lit(0)
+    direct = F.coalesce(R.bypass_gate(F.col("intent")), F.lit(False))
+    asks = F.coalesce(R.clarify_gate(F.col("intent"), F.col("missing_facts"), round_no, max_rounds), F.lit(False))
+    prepared = everyone.where(~direct & ~asks)
 
     def attempt(part: DataFrame, round_no: int) -> DataFrame:
         subs = Q.decompose(part) if round_no == 0 else Q.retry_decompose(part)
@@ -66,9 +78,10 @@ def answer(
         if verify:
             v = E.verify_citations(d.select("query_id", "answer"), evidence)
             v = v.select("query_id", F.col("passed").alias("__ok"), F.col("reason").alias("__why"), "verified", "unverified")
-            d = d.join(v, "query_id", "left")
+            d = d.drop("unverified").join(v, "query_id", "left")
             d = d.withColumns({"reason": F.coalesce("reason", "__why"), "passed": F.col("passed") & F.col("__ok")})
             d = d.drop("__ok", "__why")
+        # Every pack of a question is ranked, so ranked evidence is empty only where nothing was found.
         sources = E.format_sources(evidence).groupBy("query_id").agg(
             F.array_sort(
                 F.collect_list(F.struct("source_no", "id", "title", "provision", "pages", "chunk_ids"))
@@ -76,9 +89,28 @@ def answer(
         )
         return E.gate_answers(d).join(sources, "query_id", "left")
 
-    return E.retry_loop(prepared, attempt, retries)
+    out = E.retry_loop(prepared, attempt, retries)
+    if generator is None:
+        greeted = everyone.where(direct).withColumn("answer", F.lit(""))
+    else:
+        made = generator(Q.build_prompts(everyone.where(direct), "answer").select("query_id", "prompt"))
+        greeted = everyone.where(direct).join(made.select("query_id", "answer"), "query_id", "left")
+    greeted = greeted.withColumns({"status": F.lit("answered"), "final_answer": F.col("answer")})
+    open_ = everyone.where(~direct & asks)
+    questions = Q.clarification_questions(open_)
+    one = F.struct("question_no", "field", "question", "options")
+    pending = questions.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("pending_questions"))
+    paused = (
+        open_.withColumn("status", F.lit("needs_clarification"))
+        .join(Q.clarification_message(questions), "query_id", "left")
+        .join(pending, "query_id", "left")
+    )
+    return out.unionByName(greeted, allowMissingColumns=True).unionByName(paused, allowMissingColumns=True)
 
 
 def chat_result(answers: DataFrame) -> DataFrame:
-    """The result record, with sources as JSON for a text sink."""
-    return answers.select("query_id", "status", F.col("final_answer").alias("answer"), F.to_json("sources").alias("sources"))
+    """The result record, with sources and pending questions as JSON for a text sink."""
+    return answers.select(
+        "query_id", "status", F.col("final_answer").alias("answer"), F.to_json("sources").alias("sources"),
+        F.to_json("pending_questions").alias("questions"),
+    )
