@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import small_batches
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 16 << 20
 LAST = (1 << 63) - 1  # stands for a null id: later than all others
 MESSAGE = "slice long, block long, keys binary, info binary"
