@@ -295,8 +295,10 @@ SELECT doc_id, generated_context, sha256(concat(generated_context, chr(10), chr(
 Q["context_prompt"] = (
     lambda s, d: C.context_prompt(
         table(s, d, "documents").select("doc_id", F.col("text").alias("parent_context"), F.col("source").alias("split_text"))
-    ).select("doc_id", F.length("prompt").alias("prompt_length")),
-    None,
+    ).select("doc_id", F.sha2("prompt", 256).alias("prompt_hash")),
+    """SELECT doc_id, sha256('<document>' || chr(10) || substring(text, 1, 3500) || chr(10) || '</document>' || chr(10) || '<chunk>' || chr(10) || source
+  || chr(10) || '</chunk>' || chr(10)
+  || 'Situate the chunk within the document in 50-100 tokens, for better search. Reply with that context only.') AS prompt_hash FROM documents""",
 )
 
 
@@ -308,7 +310,28 @@ def packed(s, d):
     )
 
 
-Q["pack_paragraphs"] = (packed, None)
+Q["pack_paragraphs"] = (
+    packed,
+    # one recursion step per paragraph of a document
+    f"""WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, t, [y FOR y IN [{duck_strip("x")} FOR x IN string_split(t, chr(10) || chr(10))] IF y <> ''] AS ps FROM d),
+fold AS (
+  SELECT doc_id, t, ps, 0 AS i, CAST([] AS STRUCT(txt VARCHAR, oversize BOOLEAN)[]) AS done, CAST(NULL AS VARCHAR) AS o, 0::BIGINT AS n FROM p
+  UNION ALL
+  SELECT doc_id, t, ps, i + 1,
+    CASE WHEN length(ps[i + 1]) > 400
+      THEN list_concat(CASE WHEN o IS NULL THEN done ELSE list_append(done, {{'txt': o, 'oversize': false}}) END, [{{'txt': ps[i + 1], 'oversize': true}}])
+      WHEN o IS NOT NULL AND n + length(ps[i + 1]) + 2 > 400 THEN list_append(done, {{'txt': o, 'oversize': false}})
+      ELSE done END,
+    CASE WHEN length(ps[i + 1]) > 400 THEN NULL WHEN o IS NOT NULL AND n + length(ps[i + 1]) + 2 > 400 THEN ps[i + 1]
+      ELSE concat_ws(chr(10) || chr(10), o, ps[i + 1]) END,
+    CASE WHEN length(ps[i + 1]) > 400 THEN 0 WHEN o IS NOT NULL AND n + length(ps[i + 1]) + 2 > 400 THEN length(ps[i + 1])
+      ELSE n + length(ps[i + 1]) + 2 END
+  FROM fold WHERE i < len(ps)),
+ended AS (SELECT doc_id, t, CASE WHEN o IS NULL THEN done ELSE list_append(done, {{'txt': o, 'oversize': false}}) END AS done FROM fold WHERE i = len(ps)),
+whole AS (SELECT doc_id, CASE WHEN length(t) <= 400 OR len(done) = 0 THEN [{{'txt': t, 'oversize': false}}] ELSE done END AS done FROM ended)
+SELECT doc_id, CAST(generate_subscripts(done, 1) - 1 AS INT) AS piece_no, unnest(done).txt AS text, unnest(done).oversize AS oversize FROM whole""",
+)
 Q["split_recursive"] = (
     lambda s, d: C.split_recursive(table(s, d, "documents").select("doc_id", "text"), "text"), None,
 )
