@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from lexloom.operators import citations as C
 from lexloom.operators import retrieval as V
 from lexloom.operators.evidence import guardrail
 from lexloom.plans.answer import answer, chat_result
+from lexloom.session import shared_folder
 from lexloom.plans.audit import audit
 from lexloom.streaming.sessions import session_machine, session_machine_batch
 from lexloom.streaming.turn_log import turn_log
@@ -212,7 +212,7 @@ Q["session_batch"] = (lambda s, d: session_machine_batch(session_turns(s, d)).se
 def _stream(s, d, name):
     """The adapter as a stream over a copy of the table's schema and folder."""
     path = f"{d}/events.parquet"
-    raw = s.readStream.schema(s.read.parquet(path).schema).parquet(os.path.dirname(path) + "/events*.parquet")
+    raw = s.readStream.schema(s.read.parquet(path).schema).parquet(os.path.dirname(path) + "/[e]vents.parquet")
     return raw.selectExpr(
         "user_id AS session_id", "event_id AS turn_index", "CAST(ts AS TIMESTAMP) AS ts",
         "CASE event_type WHEN 'click' THEN 'it is an oral capsule' WHEN 'view' THEN 'a proprietary neem cream' WHEN 'purchase' THEN 'for india, therapeutic' "
@@ -222,8 +222,7 @@ def _stream(s, d, name):
 
 def _run(s, df, mode="append"):
     """Run a stream over all available input into parquet and read it back."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    out = tempfile.mkdtemp(prefix="lexloom-stream-") if base is None else f"{base}/lexloom-stream-{os.urandom(6).hex()}"
+    out = f"{shared_folder(s)}/lexloom-stream-{os.urandom(6).hex()}"
     before = s.conf.get("spark.sql.shuffle.partitions")
     if s.sparkContext.master.startswith("local"):  # one state store per core is enough on one machine
         s.conf.set("spark.sql.shuffle.partitions", str(s.sparkContext.defaultParallelism))
@@ -297,7 +296,8 @@ def corpus(s, d):
 def answered(s, d):
     q = fx(s, d, "fx_queries").select("query_id", "query")
     out = chat_result(answer(q, corpus(s, d), dim=128, verify=True))
-    return out.select("query_id", "status", F.length("answer").alias("answer_length"), F.length("sources").alias("sources_length"))
+    hashes = [F.sha2(c, 256).alias(f"{c}_hash") for c in ("answer", "sources", "questions")]
+    return out.select("query_id", "status", *hashes)
 
 
 def audited(s, d):

@@ -97,13 +97,14 @@ SELECT query_id, CASE WHEN ask AND category = 'unclassified' AND x <> 'unclassif
 
 
 def hyde(s, d):
-    g = asked(s, d).where("turn = 0").selectExpr("query_id", "concat(' generated ', query_id) AS generated")
-    return P.hyde_gate(cls(s, d).where("turn = 0"), g).select("query_id", "hyde_eligible", "hyde_context")
+    every = cls(s, d).withColumn("query_id", F.concat_ws("-", "query_id", "turn"))
+    g = asked(s, d).selectExpr("concat_ws('-', query_id, turn) AS query_id").selectExpr("query_id", "concat(' generated ', query_id) AS generated")
+    return P.hyde_gate(every, g).select("query_id", "hyde_eligible", "hyde_context")
 
 
 Q["hyde_gate"] = (
     hyde,
-    CLS_SQL + f", h AS (SELECT query_id, length({duck_strip('coalesce(description, chr(32))')}) > 20 AND category <> 'unclassified' AND confidence >= 0.65 AS ok FROM cls WHERE turn = 0) "
+    CLS_SQL + f", h AS (SELECT concat(query_id, '-', turn) AS query_id, length({duck_strip('coalesce(description, chr(32))')}) > 20 AND category <> 'unclassified' AND confidence >= 0.65 AS ok FROM cls) "
     "SELECT query_id, ok AS hyde_eligible, CASE WHEN ok THEN concat('generated ', query_id) END AS hyde_context FROM h",
 )
 _SLOTS = {s: first_of("low", r) for s, r in K.SLOT_RULES.items()}
@@ -236,7 +237,7 @@ Q["retry_decompose"] = (
 
 
 def prompts(s, d):
-    q = cls(s, d).where("turn = 0").withColumn("abstract", F.col("query")).withColumn("classification", F.col("category"))
+    q = cls(s, d).withColumn("query_id", F.concat_ws("-", "query_id", "turn")).withColumn("abstract", F.col("query")).withColumn("classification", F.col("category"))
     out = None
     for kind in ("understand", "classify", "hyde", "answer", "audit"):
         p = P.build_prompts(q, kind).select("query_id", F.lit(kind).alias("kind"), F.contains("prompt", "query").alias("has_query"))
@@ -246,7 +247,7 @@ def prompts(s, d):
 
 Q["build_prompts"] = (
     prompts,
-    CLS_SQL + " SELECT query_id, kind, kind IN ('understand', 'answer', 'audit') OR coalesce(description, '') <> '' AS has_query FROM cls, (VALUES ('understand'), ('classify'), ('hyde'), ('answer'), ('audit')) AS k(kind) WHERE turn = 0",
+    CLS_SQL + " SELECT concat(query_id, '-', turn) AS query_id, kind, kind IN ('understand', 'answer', 'audit') OR coalesce(description, '') <> '' AS has_query FROM cls, (VALUES ('understand'), ('classify'), ('hyde'), ('answer'), ('audit')) AS k(kind)",
 )
 Q["strip_thinking"] = (
     lambda s, d: fx(s, d, "fx_turns").select(
