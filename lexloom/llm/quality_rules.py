@@ -2,7 +2,7 @@
 
 Words and word pairs are hashed into ``BUCKETS`` bins. Two multinomials over the bins
 are counted over all documents: the raw corpus, and its trusted part (``trusted``:
-enough words, no markup symbols, no repeated lines, varied words). A document's score is
+enough words, varied ones, no markup symbols). A document's score is
 the mean of ``log(p_trusted / p_raw)`` over its n-grams, and every document with a score
 below ``THRESHOLD`` is rejected; nothing is drawn at random.
 
@@ -23,14 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD
-
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.2
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\v\f\r"
+BLANK = r"[\x20\x09-\x0D]"
+SOLID = r"[^\x20\x09-\x0D]"
 
 
 def _let(value: Column, body) -> Column:
@@ -38,8 +37,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def word_hashes(text: Column) -> Column:
+    """One 64-bit hash per word; all further steps work on these."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BLANK}+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _count(text: Column, one: str) -> Column:
+    """How many characters of the text match the class ``one`` (splitting is cheaper than replacing)."""
+    return (F.size(F.split(F.coalesce(text, F.lit("")), one, -1)) - 1).cast("long")
 
 
 def repeated_words(words: Column) -> Column:
@@ -66,21 +72,20 @@ def repeated_words(words: Column) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return _count(text, f"[{SYMBOLS}]")
 
 
 def repeated_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(SOLID))
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def _bins(words: Column) -> Column:
     """Bins of all words, and of all pairs of neighbours (the last word has none after it)."""
     mask = F.lit(BUCKETS - 1)
-    single = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int"))
+    single = F.transform(words, lambda w: w.bitwiseAND(mask).cast("int"))
     after = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))).bitwiseAND(mask).cast("int"))
+    pairs = F.zip_with(words, after, lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(0))).bitwiseAND(mask).cast("int"))
     return F.concat(single, pairs)
 
 
@@ -88,15 +93,16 @@ def trusted(text: Column, words: Column) -> Column:
     """Documents that stand for what is wanted."""
     n = F.size(words)
     varied = F.size(F.array_distinct(F.slice(words, 1, 200))) * 10 >= F.least(n, F.lit(200)) * 3
-    return (n >= 50) & (symbols(text) == 0) & (repeated_lines(text) == 0) & varied
+    return (n >= 50) & varied & (symbols(text) == 0)
 
 
 def bin_weights(docs: DataFrame) -> list[float]:
     """log(p_trusted / p_raw) of every bin, from counts over all documents: a list of ``BUCKETS`` numbers."""
-    worded = docs.select("text", words_of(F.col("text")).alias("words"))
+    worded = docs.select("text", word_hashes(F.col("text")).alias("words"))
     # the verdict is a column of its own before the rows multiply
     judged = worded.select(_bins(F.col("words")).alias("bins"), trusted(F.col("text"), F.col("words")).cast("long").alias("good"))
-    rows = judged.select(F.explode("bins").alias("bin"), "good")
+    # the outer form: for the inner one the optimizer adds a filter that computes the bins twice
+    rows = judged.select(F.explode_outer("bins").alias("bin"), "good").where("bin IS NOT NULL")
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in rows.groupBy("bin").agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect():
         raw[r["bin"]], good[r["bin"]] = r["n"], r["good"]
@@ -111,12 +117,12 @@ def measured(docs: DataFrame, weights: list[float]) -> DataFrame:
     # one constant array: the optimizer folds it before the plan runs
     folded = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
     text = F.col("text")
-    worded = docs.select("*", words_of(text).alias("_words"))
+    worded = docs.select("*", word_hashes(text).alias("_words"))
     words, n = F.col("_words"), F.col("n_words")
     out = worded.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.size(words).cast("long").alias("n_words"),
-        F.length(F.translate(F.coalesce(text, F.lit("")), BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(F.coalesce(text, F.lit(""))) - _count(text, BLANK)).alias("word_chars"),
         symbols(text).alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
