@@ -14,7 +14,11 @@ from lexloom.functions.blocked import dense_index
 from lexloom.functions.text import filled, first_cap, strip
 
 
-def select_chunkable(nodes: DataFrame, size: int = K.CHUNK_SIZE) -> DataFrame:
+def _col(value: int | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def select_chunkable(nodes: DataFrame, size: int | Column = K.CHUNK_SIZE) -> DataFrame:
     """Drop containers with children, long nodes with children, and blank nodes."""
     parents = nodes.where("parent_ix is not null").select("doc_id", F.col("parent_ix").alias("node_ix")).distinct()
     out = nodes.join(parents.withColumn("__kids", F.lit(True)), ["doc_id", "node_ix"], "left")
@@ -24,7 +28,7 @@ def select_chunkable(nodes: DataFrame, size: int = K.CHUNK_SIZE) -> DataFrame:
     return out.where(~container & ~long_parent & (strip(F.col("text")) != "")).drop("__kids")
 
 
-def pack_paragraphs(text: Column, size: int = K.CHUNK_SIZE) -> Column:
+def pack_paragraphs(text: Column, size: int | Column = K.CHUNK_SIZE) -> Column:
     """Greedy packing of blank-line paragraphs, as array<struct<text, oversize>>.
 
     A paragraph longer than ``size`` stands alone and is flagged: it is split
@@ -110,26 +114,27 @@ def _split(text: str, size: int, overlap: int, seps: list[str]) -> Iterator[str]
     yield from _windows(small, size, overlap)
 
 
-def splitter(size: int, overlap: int, separators: list[str], literal_dot: bool) -> Callable:
-    """Pandas UDF array of texts → array of window arrays; null texts stay null."""
+def splitter(size: int | Column, overlap: int | Column, separators: list[str], literal_dot: bool) -> Callable:
+    """Column array of texts → array of window arrays, by a pandas UDF; null texts stay null."""
     seps = [r"\." if (s == "." and literal_dot) else s for s in separators]
 
-    def windows(text):
-        return None if text is None else [w.strip() for w in _split(text, size, overlap, seps) if w.strip()]
+    def windows(text, width, kept):
+        return None if text is None else [w.strip() for w in _split(text, width, kept, seps) if w.strip()]
 
     @F.pandas_udf("array<array<string>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda texts: None if texts is None else [windows(t) for t in texts])
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sizes, overlaps in batches:
+            rows = zip(texts, sizes, overlaps, strict=True)
+            yield pd.Series([None if ts is None else [windows(t, int(n), int(o)) for t in ts] for ts, n, o in rows], dtype=object)
 
-    return cut
+    return lambda texts: cut(texts, _col(size), _col(overlap))
 
 
 def split_recursive(
     df: DataFrame,
     col: str,
-    size: int = K.CHUNK_SIZE,
-    overlap: int = K.CHUNK_OVERLAP,
+    size: int | Column = K.CHUNK_SIZE,
+    overlap: int | Column = K.CHUNK_OVERLAP,
     separators: list[str] | None = None,
     literal_dot: bool = False,
     out: str = "piece",
@@ -146,7 +151,7 @@ def split_recursive(
     return rows.where(F.col(out).isNotNull())
 
 
-def split_nodes(nodes: DataFrame, col: str = "text", size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
+def split_nodes(nodes: DataFrame, col: str = "text", size: int | Column = K.CHUNK_SIZE, overlap: int | Column = K.CHUNK_OVERLAP,
                 literal_dot: bool = False) -> DataFrame:
     """Paragraph packing, then recursive splitting of the oversize paragraphs only.
 

@@ -20,17 +20,29 @@ def empty_cache(spark) -> DataFrame:
     return spark.createDataFrame([], "key string, context string")
 
 
+_SETTINGS = {"chunk_size": K.CHUNK_SIZE, "chunk_overlap": K.CHUNK_OVERLAP, "enable_contextual": True}
+
+
+def _with_settings(docs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Title, collection and the document's own chunking settings (defaults where the manifest has none)."""
+    own = [F.col(c) if c in manifest.columns else F.lit(v).alias(c) for c, v in _SETTINGS.items()]
+    d = docs.join(manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name", *own), "source_id", "left")
+    return d.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in _SETTINGS.items()})
+
+
 def _situated(splits: DataFrame, cache: DataFrame | None, generator, contextual: bool) -> DataFrame:
-    if not contextual:
-        return C.contextualise(splits.withColumn("generated_context", F.lit("")))
-    if cache is None and generator is None:
+    on = F.col("enable_contextual") & F.lit(contextual)
+    away = ["parent_context", "fallback_context", *_SETTINGS]
+    if not contextual or (cache is None and generator is None):
         # Nothing to look up or to generate: the structural sentence of each chunk.
-        d = splits.withColumn("generated_context", F.col("fallback_context"))
-        return C.contextualise(d.drop("parent_context", "fallback_context"))
+        d = splits.withColumn("generated_context", F.when(on, F.col("fallback_context")).otherwise(""))
+        return C.contextualise(d.drop(*away))
     cache = cache if cache is not None else empty_cache(splits.sparkSession)
     # The look-up reads its input for the keys and for the chunks; split once.
-    situated, _ = C.context_lookup(checkpointed(splits), cache, generator)
-    return C.contextualise(situated.drop("parent_context", "fallback_context"))
+    splits = checkpointed(splits)
+    situated, _ = C.context_lookup(splits.where(on), cache, generator)
+    plain = splits.where(~on).withColumn("generated_context", F.lit(""))
+    return C.contextualise(situated.unionByName(plain, allowMissingColumns=True).drop(*away))
 
 
 def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
@@ -49,12 +61,15 @@ def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFram
 
 def chunk_nodes(
     nodes: DataFrame, manifest: DataFrame, cache: DataFrame | None = None, generator: Callable | None = None,
-    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, contextual: bool = True,
+    size: int | None = None, overlap: int | None = None, contextual: bool = True,
 ) -> DataFrame:
-    """Nodes → enriched chunks (doc_id is the source id)."""
-    n = nodes.withColumn("source_id", F.col("doc_id").cast("string"))
-    titles = manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name")
-    n = n.join(titles, "source_id", "left")
+    """Nodes → enriched chunks (doc_id is the source id).
+
+    Sizes are those of the document in the manifest unless ``size`` or ``overlap`` is given.
+    """
+    n = _with_settings(nodes.withColumn("source_id", F.col("doc_id").cast("string")), manifest)
+    size = F.col("chunk_size") if size is None else size
+    overlap = F.col("chunk_overlap") if overlap is None else overlap
     n = C.hierarchy_columns(C.breadcrumb(C.chunkable_index(C.select_chunkable(n, size))))
     parent = F.concat("breadcrumb", F.lit("\n\nFull Provision Content:\n"), "text")
     label = F.coalesce(F.nullif("number", F.lit("")), F.col("chunkable_ix").cast("string"))
@@ -92,8 +107,7 @@ def ingest_texts(
     encoder: Callable | None = None, dim: int = 256, contextual: bool = True,
 ) -> DataFrame:
     """Plain texts bypass the structure steps: windows of the whole text as one section."""
-    d = docs.withColumn("source_id", F.col("doc_id").cast("string"))
-    d = d.join(manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name"), "source_id", "left")
+    d = _with_settings(docs.withColumn("source_id", F.col("doc_id").cast("string")), manifest)
     title = F.coalesce("doc_title", F.lit("Legal Document"))
     parent = F.concat(
         F.lit("Document: "), title, F.lit("\nChapter: N/A\nSection: sec_0 ()\n\nFull Section Text:\n"), "text"
@@ -104,7 +118,7 @@ def ingest_texts(
             "fallback_context": C.structural_context(title, F.lit("N/A"), F.lit("sec_0"), F.lit("")),
         }
     )
-    splits = C.number_section_chunks(C.split_recursive(d, "text"))
+    splits = C.number_section_chunks(C.split_recursive(d, "text", F.col("chunk_size"), F.col("chunk_overlap")))
     splits = splits.withColumnsRenamed({"piece": "split_text", "piece_no": "chunk_index", "piece_total": "total_chunks_in_section"})
     chunks = _situated(splits.drop("doc_title"), cache, generator, contextual)
     chunks = C.enrich(chunks.withColumn("position", F.col("chunk_index").cast("long")), manifest)
@@ -116,8 +130,7 @@ def ingest_legacy(pages: DataFrame, manifest: DataFrame, toc: DataFrame | None =
     """The section-only flow."""
     docs, offsets = L.concat_pages(pages)
     sections = L.validate_legacy(L.detect_sections_legacy(docs, toc), docs)
-    s = H.section_docs(sections, offsets, toc).withColumn("source_id", F.col("doc_id").cast("string"))
-    s = s.join(manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name"), "source_id", "left")
+    s = _with_settings(H.section_docs(sections, offsets, toc).withColumn("source_id", F.col("doc_id").cast("string")), manifest)
     title = F.coalesce("doc_title", F.lit("Legal Document"))
     parent = F.concat(
         F.lit("Document: "), title, F.lit("\nChapter: "), "chapter", F.lit("\nSection: "), "section_number",
@@ -125,6 +138,6 @@ def ingest_legacy(pages: DataFrame, manifest: DataFrame, toc: DataFrame | None =
     )
     fallback = C.structural_context(title, F.col("chapter"), F.col("section_number"), F.col("section_title"))
     s = s.withColumns({"parent_context": parent, "fallback_context": fallback})
-    splits = C.number_section_chunks(C.split_recursive(s, "text"))
+    splits = C.number_section_chunks(C.split_recursive(s, "text", F.col("chunk_size"), F.col("chunk_overlap")))
     splits = splits.withColumnsRenamed({"piece": "split_text", "piece_no": "chunk_index", "piece_total": "total_chunks_in_section"})
     return C.enrich(_situated(splits.drop("doc_title"), cache, generator, contextual), manifest)

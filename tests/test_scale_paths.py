@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import hierarchy, questions, retrieval, structure
+from lexloom.plans.ingest import ingest_texts
 from lexloom.sources import store
+from lexloom.sources.manifest import typed_manifest
 
 
 def rows(df, *cols):
@@ -86,3 +88,17 @@ def test_equal_ids_and_positions_get_unique_ids(spark):
     got = rows(store.unique_ids(chunks), "chunk_id")
     assert got == [("x",), ("x_dup1_1",), ("x_dup1_2",), ("x_dup2",), ("y",)]
     assert store.unique_ids(chunks).select("point_id").distinct().count() == 5
+
+
+def test_documents_have_their_own_chunk_sizes(spark):
+    text = "word " * 300
+    docs = spark.createDataFrame([("a", text), ("b", text), ("c", text)], "doc_id string, text string")
+    manifest = typed_manifest(spark.createDataFrame(
+        [("a", "A", "x", "200", "0", "no"), ("b", "B", "x", "", "", "yes")],
+        "source_id_external string, title string, collection_name string, chunk_size string, chunk_overlap string, enable_contextual_retrieval string",
+    ))
+    rows_ = ingest_texts(docs, manifest, dim=8).collect()
+    longest = {i: max(len(r["split_text"]) for r in rows_ if r["source_id"] == i) for i in "abc"}
+    assert longest["a"] <= 200 and longest["b"] > 900 and longest["c"] > 900
+    assert {r["generated_context"] for r in rows_ if r["source_id"] == "a"} == {""}
+    assert all(r["generated_context"] for r in rows_ if r["source_id"] == "b")
