@@ -27,9 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before != (state := _state(e)):
         before = state
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first, so that both sides of the join are plain and a hub's rows can be split
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         linked = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = linked.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         e = checkpointed(small)
