@@ -8,7 +8,8 @@ v, so some mask leaves them all out and the pair collides there. No link is lost
 
 Equal fingerprints are one node. A bucket larger than ``BUCKET`` is split by a second
 covering code over the bits its mask leaves out, and again if need be; fingerprints
-in it are distinct, so this ends with at most ``2 ** FREE_BITS`` of them. A bucket
+in it are distinct and every finer mask has more bits, so this ends with at most
+``2 ** FREE_BITS`` of them. A bucket
 gives the edges of a spanning forest of its links, never all its pairs.
 
 The stage of the corpus pipeline links on a second fingerprint too (``words=True``): the
@@ -27,6 +28,7 @@ Texts with fewer than ``WORD_LEAST`` long words have no second fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +199,26 @@ def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
 # --- covering tables ------------------------------------------------------------
 
 
+@cache
+def _vectors(n: int, radius: int) -> list[int]:
+    """A vector of ``radius + 1`` bits for each of n bits, such that no mask is empty (n > radius) and the least is large."""
+    space = (1 << (radius + 1)) - 1
+    if n >= space:
+        return [i % space + 1 for i in range(n)]
+    units = [1 << i for i in range(radius + 1)]
+    others = [v for v in range(1, space + 1) if v not in units]
+    best: tuple[int, list[int]] = (-1, [])
+    for seed in range(40):
+        found = (units + np.random.default_rng(seed).permutation(others).tolist())[:n]
+        least = min(sum((m & v).bit_count() % 2 for m in found) for v in range(1, space + 1))
+        best = max(best, (least, found), key=lambda x: x[0])
+    return best[1]
+
+
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
     """Masks over ``bits`` such that any ``radius`` of them are left out together by some mask."""
     space = (1 << (radius + 1)) - 1
-    vectors = [i % space + 1 for i in range(len(bits))]
+    vectors = _vectors(len(bits), radius)
     masks = []
     for v in range(1, space + 1):
         masks.append(sum(1 << b for b, m in zip(bits, vectors, strict=True) if (m & v).bit_count() % 2))
@@ -208,7 +226,7 @@ def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
 
 
 def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
-    """The masks that split a bucket of ``mask`` further."""
+    """The masks that split a bucket of ``mask`` further; each has more bits than it if more than ``radius`` are free."""
     free = [b for b in range(64) if not mask >> b & 1]
     return sorted({mask | m for m in covering_masks(free, radius)})
 
@@ -255,13 +273,13 @@ def _rows(a, b, mask) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b, mask)], _OUT)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], radius: int, bucket: int, free_bits: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows -> edges (mask 0) and the members of oversized buckets (a = b = fp, mask of the bucket)."""
     held = [np.zeros(0, np.uint64)] * 3
     over = None  # the bucket that is being passed on
 
     def oversized(m) -> bool:
-        return 64 - int(m).bit_count() > FREE_BITS
+        return 64 - int(m).bit_count() > max(free_bits, radius)
 
     for batch in batches:
         m, k, f = (np.concatenate((h, column(batch, n).to_numpy().view(np.uint64))) for h, n in zip(held, ("mask", "key", "fp"), strict=True))
@@ -277,19 +295,19 @@ def _buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         cut = int(tail[-1]) + 1 if len(tail) else 0
         held = [m[cut:], k[cut:], f[cut:]]
         if cut:
-            yield from _complete(m[:cut], k[:cut], f[:cut], oversized, radius)
-        if len(held[0]) > BUCKET and oversized(held[0][0]):
+            yield from _complete(m[:cut], k[:cut], f[:cut], oversized, radius, bucket)
+        if len(held[0]) > bucket and oversized(held[0][0]):
             over = (held[0][0], held[1][0])
             yield _rows(held[2], held[2], held[0])
             held = [x[:0] for x in held]
     if len(held[0]):
-        yield from _complete(*held, oversized, radius)
+        yield from _complete(*held, oversized, radius, bucket)
 
 
-def _complete(m, k, f, oversized, radius) -> Iterator[pa.RecordBatch]:
+def _complete(m, k, f, oversized, radius, bucket) -> Iterator[pa.RecordBatch]:
     new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (k[1:] != k[:-1]))))
     size = np.diff(np.append(new, len(m)))
-    big = [i for i in np.flatnonzero(size > BUCKET) if oversized(m[new[i]])]
+    big = [i for i in np.flatnonzero(size > bucket) if oversized(m[new[i]])]
     keep = np.ones(len(m), bool)
     for i in big:
         part = slice(new[i], new[i] + size[i])
@@ -314,14 +332,18 @@ def _split(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
                 )
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links within the radius."""
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int | None = None, free_bits: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links within the radius.
+
+    ``bucket`` and ``free_bits`` stand for ``BUCKET`` and ``FREE_BITS``; workers get them from here.
+    """
+    bucket, free_bits = BUCKET if bucket is None else bucket, FREE_BITS if free_bits is None else free_bits
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(list(range(64)), radius)])
     rows = distinct.select(F.explode(masks).alias("mask"), "fp").select("mask", F.expr("fp & mask").alias("key"), "fp")
     edges = None
     while True:
         dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-        found = checkpointed(dealt.mapInArrow(lambda batches: _buckets(batches, radius), "a long, b long, mask long"))
+        found = checkpointed(dealt.mapInArrow(lambda batches: _buckets(batches, radius, bucket, free_bits), "a long, b long, mask long"))
         part = found.where("mask = 0").select("a", "b")
         edges = part if edges is None else edges.unionAll(part)
         rest = found.where("mask <> 0")

@@ -193,3 +193,38 @@ def test_deduplicated_keeps_one_row_of_each_group(docs, rows):
 
 def test_space_table():
     assert [i for i in range(256) if SPACE[i]] == [9, 10, 11, 12, 13, 32]
+
+
+@pytest.mark.parametrize("radius", [4, 5])
+def test_finer_masks_always_have_more_bits(radius):
+    todo, seen = simhash_dedup.covering_masks(list(range(64)), radius), 0
+    while todo and seen < 3000:
+        mask = todo.pop()
+        if 64 - mask.bit_count() > simhash_dedup.FREE_BITS:
+            finer = simhash_dedup.finer_masks(mask, radius)
+            assert all(m & mask == mask and m.bit_count() > mask.bit_count() for m in finer)
+            todo += finer[:5]
+            seen += 1
+
+
+def test_oversized_bucket_of_31_free_bits_ends(spark):
+    radius = 5
+    mask = next(m for m in simhash_dedup.covering_masks(list(range(64)), radius) if m.bit_count() == 33)
+    free = [b for b in range(64) if not mask >> b & 1]
+    assert len(free) == 31
+    rng = np.random.default_rng(9)
+    fps = sorted({sum(1 << int(b) for b in rng.choice(free, 4, replace=False)) for _ in range(120)})
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    edges = simhash_dedup.links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius, bucket=100, free_bits=11)
+    got = {}
+    for r in components(edges).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    a, root = np.array(fps).view(np.uint64), list(range(len(fps)))
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= radius):
+            old, new = root[i], root[int(j)]
+            root = [new if x == old else x for x in root]
+    want = {}
+    for f, x in zip(fps, root, strict=True):
+        want.setdefault(x, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
