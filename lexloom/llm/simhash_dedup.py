@@ -12,11 +12,19 @@ in it are distinct and every finer mask has more bits, so this ends with at most
 ``2 ** FREE_BITS`` of them. A bucket
 gives the edges of a spanning forest of its links, never all its pairs.
 
-The stage of the corpus pipeline links on a second fingerprint too (``words=True``): the
-majority bits of the text's distinct long words, within ``WORD_RADIUS`` bits. Four-word
-shingles lose eight bits and more to a text whose five-word shingles are 0.8 alike; its
-long words lose five at most in 97 of 100 such pairs, and unrelated texts never come near.
-Texts with fewer than ``WORD_LEAST`` long words have no second fingerprint.
+The stage of the corpus pipeline links further texts (``words=True``): those whose sets of
+five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more, checked exactly
+(equality of shingles is equality of 64-bit hashes). Texts with equal sets are one node. What
+is compared comes from two sources:
+
+* the majority bits of the text's distinct long words, within ``WORD_RADIUS`` bits: the pairs
+  lie in components of their links;
+* for texts with fewer than ``2 * WORD_LEAST`` distinct long words, the rarest shingles of the
+  text, so many that two such texts with ``SIMILARITY`` share one: no pair of these is lost.
+
+Every node of a group is compared with one pivot. Groups that this leaves open compare
+their other pairs, without those that sizes, the triangle inequality of the Jaccard
+distance or more than ``WORD_RADIUS`` differing bits exclude.
 
 * Null and empty texts have fingerprint zero and link like any other.
 * Rows are kept one to one: repeated rows and ids each get a result.
@@ -36,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import LOWER, SPACE, by_piece, column, joined, rows_of_words, text_column, word_edges
+from lexloom.llm.common import LOWER, SPACE, by_piece, column, joined, mixed, rows_of_words, text_column, word_edges
 from lexloom.llm.components import components
 from lexloom.session import checkpointed
 
@@ -48,6 +56,8 @@ FREE_BITS = 11
 WORD_BYTES = 7
 WORD_LEAST = 16
 WORD_RADIUS = 5
+SIMILARITY = 0.8
+COMPARED = 5
 _LONG = 512
 
 _P1, _P2, _P3, _P4, _P5 = (
@@ -148,52 +158,95 @@ def majority(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray
     return out
 
 
-def fingerprints_of(col: pa.Array, words: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Shingle fingerprints; if ``words``, also those of distinct long words and whether a row has one."""
+def fingerprints_of(col: pa.Array) -> np.ndarray:
+    """Shingle fingerprints."""
     buf, off = joined(col)
-    text, s, e, row = compact_words(buf, off)
-    shingled = _shingle_fingerprints(text, s, e, row)
-    return (shingled, *_word_fingerprints(text, s, e, row)) if words else (shingled, None, None)
+    return _shingle_fingerprints(*compact_words(buf, off))
+
+
+def _distinct(h, owner, rows):
+    """Distinct hashes of each row, in order, and how many each row has."""
+    order = np.lexsort((h, owner))
+    h, own = h[order], owner[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, bool)
+    return h[new], np.bincount(own[new], minlength=rows)
 
 
 def _word_fingerprints(text, s, e, row):
+    """Majority bits of the distinct long words of each row, and the number of these words."""
     owner = np.repeat(np.arange(len(row) - 1), np.diff(row))
     long = np.flatnonzero(e - s >= WORD_BYTES)
-    h = xxh64(text, s[long], e[long], SEED + 1)
-    order = np.lexsort((h, owner[long]))
-    h, own = h[order], owner[long][order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, bool)
-    h, own = h[new], own[new]
-    counts = np.bincount(own, minlength=len(row) - 1)
+    h, counts = _distinct(xxh64(text, s[long], e[long], SEED + 1), owner[long], len(row) - 1)
     out, full = np.zeros(len(row) - 1, np.uint64), np.flatnonzero(counts)
     if len(full):
         out[full] = majority(h, np.concatenate(([0], np.cumsum(counts[full])[:-1])), counts[full])
-    return out, counts >= WORD_LEAST
+    return out, counts
 
 
-def _shingle_fingerprints(text, s, e, row):
+def _shingles(text, s, e, row, k, seed):
+    """Hashes of the k-word shingles of the rows (a shorter text is one), and how many each row has."""
     words = np.diff(row)
-    counts = np.where(words >= SHINGLE, words - SHINGLE + 1, np.minimum(words, 1))
+    counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    first = np.cumsum(counts) - counts
+    begin = np.repeat(row[:-1] - first, counts) + np.arange(counts.sum())
+    last = np.minimum(begin + k, np.repeat(row[1:], counts)) - 1
+    return xxh64(text, s[begin], e[last], seed), counts
+
+
+def _shingle_fingerprints(text, s, e, row):
+    h, counts = _shingles(text, s, e, row, SHINGLE, SEED)
     full = np.flatnonzero(counts)
-    out = np.zeros(len(words), np.uint64)
+    out = np.zeros(len(counts), np.uint64)
     if len(full):
         c = counts[full]
-        first = np.concatenate(([0], np.cumsum(c)[:-1]))
-        begin = np.repeat(row[full] - first, c) + np.arange(c.sum())
-        last = np.minimum(begin + SHINGLE, np.repeat(row[full + 1], c)) - 1
-        out[full] = majority(xxh64(text, s[begin], e[last]), first, c)
+        out[full] = majority(h, np.concatenate(([0], np.cumsum(c)[:-1])), c)
     return out
 
 
+def _compared(text, s, e, row):
+    """Distinct five-word shingles of the rows, how many each has, and one hash of the set of each."""
+    h, counts = _shingles(text, s, e, row, COMPARED, SEED + 2)
+    h, counts = _distinct(h, np.repeat(np.arange(len(counts)), counts), len(counts))
+    node, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    if len(full):
+        node[full] = mixed(np.add.reduceat(mixed(h), (np.cumsum(counts) - counts)[full]))
+    return h, counts, node
+
+
 def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
-    """(doc_id, fp, wfp): the 64-bit fingerprints as longs; wfp is null where a text has none."""
+    """(doc_id, fp): the 64-bit fingerprints as longs.
+
+    If ``words``, also node (hash of the set of compared shingles, null for a text without words),
+    size (of that set), long_words and wfp (null where a text has too few long words).
+    """
 
     def run(batch):
-        fp, wfp, has = fingerprints_of(text_column(column(batch, "text")), words)
-        second = pa.nulls(len(fp), pa.int64()) if wfp is None else pa.array(wfp.view(np.int64), mask=~has)
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(fp.view(np.int64)), second], ["doc_id", "fp", "wfp"])
+        buf, off = joined(text_column(column(batch, "text")))
+        parts = compact_words(buf, off)
+        out = {"doc_id": column(batch, "doc_id").cast(pa.int64()), "fp": pa.array(_shingle_fingerprints(*parts).view(np.int64))}
+        if words:
+            _, size, node = _compared(*parts)
+            wfp, long = _word_fingerprints(*parts)
+            out["node"] = pa.array(node.view(np.int64), mask=size == 0)
+            out |= {"size": pa.array(size, pa.int64()), "long_words": pa.array(long, pa.int64())}
+            out["wfp"] = pa.array(wfp.view(np.int64), mask=long < WORD_LEAST)
+        return pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, fp long" + (", node long, size long, long_words long, wfp long" if words else "")
+    return by_piece(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
-    return by_piece(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long, wfp long")
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles) of every row with words."""
+
+    def run(batch):
+        buf, off = joined(text_column(column(batch, "text")))
+        h, size, node = _compared(*compact_words(buf, off))
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), pa.array(h.view(np.int64)))
+        out = pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists.cast(pa.list_(pa.int64()))], ["node", "shingles"])
+        return out.filter(pa.array(size > 0))
+
+    return by_piece(docs.select("text"), run, "node long, shingles array<long>")
 
 
 # --- covering tables ------------------------------------------------------------
@@ -352,18 +405,73 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int | None = None,
         rows = rest.mapInArrow(lambda batches: _split(batches, radius), "mask long, key long, fp long").distinct()
 
 
+def _compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the Jaccard similarity j of their sets."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    out = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
+    return checkpointed(out.select("a", "b", (F.col("both") / (F.col("all") - F.col("both"))).alias("j")))
+
+
+def _word_groups(nodes: DataFrame) -> DataFrame:
+    """(g, node, size, wfp): components of the links of word fingerprints."""
+    worded = nodes.where("wfp IS NOT NULL").select("node", "size", "wfp")
+    roots = components(links(worded.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS))
+    rooted = worded.join(roots, worded["wfp"] == roots["node"], "left").select(worded["node"], "size", "wfp", F.coalesce("root", "wfp").alias("root"))
+    return rooted.select(F.xxhash64("root", F.lit("words")).alias("g"), "node", "size", "wfp")
+
+
+def _short_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, node, size, wfp): short texts that share one of their rarest shingles (wfp is null)."""
+    short = nodes.where(F.col("long_words") < 2 * WORD_LEAST).select("node", "size")
+    sets = shingle_sets(docs).join(short, "node").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    rows = checkpointed(sets.select("node", "size", F.explode("shingles").alias("g")))
+    known = checkpointed(rows.groupBy("g").agg(F.count("*").alias("n")))
+    most = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    ordered = rows.join(known, "g").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("order"))
+    mine = ordered.select("node", "size", F.explode(F.slice("order", F.lit(1), most.cast("int"))).alias("x"))
+    return mine.where("x.n > 1").select("x.g", "node", "size", F.lit(None).cast("long").alias("wfp"))
+
+
+def similar(docs: DataFrame, fps: DataFrame) -> DataFrame:
+    """Edges (a, b) among nodes whose sets are ``SIMILARITY`` alike, as the module describes."""
+    nodes = checkpointed(fps.where("node IS NOT NULL").groupBy("node").agg(F.min("size").alias("size"), F.min("long_words").alias("long_words"), F.min("wfp").alias("wfp")))
+    members = checkpointed(_word_groups(nodes).unionByName(_short_groups(docs, nodes)))
+    pivots = checkpointed(members.groupBy("g").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = checkpointed(members.join(pivots, "g"))
+    needed = members.select("node").distinct()
+    sets = checkpointed(shingle_sets(docs).join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    first = _compared_pairs(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets)
+    judged = members.join(first, (F.col("a") == F.col("pivot")) & (F.col("b") == F.col("node"))).select("g", "node", "size", "wfp", "j")
+    judged = checkpointed(judged)
+    unlike = judged.where(F.col("j") < SIMILARITY).select("g").distinct()
+    rest = checkpointed(judged.join(unlike, "g", "left_semi"))
+    l, r = rest.alias("l"), rest.alias("r")
+    near = F.col("l.g") == F.col("r.g")
+    for c in (
+        F.col("l.node") < F.col("r.node"),
+        F.least("l.j", "r.j") < SIMILARITY,  # both are linked to the pivot otherwise
+        F.abs(F.col("l.j") - F.col("r.j")) <= 1 - SIMILARITY + 1e-9,
+        F.least("l.size", "r.size") >= SIMILARITY * F.greatest("l.size", "r.size") - 1e-9,
+        F.coalesce(F.bit_count(F.col("l.wfp").bitwiseXOR(F.col("r.wfp"))) <= WORD_RADIUS, F.lit(True)),
+    ):
+        near = near & c
+    other = l.join(r, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    second = _compared_pairs(other, sets)
+    return first.unionAll(second).where(F.col("j") >= SIMILARITY).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest id reachable over links."""
     fps = checkpointed(fingerprints(docs, words))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(groups.select("fp"))
     if words:
-        # a second kind of node for the fingerprints of words; every text joins its two nodes
-        node = F.xxhash64(F.col("wfp"), F.lit("words"))
-        nodes = checkpointed(fps.where("wfp IS NOT NULL").select("wfp", "fp").distinct())
-        second = links(nodes.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)
-        second = second.select(F.xxhash64("a", F.lit("words")).alias("a"), F.xxhash64("b", F.lit("words")).alias("b"))
-        edges = edges.unionAll(second).unionAll(nodes.select(F.col("fp").alias("a"), node.alias("b")))
+        # sets of shingles are a second kind of node; every text joins its two nodes
+        key = lambda c: F.xxhash64(c, F.lit("set"))
+        pairs = similar(docs, fps)
+        own = fps.where("node IS NOT NULL").select(F.col("fp").alias("a"), key("node").alias("b")).distinct()
+        edges = edges.unionAll(pairs.select(key("a").alias("a"), key("b").alias("b"))).unionAll(own)
     roots = components(edges)
     known = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = checkpointed(known)  # both sides of the next join are then plain, so a root with very many members can be split
