@@ -8,6 +8,11 @@ of a window is found under at least one block. What is found is compared exactly
 weighted Jaccard similarity of the shingle multisets, a shingle weighing the bytes of
 its words, ``SIMILARITY`` or more.
 
+Fingerprints of some pairs just above ``SIMILARITY`` lie further apart. So a row and an item
+are also compared where the shingles they share weigh at least ``SIMILARITY`` of the item, in
+all windows whose shared weight allows it; no pair is lost. A row with fewer words than
+the item is one window.
+
 Words are runs of letters and digits (any byte from 0x80 counts as a letter), lower case
 for A-Z and the Latin-1 capitals. Shingles have five words; an item with fewer words is
 one shingle. An item without words matches nothing.
@@ -100,6 +105,7 @@ class Index:
             if n:
                 fps[j] = majority(h, np.zeros(1, np.int64), np.array([len(h)]))[0]
         self.fp = fps
+        self.weight = np.array([sum(c * x for c, x in t.values()) for t in self.sets], np.int64)
         self.sizes = sorted({min(SHINGLE, int(n)) for n in self.words if n})
         self.by_size = {k: self._postings(k, owner, hashes) for k in self.sizes}
         self.by_words = {int(n): self._blocks(np.flatnonzero(self.words == n)) for n in np.unique(self.words) if n}
@@ -161,8 +167,34 @@ class Index:
                 mine = self.words[item] == n
                 for start in self._starts(at[mine], w.row[row[mine]], w.row[row[mine] + 1], int(n), k):
                     self._verify(w, g, start, int(n), k, best)
+            self._weigh(w, g, at, row, item, k, best)
         return [(r, j, *v) for (r, j), v in sorted(best.items())]
 
+    def _weigh(self, w, g, at, row, item, k, best):
+        """Compare the rows and items whose shared shingles weigh enough, window by window."""
+        pair, of = np.unique(row * np.int64(len(self.ids)) + item, return_inverse=True)
+        shared = np.bincount(of, w.weights(at, k))
+        order = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[order], np.arange(len(pair) + 1))
+        for p in np.flatnonzero(shared >= SIMILARITY * self.weight[pair % len(self.ids)] * (1 - 1e-9)):
+            r, j = int(pair[p]) // len(self.ids), int(pair[p]) % len(self.ids)
+            low, high, hits = int(w.row[r]), int(w.row[r + 1]), np.sort(at[order[edge[p] : edge[p + 1]]])
+            n = min(int(self.words[j]), high - low)
+            m = n - k + 1
+            both = np.concatenate(([0], np.cumsum(w.weights(hits, k))))
+            all_ = np.concatenate(([0], np.cumsum(w.weights(np.arange(low, high - k + 1), k))))
+            for start in self._starts(hits, np.full(len(hits), low), np.full(len(hits), high), n, k):
+                common = both[np.searchsorted(hits, start + m)] - both[np.searchsorted(hits, start)]
+                union = all_[start - low + m] - all_[start - low] + self.weight[j] - common
+                for s in start[common >= SIMILARITY * union * (1 - 1e-9)]:
+                    grid = np.arange(s, s + m)
+                    self._keep(best, (r, j), similarity(_multiset(g[grid], w.weights(grid, k)), self.sets[j]), int(s) - low, n)
+
+    @staticmethod
+    def _keep(best, key, s, first, n):
+        if s >= SIMILARITY and (key not in best or (-s, first) < (-best[key][0], best[key][1])):
+            best[key] = (s, first, n)
+
     @staticmethod
     def _starts(at, low, high, n, k):
         """Starts of all windows of n words in their row that contain a hit, in blocks."""
@@ -193,10 +225,7 @@ class Index:
             mine = _multiset(g[at], w.weights(at, k))
             for j in item[win == i]:
                 s = similarity(mine, self.sets[j])
-                key = (int(row[i]), int(j))
-                first = int(start[i] - w.row[row[i]])
-                if s >= SIMILARITY and (key not in best or (-s, first) < (-best[key][0], best[key][1])):
-                    best[key] = (s, first, n)
+                self._keep(best, (int(row[i]), int(j)), s, int(start[i] - w.row[row[i]]), n)
 
 
 def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[Index]:

@@ -236,6 +236,33 @@ def test_near_leaks_against_brute_force(spark):
     assert sure <= got and not never & got and len(sure) > 50 and len(never) > 20
 
 
+def test_all_windows_and_short_rows_against_brute_force(spark):
+    """From 0.8 on every pair is found, also in rows with fewer words than the item."""
+    rng = random.Random(31)
+    vocab = [f"{'x' * rng.randint(0, 9)}{i}" for i in range(3000)]
+    items = [rng.sample(vocab, n) for n in (14, 20, 40, 60)]
+    rows = [(0, " ".join(items[2][1:])), (1, " ".join(items[0][:-1]))]
+    for i in range(2, 400):
+        words = list(items[i % 4])
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        pad = rng.sample(vocab, 4) if i % 3 else []
+        rows.append((i, " ".join(pad + words[rng.randint(0, 3) :])))
+    weigh = lambda t: Counter({x: c * sum(map(len, x)) for x, c in Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4)).items()})
+    want = set()
+    for i, text in rows:
+        for j, item in enumerate(items):
+            t, b = text.split(), weigh(item)
+            for s in range(max(1, len(t) - len(item) + 1)):
+                a = weigh(t[s : s + len(item)])
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((i, j))
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    mine = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.op7(mine, bench).collect()} == want and {(0, 2), (1, 0)} <= want
+    assert {r["doc_id"] for r in decontamination.decontaminated(mine, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 # --- language model -------------------------------------------------------------
 
 
