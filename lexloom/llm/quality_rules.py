@@ -27,6 +27,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.2
 WINDOW = 8
+VARIETY = 200
 SYMBOLS = "#*$%&|<>"
 BLANK = r"[\x20\x09-\x0D]"
 SOLID = r"[^\x20\x09-\x0D]"
@@ -90,10 +91,12 @@ def _bins(words: Column) -> Column:
 
 
 def trusted(text: Column, words: Column) -> Column:
-    """Documents that stand for what is wanted."""
+    """Documents that stand for what is wanted; variety is judged over all words, in runs of ``VARIETY``, and over repeated windows."""
     n = F.size(words)
-    varied = F.size(F.array_distinct(F.slice(words, 1, 200))) * 10 >= F.least(n, F.lit(200)) * 3
-    return (n >= 50) & varied & (symbols(text) == 0)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(VARIETY))
+    different = F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i, VARIETY))))
+    # last, since it costs most
+    return (n >= 50) & (symbols(text) == 0) & (different * 10 >= n * 3) & (100 * repeated_words(words) <= 30 * n)
 
 
 def bin_weights(docs: DataFrame) -> list[float]:

@@ -355,3 +355,13 @@ def test_better_documents_come_first_more_often(spark):
     good = sum(r["taken"] for r in out if r["doc_id"] % 2 and r["source"] == "big")
     bad = sum(r["taken"] for r in out if not r["doc_id"] % 2 and r["source"] == "big")
     assert good >= bad
+
+
+def test_trust_is_judged_over_all_words(spark):
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(5000)]
+    start, unit = rng.sample(vocab, 200), rng.sample(vocab, 250)
+    texts = [start, start + ["again"] * 2000, start + unit * 20, unit[:10] * 12 + rng.sample(vocab, 4000), rng.sample(vocab, 50), []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = docs.select("doc_id", quality_rules.trusted(F.col("text"), quality_rules.word_hashes(F.col("text"))).alias("good"))
+    assert dict(out.collect()) == {0: True, 1: False, 2: False, 3: True, 4: True, 5: False}
