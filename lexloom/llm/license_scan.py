@@ -3,9 +3,9 @@
 The canonical form is lower case, without copyright lines and "all rights reserved",
 with every run of punctuation and blanks as one space and equivalent spellings made
 equal; its SHA-256 is looked up in the table of known licences by a hash join. That table
-is a constant of this module (full texts, and one-line notices built from names and
-phrases), so its broadcast has a fixed size. The same lookup is made for every single line that
-speaks of a licence, which finds notices inside other text.
+is an argument (by default ``known``: full texts, and one-line notices built from names and
+phrases); it is broadcast, and must fit the driver. The same lookup is made for every
+single line, which finds notices inside other text.
 
 * Null and empty texts, and texts of punctuation only, have the digest of the empty text and no licence.
 * Repeated rows each get a result; equal texts get equal ones.
@@ -17,14 +17,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.license_texts import FULL_TEXTS, NAMES, NOTICES, SPELLINGS
+from lexloom.llm.license_texts import FULL_TEXTS, NAMES, NOTICES, SPELLINGS, WHOLE_TEXTS
 
 #: A line that begins (after comment marks) as a copyright line.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*"
+#: The same without lines of prose that happen to begin with the word. The SQL has no such form.
+_PROSE = r"(?![ \t]+(holders?|owners?|notices?|statements?|disclaimers?|laws?|licen[sc]es?|interests?|treat(y|ies)|and|or|in|on|to|the|is|are|by law)\b)"
+OWN_COPYRIGHT_LINE = rf"(^|\n)[ \t#*/;-]*(copyright{_PROSE}|\(c\)|©)[^\n]*"
 RIGHTS = r"all rights reserved\.?"
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—]+"
 OWN = ("license_id", "digest", "n_license_lines", "line_licenses")
@@ -33,7 +37,7 @@ OWN = ("license_id", "digest", "n_license_lines", "line_licenses")
 def canonical(text: Column) -> Column:
     """Words between single spaces, with a space before and after (only a space if there are none)."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(t, OWN_COPYRIGHT_LINE, "\n")
     t = F.regexp_replace(t, RIGHTS, " ")
     t = F.concat(F.lit(" "), F.regexp_replace(t, APART, "  "), F.lit(" "))
     for old, new in SPELLINGS.items():
@@ -43,7 +47,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same for one string."""
-    t = re.sub(COPYRIGHT_LINE, "\n", text.lower())
+    t = re.sub(OWN_COPYRIGHT_LINE, "\n", text.lower())
     t = " " + re.sub(APART, "  ", re.sub(RIGHTS, " ", t)) + " "
     for old, new in SPELLINGS.items():
         t = t.replace(f" {old} ", f" {new} ")
@@ -64,17 +68,28 @@ def known_digests() -> list[tuple[str, str, str]]:
     return [(hashlib.sha256(t.encode()).hexdigest(), *v) for t, v in found.items()]
 
 
+def whole_digests() -> list[tuple[str, str, str]]:
+    """(digest, licence, kind) of the long licences, from the files beside this module."""
+    folder = Path(__file__).parent / "licences"
+    texts = {name: (folder / f"{file}.txt").read_text("utf-8") for name, file in WHOLE_TEXTS.items()}
+    return [(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name, "text") for name, t in texts.items()]
+
+
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(known_digests(), "digest string, license_id string, kind string")
+    return spark.createDataFrame(known_digests() + whole_digests(), "digest string, license_id string, kind string")
+
 
+def scanned(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``license_id`` of the entire text, its ``digest``, and the licences of its notice lines.
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``license_id`` of the entire text, its ``digest``, and the licences of its notice lines."""
+    ``table`` has digest and license_id, one row per digest: the licences to look for, ``known`` if there is none.
+    """
     docs = docs.drop(*OWN)
-    table = known(docs.sparkSession)
+    table = known(docs.sparkSession) if table is None else table
     text = F.coalesce(F.col("text"), F.lit(""))
-    lookup = F.create_map(*[F.lit(x) for d, name, _ in known_digests() for x in (d, name)])
-    lines = F.filter(F.split(text, "\n"), lambda line: F.lower(line).contains("licen"))
+    rows = table.select("digest", "license_id").collect()
+    lookup = F.create_map(*[F.lit(x) for r in rows for x in r]) if rows else F.create_map().cast("map<string,string>")
+    lines = F.split(text, "\n")
     named = F.filter(F.transform(lines, lambda line: F.try_element_at(lookup, F.sha2(canonical(line), 256))), lambda x: x.isNotNull())
     out = docs.select("*", F.sha2(canonical(F.col("text")), 256).alias("digest"), named.alias("_lines"))
     out = out.join(F.broadcast(table.select("digest", "license_id")), "digest", "left")

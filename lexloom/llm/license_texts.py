@@ -77,6 +77,16 @@ FULL_TEXTS = {
     ),
 }
 
+#: Long licences, in files of the folder ``licences``.
+WHOLE_TEXTS = {
+    "Apache-2.0": "Apache-2.0",
+    "GPL-2.0-only": "GPL-2",
+    "GPL-3.0-only": "GPL-3",
+    "LGPL-3.0-only": "LGPL-3",
+    "MPL-2.0": "MPL-2.0",
+    "CC0-1.0": "CC0-1.0",
+}
+
 #: Names under which a licence is cited in a one-line notice.
 NAMES = {
     "MIT": ("MIT License", "MIT"),

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 import zlib
 from collections import Counter
 
@@ -365,3 +366,19 @@ def test_trust_is_judged_over_all_words(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     out = docs.select("doc_id", quality_rules.trusted(F.col("text"), quality_rules.word_hashes(F.col("text"))).alias("good"))
     assert dict(out.collect()) == {0: True, 1: False, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_licences_of_all_notices_whole_texts_and_an_own_table(spark):
+    folder = Path(license_scan.__file__).parent / "licences"
+    whole = {i: (name, (folder / f"{file}.txt").read_text("utf-8")) for i, (name, file) in enumerate(license_texts.WHOLE_TEXTS.items())}
+    bsd = license_texts.FULL_TEXTS["BSD-3-Clause"].replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT")
+    rows = [(i, t) for i, (_, t) in whole.items()]
+    rows += [(50, "some text\nReleased under CC BY 4.0.\nmore"), (51, "a\nDistributed under the CC0 1.0.\nb"), (52, "Released under MIT."), (53, f"Copyright 2020 A. Person\n{bsd}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["line_licenses"]) for r in license_scan.scanned(docs).collect()}
+    assert all(got[i][0] == name for i, (name, _) in whole.items())
+    assert got[50] == (None, "CC-BY-4.0") and got[51] == (None, "CC0-1.0") and got[52] == ("MIT", "MIT") and got[53][0] == "BSD-3-Clause"
+    digest = hashlib.sha256(license_scan.canonical_text("Ours alone").encode()).hexdigest()
+    own = spark.createDataFrame([(digest, "Own-1.0")], "digest string, license_id string")
+    mine = spark.createDataFrame([(1, "x\nOURS, alone!"), (2, "Released under MIT.")], "doc_id long, text string")
+    assert by_id(license_scan.scanned(mine, own), "doc_id", "license_id", "line_licenses") == [(1, None, "Own-1.0"), (2, None, "")]
