@@ -124,6 +124,24 @@ def rows_of_words(starts: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, off)
 
 
+def compact(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE):
+    """The words with one space after each, their edges, and the first word of each row."""
+    s, e = word_edges(buf, space)
+    keep = ~space[buf]
+    keep[e] = True
+    out = buf[keep]
+    at = np.cumsum(keep)
+    out[at[e] - 1] = 32
+    return out, at[s] - 1, at[e] - 1, rows_of_words(s, off)
+
+
+def word_numbers(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal words, from their bytes."""
+    edges = np.append(starts, len(out)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(out))])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 # --- hashes of spans ------------------------------------------------------------
 
 

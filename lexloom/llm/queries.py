@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontamination, lattice_lm, license_scan, mixing, pii, quality_cnn, quality_rules, simhash_dedup, substring_dedup, suffix_dedup
+from lexloom.llm import (
+    collocations, decontamination, lattice_lm, license_scan, mixing, periodic_runs, pii, quality_cnn, quality_rules, simhash_dedup,
+    substring_dedup, suffix_dedup,
+)
 from lexloom.llm.common import table
 
 
@@ -24,4 +27,6 @@ Q = {
     "op8_lattice_lm": (_docs(lattice_lm.op8), None),
     "op9_simhash_dedup": (_docs(simhash_dedup.op9), None),
     "op10_quality_classifier": (_docs(quality_cnn.op10, "labels"), None),
+    "op11_periodic_runs": (_docs(periodic_runs.op11), None),
+    "op13_phrase_collocations": (_docs(collocations.op13), collocations.oracle()),
 }
