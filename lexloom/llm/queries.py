@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexloom.llm import (
     collocations, decontamination, lattice_lm, license_scan, mixing, periodic_runs, pii, quality_cnn, quality_rules, simhash_dedup,
-    substring_dedup, suffix_dedup,
+    substring_dedup, suffix_dedup, vector_tree,
 )
 from lexloom.llm.common import table
 
@@ -28,5 +28,6 @@ Q = {
     "op9_simhash_dedup": (_docs(simhash_dedup.op9), None),
     "op10_quality_classifier": (_docs(quality_cnn.op10, "labels"), None),
     "op11_periodic_runs": (_docs(periodic_runs.op11), None),
+    "op12_nearest_neighbours": (lambda spark, sf_dir: vector_tree.op12(table(spark, sf_dir, "embeddings")), None),
     "op13_phrase_collocations": (_docs(collocations.op13), collocations.oracle()),
 }
