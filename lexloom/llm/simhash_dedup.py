@@ -15,16 +15,13 @@ gives the edges of a spanning forest of its links, never all its pairs.
 The stage of the corpus pipeline links further texts (``words=True``): those whose sets of
 five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more, checked exactly
 (equality of shingles is equality of 64-bit hashes). Texts with equal sets are one node. What
-is compared comes from two sources:
+is compared (``alike.links``) are the pairs within these groups:
 
-* the majority bits of the text's distinct long words, within ``WORD_RADIUS`` bits: the pairs
-  lie in components of their links;
-* for texts with fewer than ``2 * WORD_LEAST`` distinct long words, the rarest shingles of the
-  text, so many that two such texts with ``SIMILARITY`` share one: no pair of these is lost.
-
-Every node of a group is compared with one pivot. Groups that this leaves open compare
-their other pairs, without those that sizes, the triangle inequality of the Jaccard
-distance or more than ``WORD_RADIUS`` differing bits exclude.
+* components of the links of a second fingerprint, the majority bits of the text's distinct
+  long words, within ``WORD_RADIUS`` bits;
+* texts with fewer than ``2 * WORD_LEAST`` distinct long words that share one of the least
+  shingle hashes of their sets, so many that two such texts with ``SIMILARITY`` share one: no pair
+  of these is lost.
 
 * Null and empty texts have fingerprint zero and link like any other.
 * Rows are kept one to one: repeated rows and ids each get a result.
@@ -44,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import alike
 from lexloom.llm.common import LOWER, SPACE, by_piece, column, joined, mixed, rows_of_words, text_column, word_edges
 from lexloom.llm.components import components
 from lexloom.session import checkpointed
@@ -216,8 +214,9 @@ def _compared(text, s, e, row):
 def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprints as longs.
 
-    If ``words``, also node (hash of the set of compared shingles, null for a text without words),
-    size (of that set), long_words and wfp (null where a text has too few long words).
+    If ``words``, also the columns h and row of ``docs``, node (hash of the set of compared shingles, null for
+    a text without words), size (of that set), wfp (null where a text has too few long words) and least
+    (the least shingle hashes of a text with few long words, else null).
     """
 
     def run(batch):
@@ -225,19 +224,26 @@ def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
         parts = compact_words(buf, off)
         out = {"doc_id": column(batch, "doc_id").cast(pa.int64()), "fp": pa.array(_shingle_fingerprints(*parts).view(np.int64))}
         if words:
-            _, size, node = _compared(*parts)
+            out |= {"h": column(batch, "h"), "row": column(batch, "row")}
+            h, size, node = _compared(*parts)
             wfp, long = _word_fingerprints(*parts)
             out["node"] = pa.array(node.view(np.int64), mask=size == 0)
-            out |= {"size": pa.array(size, pa.int64()), "long_words": pa.array(long, pa.int64())}
+            out["size"] = pa.array(size, pa.int64())
             out["wfp"] = pa.array(wfp.view(np.int64), mask=long < WORD_LEAST)
+            few = (long < 2 * WORD_LEAST) & (size > 0)
+            most = np.where(few, size - np.ceil(size * SIMILARITY - 1e-9).astype(np.int64) + 1, 0)
+            begin = np.cumsum(size) - size
+            picked = h[np.arange(most.sum()) + np.repeat(begin - np.cumsum(most) + most, most)]
+            lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(most))), pa.array(picked.view(np.int64)))
+            out["least"] = lists.cast(pa.list_(pa.int64()))
         return pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, fp long" + (", node long, size long, long_words long, wfp long" if words else "")
-    return by_piece(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    schema = "doc_id long, fp long" + (", h long, row long, node long, size long, wfp long, least array<long>" if words else "")
+    return by_piece(docs.select(F.col("doc_id").cast("long"), "text", *(["h", "row"] if words else [])), run, schema)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles) of every row with words."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of every text with words."""
 
     def run(batch):
         buf, off = joined(text_column(column(batch, "text")))
@@ -246,7 +252,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         out = pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists.cast(pa.list_(pa.int64()))], ["node", "shingles"])
         return out.filter(pa.array(size > 0))
 
-    return by_piece(docs.select("text"), run, "node long, shingles array<long>")
+    return by_piece(texts.select("text"), run, "node long, shingles array<long>")
 
 
 # --- covering tables ------------------------------------------------------------
@@ -405,92 +411,82 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int | None = None,
         rows = rest.mapInArrow(lambda batches: _split(batches, radius), "mask long, key long, fp long").distinct()
 
 
-def _compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the Jaccard similarity j of their sets."""
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    out = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
-    return checkpointed(out.select("a", "b", (F.col("both") / (F.col("all") - F.col("both"))).alias("j")))
-
-
 def _word_groups(nodes: DataFrame) -> DataFrame:
-    """(g, node, size, wfp): components of the links of word fingerprints."""
+    """(g, node, size): components of the links of word fingerprints."""
     worded = nodes.where("wfp IS NOT NULL").select("node", "size", "wfp")
-    roots = components(links(worded.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS))
-    rooted = worded.join(roots, worded["wfp"] == roots["node"], "left").select(worded["node"], "size", "wfp", F.coalesce("root", "wfp").alias("root"))
-    return rooted.select(F.xxhash64("root", F.lit("words")).alias("g"), "node", "size", "wfp")
-
-
-def _short_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, node, size, wfp): short texts that share one of their rarest shingles (wfp is null)."""
-    short = nodes.where(F.col("long_words") < 2 * WORD_LEAST).select("node", "size")
-    sets = shingle_sets(docs).join(short, "node").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
-    rows = checkpointed(sets.select("node", "size", F.explode("shingles").alias("g")))
-    known = checkpointed(rows.groupBy("g").agg(F.count("*").alias("n")))
-    most = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
-    ordered = rows.join(known, "g").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("order"))
-    mine = ordered.select("node", "size", F.explode(F.slice("order", F.lit(1), most.cast("int"))).alias("x"))
-    return mine.where("x.n > 1").select("x.g", "node", "size", F.lit(None).cast("long").alias("wfp"))
-
-
-def similar(docs: DataFrame, fps: DataFrame) -> DataFrame:
-    """Edges (a, b) among nodes whose sets are ``SIMILARITY`` alike, as the module describes."""
-    nodes = checkpointed(fps.where("node IS NOT NULL").groupBy("node").agg(F.min("size").alias("size"), F.min("long_words").alias("long_words"), F.min("wfp").alias("wfp")))
-    members = checkpointed(_word_groups(nodes).unionByName(_short_groups(docs, nodes)))
-    pivots = checkpointed(members.groupBy("g").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = checkpointed(members.join(pivots, "g"))
-    needed = members.select("node").distinct()
-    sets = checkpointed(shingle_sets(docs).join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    first = _compared_pairs(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets)
-    judged = members.join(first, (F.col("a") == F.col("pivot")) & (F.col("b") == F.col("node"))).select("g", "node", "size", "wfp", "j")
-    judged = checkpointed(judged)
-    unlike = judged.where(F.col("j") < SIMILARITY).select("g").distinct()
-    rest = checkpointed(judged.join(unlike, "g", "left_semi"))
-    l, r = rest.alias("l"), rest.alias("r")
-    near = F.col("l.g") == F.col("r.g")
-    for c in (
-        F.col("l.node") < F.col("r.node"),
-        F.least("l.j", "r.j") < SIMILARITY,  # both are linked to the pivot otherwise
-        F.abs(F.col("l.j") - F.col("r.j")) <= 1 - SIMILARITY + 1e-9,
-        F.least("l.size", "r.size") >= SIMILARITY * F.greatest("l.size", "r.size") - 1e-9,
-        F.coalesce(F.bit_count(F.col("l.wfp").bitwiseXOR(F.col("r.wfp"))) <= WORD_RADIUS, F.lit(True)),
-    ):
-        near = near & c
-    other = l.join(r, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    second = _compared_pairs(other, sets)
-    return first.unionAll(second).where(F.col("j") >= SIMILARITY).select("a", "b")
+    roots = components(links(worded.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)).withColumnRenamed("node", "wfp")
+    rooted = worded.join(roots, "wfp", "left")
+    return rooted.select(F.xxhash64(F.coalesce("root", "wfp"), F.lit("words")).alias("g"), "node", "size")
+
+
+def similar(texts: DataFrame, fps: DataFrame) -> DataFrame:
+    """Edges (a, b) among nodes whose sets are ``SIMILARITY`` alike, as the module describes. ``texts`` has h and text."""
+    firsts = [F.min(c).alias(c) for c in ("size", "wfp", "h", "least")]  # equal for all rows of a node, but for h
+    nodes = checkpointed(fps.where("node IS NOT NULL").groupBy("node").agg(*firsts))
+    short = nodes.select(F.explode("least").alias("g"), "node", "size")
+    members = checkpointed(_word_groups(nodes).unionByName(short))
+    together = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    members = checkpointed(members.join(together, "g"))
+    needed = checkpointed(members.select("node").distinct().join(nodes.select("node", "h"), "node").select("h"))
+    found = shingle_sets(texts.join(needed, "h", "left_semi"))  # the texts of these nodes alone are read again
+    sets = checkpointed(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return alike.links(members, sets, SIMILARITY)
+
+
+def _named(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, least, root) of all fingerprints (fp, least)."""
+    roots = components(edges)
+    known = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return checkpointed(known)  # both sides of the next join are then plain, so a root with very many members can be split
+
+
+def _hashes(docs: DataFrame) -> list:
+    """h (hash of the text) and row (hash of all columns)."""
+    odd = lambda f: any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if odd(f) else F.col(f"`{f.name}`") for f in docs.schema]
+    return [F.xxhash64("text").alias("h"), F.xxhash64(*plain).alias("row")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", *_hashes(docs))
+
+
+def _all_links(docs: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links of fingerprints and of compared sets; sets are a second kind of node, and every text joins its two nodes."""
+    key = lambda c: F.xxhash64(c, F.lit("set"))
+    pairs = similar(docs.select(F.xxhash64("text").alias("h"), "text"), fps)
+    own = fps.where("node IS NOT NULL").select(F.col("fp").alias("a"), key("node").alias("b")).distinct()
+    return links(groups.select("fp")).unionAll(pairs.select(key("a").alias("a"), key("b").alias("b"))).unionAll(own)
 
 
 def near_duplicates(docs: DataFrame, words: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest id reachable over links."""
-    fps = checkpointed(fingerprints(docs, words))
+    fps = checkpointed(fingerprints(_keyed(docs) if words else docs, words))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = links(groups.select("fp"))
-    if words:
-        # sets of shingles are a second kind of node; every text joins its two nodes
-        key = lambda c: F.xxhash64(c, F.lit("set"))
-        pairs = similar(docs, fps)
-        own = fps.where("node IS NOT NULL").select(F.col("fp").alias("a"), key("node").alias("b")).distinct()
-        edges = edges.unionAll(pairs.select(key("a").alias("a"), key("b").alias("b"))).unionAll(own)
-    roots = components(edges)
-    known = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known = checkpointed(known)  # both sides of the next join are then plain, so a root with very many members can be split
+    known = _named(groups, _all_links(docs, fps, groups) if words else links(groups.select("fp")))
     least = checkpointed(known.groupBy("root").agg(F.min("least").alias("component_id")))
     named = known.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, words: bool = True) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, one row of it.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group stays: the one with the smallest id, then the smallest hashes of text and row.
 
-    Rows without id take no part and stay. Columns and their order are kept.
+    A row is all its columns, so rows that share only an id are different documents; a row without id
+    comes last in its group. Columns and their order are kept.
     """
-    ids = near_duplicates(docs.where("doc_id IS NOT NULL"), words).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
-    out = one.select("doc_id", "row.*").select(docs.columns)
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    fps = checkpointed(fingerprints(_keyed(docs), True))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    groups = checkpointed(fps.groupBy("fp").agg(F.min(rank).alias("least")))
+    known = _named(groups, _all_links(docs, fps, groups))
+    same = fps.groupBy("doc_id", "h", "row").agg(F.count("*").alias("n"))
+    kept = known.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.h", "k.row")
+    match = lambda a, b: (a["row"] == b["row"]) & (a["h"] == b["h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    kept = checkpointed(kept.join(same, match(kept, same)).select(kept["h"], kept["row"], kept["doc_id"], "n"))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), *_hashes(docs))
+    found = mine.join(kept, match(mine, kept)).select("d", mine["doc_id"], mine["h"], mine["row"], "n")
+    repeated = found.where("n > 1").groupBy("doc_id", "h", "row").agg(F.first("d").alias("d"))
+    return found.where("n = 1").select("d").unionByName(repeated.select("d")).select("d.*")
 
 
 def op9(docs: DataFrame) -> DataFrame:

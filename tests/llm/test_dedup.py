@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexloom.llm import blocks, simhash_dedup, substring_dedup, suffix_dedup
+from lexloom.llm import alike, blocks, simhash_dedup, substring_dedup, suffix_dedup
 from lexloom.llm.common import LOWER, SPACE
 from lexloom.llm.components import components
 
@@ -183,14 +183,80 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_deduplicated_keeps_one_row_of_each_group(docs, rows):
     kept = simhash_dedup.deduplicated(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    some = [i for i in ids if i is not None]
-    assert len(some) == len(set(some)) and 7 in some
-    assert not {8, 9, *range(200, 208)} & set(some)  # copies, and one changed word of 400
-    assert ids.count(None) == 2  # rows without id take no part
+    got = kept.collect()
+    some = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert 7 in some and not {8, 9, *range(200, 208)} & set(some)  # copies, and one changed word of 400
+    assert some.count(16) == 2 and len(some) == len(set(some)) + 1  # two texts share this id
+    assert [r["text"] for r in got if r["doc_id"] is None] == [r[1] for r in rows if r[0] is None and r[1]]  # the text; null is alike to empty
     assert set(range(100, 160)) - set(some) <= {r[0] for r in rows if r[1] and len(r[1].split()) < 8}
 
 
+def test_deduplicated_with_one_id_or_none_and_columns_that_cannot_be_compared(spark):
+    texts = [" ".join(f"word{i}x{j}" for j in range(30)) for i in range(40)]
+    for ids in ([None] * 40, [5] * 40, [5 if i % 3 == 0 else None for i in range(40)]):
+        rows = [(i, t, {"k": 1}, "n") for i, t in zip(ids, texts, strict=True)] * 2
+        df = spark.createDataFrame(rows, "doc_id long, text string, h map<string, int>, row string").repartition(3)
+        got = simhash_dedup.deduplicated(df)
+        assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == sorted(texts)
+
+
+def _pairs(sets, least):
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) > 0:
+                root = [root[j] if x == root[i] else x for x in root]
+    return root
+
+
+def _same_parts(edges, root):
+    got = list(range(len(root)))
+    for a, b in edges:
+        got = [got[b] if x == got[a] else x for x in got]
+    part = lambda r: sorted(sorted(i for i, x in enumerate(r) if x == y) for y in set(r))
+    return part(got) == part(root)
+
+
+def _random_sets(rng, n, words):
+    sets = []
+    for _ in range(n):
+        if sets and rng.random() < 0.7:
+            s = set(sets[rng.integers(0, len(sets))])
+            for _ in range(int(rng.integers(0, 4))):
+                s.discard(next(iter(s)) if s else None)
+                s.add(int(rng.integers(0, words)))
+        else:
+            s = set(rng.integers(0, words, int(rng.integers(1, 30))).tolist())
+        sets.append(s)
+    return sets
+
+
+def test_forest_of_similar_sets():
+    rng = np.random.default_rng(21)
+    for words in (30, 100, 5000):
+        for _ in range(20):
+            sets = _random_sets(rng, 60, words)
+            edges = alike.spanning_edges([np.array(sorted(s), np.int64) for s in sets], 0.8)
+            assert _same_parts(edges, _pairs(sets, 0.8)) and len(edges) < 60
+
+
+@pytest.mark.parametrize("weight", [10**6, 150, 30])
+def test_links_of_groups_of_any_weight(spark, weight):
+    sets = _random_sets(np.random.default_rng(22), 120, 60)
+    sets = [s for i, s in enumerate(sets) if s not in sets[:i]]
+    nodes = spark.createDataFrame([(1, i, len(s)) for i, s in enumerate(sets)] + [(2, i, len(s)) for i, s in enumerate(sets)] + [(3, 0, len(sets[0]))], "g long, node long, size long")
+    found = alike.links(nodes, spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<long>"), 0.8, weight)
+    edges = [tuple(r) for r in found.collect()]
+    assert _same_parts(edges, _pairs(sets, 0.8)) and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges)
+
+
+def test_templated_pages_are_not_compared_in_pairs(monkeypatch):
+    """One changed word of thirty: 0.68 alike, so no page can match another."""
+    pages = [np.array([*range(21), *range(100 + 5 * i, 105 + 5 * i)], np.int64) for i in range(20_000)]
+    monkeypatch.setattr(np, "add", None)  # the comparison of sets is never reached
+    assert alike.spanning_edges(pages, 0.8) == []
+
+
 def test_space_table():
     assert [i for i in range(256) if SPACE[i]] == [9, 10, 11, 12, 13, 32]
 
