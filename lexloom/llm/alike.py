@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import column, small_batches
@@ -148,17 +148,21 @@ def _weighed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
 
 
-def _dealt_anew(rows: DataFrame, least: float) -> DataFrame:
-    """Groups of (g, node, size, shingles) -> groups by rare shared shingles of each, without sets that can match nothing."""
-    items = checkpointed(rows.select("g", "node", "size", F.explode("shingles").alias("t")))
+def by_rare_items(rows: DataFrame, least) -> DataFrame:
+    """Groups of (g, node, size, shingles) -> groups (g, node, size) by rare shared shingles of each, without sets that can match nothing.
+
+    ``least`` may be a column of g. No pair of sets that is ``least`` alike is lost.
+    """
+    least = least if isinstance(least, Column) else F.lit(least)
+    items = rows.select("g", "node", "size", F.explode("shingles").alias("t"))
     often = checkpointed(items.groupBy("g", "t").agg(F.count("*").alias("df")).where("df > 1"))
     shared = items.join(often, ["g", "t"])
-    sums = checkpointed(shared.groupBy("g", "node", "size").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("order")))
-    lone = F.col("size") - F.col("shared")
-    least_lone = sums.groupBy("g").agg(F.min(lone).alias("lone"))
-    kept = sums.join(least_lone, "g").where(F.col("shared") >= least * (F.col("size") + F.col("lone")) - _EPS)
+    sums = checkpointed(shared.groupBy("g", "node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("order")))
+    lone = F.col("size") - F.size("order")
+    fewest = sums.groupBy("g").agg(F.min(lone).alias("fewest"))
+    kept = sums.join(fewest, "g").where(F.size("order") >= least * (F.col("size") + F.col("fewest")) - _EPS)
     # the shingles that no other set has come first in the order; what is left of the prefix are the rarest shared ones
-    rest = F.col("size") - F.ceil(F.col("size") * least - _EPS) + 1 - lone.alias("x")
+    rest = F.col("size") - F.ceil(F.col("size") * least - _EPS) + 1 - lone
     front = kept.select("g", "node", "size", F.explode(F.slice("order", F.lit(1), F.greatest(rest, F.lit(0)).cast("int"))).alias("o"))
     return checkpointed(front.select(F.xxhash64("g", "o.t").alias("g"), "node", "size"))
 
@@ -184,7 +188,7 @@ def links(members: DataFrame, sets: DataFrame, least: float, weight: int | None
     heavy = full.where(F.col("weight") > weight).drop("weight")
     if heavy.isEmpty():
         return edges
-    anew = _dealt_anew(heavy, least)
+    anew = by_rare_items(heavy, least)
     weights = checkpointed(_weighed(anew))
     light = anew.join(weights.where(F.col("weight") <= weight).select("g"), "g", "left_semi").join(sets, "node")
     blocks = _blocks(anew.join(sets, "node"), weights.where(F.col("weight") > weight), weight)

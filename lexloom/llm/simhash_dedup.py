@@ -15,13 +15,13 @@ gives the edges of a spanning forest of its links, never all its pairs.
 The stage of the corpus pipeline links further texts (``words=True``): those whose sets of
 five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more, checked exactly
 (equality of shingles is equality of 64-bit hashes). Texts with equal sets are one node. What
-is compared (``alike.links``) are the pairs within these groups:
-
-* components of the links of a second fingerprint, the majority bits of the text's distinct
-  long words, within ``WORD_RADIUS`` bits;
-* texts with fewer than ``2 * WORD_LEAST`` distinct long words that share one of the least
-  shingle hashes of their sets, so many that two such texts with ``SIMILARITY`` share one: no pair
-  of these is lost.
+is compared (``alike.links``) are texts that share rare shingles: of a text with fewer than
+``2 * LEAST_SAMPLE`` shingles all count, of one with up to twice as many every second (by hash), and so on;
+a text near the upper end of its level is also in the next, so two alike texts meet in one. Ordered from
+the rarest, the first shingles that two texts with ``SIMILARITY`` (``LOOSE`` among a part of the shingles)
+cannot both lack are their groups. No pair of texts below ``2 * LEAST_SAMPLE`` shingles is lost; of longer ones a
+pair at the very bound is lost if its part of at least about ``LEAST_SAMPLE`` shingles shows less than ``LOOSE``,
+more than three standard deviations off.
 
 * Null and empty texts have fingerprint zero and link like any other.
 * Rows are kept one to one: repeated rows and ids each get a result.
@@ -51,10 +51,9 @@ RADIUS = 4
 SEED = 42
 BUCKET = 2048
 FREE_BITS = 11
-WORD_BYTES = 7
-WORD_LEAST = 16
-WORD_RADIUS = 5
 SIMILARITY = 0.8
+LOOSE = 0.6
+LEAST_SAMPLE = 48
 COMPARED = 5
 _LONG = 512
 
@@ -170,17 +169,6 @@ def _distinct(h, owner, rows):
     return h[new], np.bincount(own[new], minlength=rows)
 
 
-def _word_fingerprints(text, s, e, row):
-    """Majority bits of the distinct long words of each row, and the number of these words."""
-    owner = np.repeat(np.arange(len(row) - 1), np.diff(row))
-    long = np.flatnonzero(e - s >= WORD_BYTES)
-    h, counts = _distinct(xxh64(text, s[long], e[long], SEED + 1), owner[long], len(row) - 1)
-    out, full = np.zeros(len(row) - 1, np.uint64), np.flatnonzero(counts)
-    if len(full):
-        out[full] = majority(h, np.concatenate(([0], np.cumsum(counts[full])[:-1])), counts[full])
-    return out, counts
-
-
 def _shingles(text, s, e, row, k, seed):
     """Hashes of the k-word shingles of the rows (a shorter text is one), and how many each row has."""
     words = np.diff(row)
@@ -215,8 +203,7 @@ def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprints as longs.
 
     If ``words``, also the columns h and row of ``docs``, node (hash of the set of compared shingles, null for
-    a text without words), size (of that set), wfp (null where a text has too few long words) and least
-    (the least shingle hashes of a text with few long words, else null).
+    a text without words), size (of that set), and level and sample, higher (null or the sample of the next level).
     """
 
     def run(batch):
@@ -224,24 +211,30 @@ def fingerprints(docs: DataFrame, words: bool = False) -> DataFrame:
         parts = compact_words(buf, off)
         out = {"doc_id": column(batch, "doc_id").cast(pa.int64()), "fp": pa.array(_shingle_fingerprints(*parts).view(np.int64))}
         if words:
-            out |= {"h": column(batch, "h"), "row": column(batch, "row")}
             h, size, node = _compared(*parts)
-            wfp, long = _word_fingerprints(*parts)
-            out["node"] = pa.array(node.view(np.int64), mask=size == 0)
-            out["size"] = pa.array(size, pa.int64())
-            out["wfp"] = pa.array(wfp.view(np.int64), mask=long < WORD_LEAST)
-            few = (long < 2 * WORD_LEAST) & (size > 0)
-            most = np.where(few, size - np.ceil(size * SIMILARITY - 1e-9).astype(np.int64) + 1, 0)
-            begin = np.cumsum(size) - size
-            picked = h[np.arange(most.sum()) + np.repeat(begin - np.cumsum(most) + most, most)]
-            lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(most))), pa.array(picked.view(np.int64)))
-            out["least"] = lists.cast(pa.list_(pa.int64()))
+            level = levels(size)
+            out |= {"h": column(batch, "h"), "row": column(batch, "row"), "node": pa.array(node.view(np.int64), mask=size == 0)}
+            out |= {"size": pa.array(size, pa.int64()), "level": pa.array(level, pa.int64()), "sample": _sampled(h, size, level, size > 0)}
+            out["higher"] = _sampled(h, size, level + 1, size >= SIMILARITY * (2 * LEAST_SAMPLE << level))
         return pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, fp long" + (", h long, row long, node long, size long, wfp long, least array<long>" if words else "")
+    schema = "doc_id long, fp long" + (", h long, row long, node long, size long, level long, sample array<long>, higher array<long>" if words else "")
     return by_piece(docs.select(F.col("doc_id").cast("long"), "text", *(["h", "row"] if words else [])), run, schema)
 
 
+def levels(size: np.ndarray) -> np.ndarray:
+    """Level k holds sets of up to ``2 * LEAST_SAMPLE * 2 ** k`` shingles, of which one in ``2 ** k`` counts."""
+    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / LEAST_SAMPLE)).astype(np.int64))
+
+
+def _sampled(h: np.ndarray, size: np.ndarray, level: np.ndarray, used: np.ndarray) -> pa.Array:
+    """The shingles of each set whose hash ends in ``level`` zero bits; null where not ``used``."""
+    owner = np.repeat(np.arange(len(size)), size)
+    kept = used[owner] & (mixed(h.copy()) & ((np.uint64(1) << level[owner].astype(np.uint64)) - np.uint64(1)) == 0)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[kept], minlength=len(size)))))
+    return pa.LargeListArray.from_arrays(offsets, pa.array(h[kept].view(np.int64))).cast(pa.list_(pa.int64()))
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """(node, shingles) of every text with words."""
 
@@ -411,22 +404,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int | None = None,
         rows = rest.mapInArrow(lambda batches: _split(batches, radius), "mask long, key long, fp long").distinct()
 
 
-def _word_groups(nodes: DataFrame) -> DataFrame:
-    """(g, node, size): components of the links of word fingerprints."""
-    worded = nodes.where("wfp IS NOT NULL").select("node", "size", "wfp")
-    roots = components(links(worded.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)).withColumnRenamed("node", "wfp")
-    rooted = worded.join(roots, "wfp", "left")
-    return rooted.select(F.xxhash64(F.coalesce("root", "wfp"), F.lit("words")).alias("g"), "node", "size")
-
-
 def similar(texts: DataFrame, fps: DataFrame) -> DataFrame:
     """Edges (a, b) among nodes whose sets are ``SIMILARITY`` alike, as the module describes. ``texts`` has h and text."""
-    firsts = [F.min(c).alias(c) for c in ("size", "wfp", "h", "least")]  # equal for all rows of a node, but for h
+    firsts = [F.min(c).alias(c) for c in ("size", "level", "sample", "higher", "h")]  # equal for all rows of a node, but for h
     nodes = checkpointed(fps.where("node IS NOT NULL").groupBy("node").agg(*firsts))
-    short = nodes.select(F.explode("least").alias("g"), "node", "size")
-    members = checkpointed(_word_groups(nodes).unionByName(short))
-    together = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    members = checkpointed(members.join(together, "g"))
+    ranks = F.array(F.struct(F.col("level").alias("g"), F.col("sample").alias("shingles")), F.struct((F.col("level") + 1).alias("g"), F.col("higher").alias("shingles")))
+    ranked = nodes.select("node", F.explode(ranks).alias("r")).select("r.g", "node", F.size("r.shingles").cast("long").alias("size"), "r.shingles").where("size > 0")
+    groups = alike.by_rare_items(ranked, F.when(F.col("g") == 0, SIMILARITY).otherwise(LOOSE))
+    together = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    members = checkpointed(groups.select("g", "node").join(together, "g").join(nodes.select("node", "size"), "node").select("g", "node", "size"))
     needed = checkpointed(members.select("node").distinct().join(nodes.select("node", "h"), "node").select("h"))
     found = shingle_sets(texts.join(needed, "h", "left_semi"))  # the texts of these nodes alone are read again
     sets = checkpointed(found.groupBy("node").agg(F.first("shingles").alias("shingles")))

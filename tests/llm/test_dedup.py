@@ -301,14 +301,14 @@ def _sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_word_links_are_checked_and_short_texts_compared(spark):
+def test_similar_texts_are_linked_and_others_not(spark):
     rng = np.random.default_rng(12)
     vocab = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(7, 11)))) for _ in range(2000)]
     some = lambda n: [vocab[i] for i in rng.integers(0, len(vocab), n)]
-    table, long, short = some(120), some(150), some(14)
+    table, long, short = some(120), some(1500), some(14)
     swapped = list(table)
     rng.shuffle(swapped)
-    rows = [(1, table), (2, swapped), (3, swapped[:60] + ["instead"] + swapped[61:]), (4, table), (5, long), (6, [*long[:80], "another", *long[81:]])]
+    rows = [(1, table), (2, swapped), (3, swapped[:60] + ["instead"] + swapped[61:]), (4, table), (5, long), (6, [w if i % 55 else "another" for i, w in enumerate(long)]), (13, [*long, *some(300)])]
     rows += [(7, short), (8, [*short, "appended"]), (9, short[:7] + some(7)), (10, ["one"]), (11, ["ONE"]), (12, None)]
     rows += [(20 + i, some(int(rng.integers(1, 60)))) for i in range(20)]
     rows = [(i, w and " ".join(w)) for i, w in rows]
@@ -319,6 +319,6 @@ def test_word_links_are_checked_and_short_texts_compared(spark):
             if alike or (fps[i] ^ fps[j]).bit_count() <= 4:
                 root = [root[j] if x == root[i] else x for x in root]
     want = [(rows[i][0], min(r[0] for r, x in zip(rows, root, strict=True) if x == root[i])) for i in range(len(rows))]
-    assert dict(want)[2] == 2 and dict(want)[3] == 2 and dict(want)[8] == 7 and dict(want)[9] == 9
+    assert dict(want)[2] == 2 and dict(want)[3] == 2 and dict(want)[8] == 7 and dict(want)[9] == 9 and dict(want)[6] == 5 and dict(want)[13] == 5
     got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=True)
     assert by_id(got, "doc_id", "component_id") == sorted(want, key=lambda r: repr(r))
