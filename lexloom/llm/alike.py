@@ -16,6 +16,8 @@ No set of pairs is ever written, and no task holds more than twice ``WEIGHT`` sh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,6 +135,8 @@ def _within(rows: DataFrame, least: float) -> DataFrame:
                     if len(nodes) > 1:
                         yield edges()
                     now, nodes, sets = g, [], []
+                elif nodes[-1] == node[k]:
+                    continue
                 nodes.append(int(node[k]))
                 sets.append(values[edge[k] : edge[k + 1]])
         if len(nodes) > 1:
@@ -167,29 +171,33 @@ def by_rare_items(rows: DataFrame, least) -> DataFrame:
     return checkpointed(front.select(F.xxhash64("g", "o.t").alias("g"), "node", "size"))
 
 
-def _blocks(rows: DataFrame, weights: DataFrame, weight: int) -> DataFrame:
-    """Heavy groups as cells of two blocks each."""
-    placed = rows.join(weights.select("g", F.ceil(F.col("weight") * 2 / weight).cast("int").alias("blocks")), "g")
+def _blocks(members: DataFrame, weight: int) -> DataFrame:
+    """(g, node) of heavy groups (g, node, weight) as cells of two blocks each."""
+    placed = members.withColumn("blocks", F.ceil(F.col("weight") * 2 / weight).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = placed.select("g", "node", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return cells.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "shingles")
+    cells = placed.select("g", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return cells.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node")
+
+
+def _weighed(members: DataFrame) -> DataFrame:
+    """``members`` (g, node, size) with the weight of their group; of groups with the same members one stays, and none with a single one."""
+    marks = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    each = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), *marks).where("n > 1")
+    return checkpointed(members.join(each.groupBy("n", "weight", "x", "y").agg(F.min("g").alias("g")).select("g", "weight"), "g"))
 
 
-def links(members: DataFrame, sets: DataFrame, least: float, weight: int | None = None) -> DataFrame:
-    """``members`` (g, node, size) and ``sets`` (node, shingles) -> edges (a, b) whose components are those of all similar pairs within groups."""
+def links(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], least: float, weight: int | None = None) -> DataFrame:
+    """``members`` (g, node, size) -> edges (a, b) whose components are those of all similar pairs within groups.
+
+    ``with_sets`` turns (g, node) into (g, node, shingles); it may repeat rows.
+    """
     weight = WEIGHT if weight is None else weight
-    members = checkpointed(members.distinct())
-    # groups with the same members are one
-    mark = F.xxhash64("node", F.lit(7))
-    first = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(mark).alias("y")).where("n > 1")
-    weights = checkpointed(first.groupBy("n", "weight", "x", "y").agg(F.min("g").alias("g")))
-    full = checkpointed(members.join(weights.select("g", "weight"), "g").join(sets, "node"))
-    edges = _within(full.where(F.col("weight") <= weight), least)
-    heavy = full.where(F.col("weight") > weight).drop("weight")
+    members = _weighed(members.distinct())
+    light, heavy = members.where(F.col("weight") <= weight), members.where(F.col("weight") > weight)
+    edges = _within(with_sets(light.select("g", "node")), least)
     if heavy.isEmpty():
         return edges
-    anew = by_rare_items(heavy, least)
-    weights = checkpointed(_weighed(anew))
-    light = anew.join(weights.where(F.col("weight") <= weight).select("g"), "g", "left_semi").join(sets, "node")
-    blocks = _blocks(anew.join(sets, "node"), weights.where(F.col("weight") > weight), weight)
-    return edges.unionByName(_within(light, least)).unionByName(_within(blocks, least))
+    sized = with_sets(heavy.select("g", "node")).dropDuplicates(["g", "node"]).withColumn("size", F.size("shingles").cast("long"))
+    anew = _weighed(by_rare_items(sized, least))
+    light, heavy = anew.where(F.col("weight") <= weight).select("g", "node"), anew.where(F.col("weight") > weight)
+    return edges.unionByName(_within(with_sets(light.unionByName(_blocks(heavy, weight))), least))

@@ -37,12 +37,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import alike
-from lexloom.llm.common import LOWER, SPACE, by_piece, column, joined, mixed, rows_of_words, text_column, word_edges
+from lexloom.llm.common import LOWER, SPACE, by_piece, column, joined, mixed, pieces, rows_of_words, small_batches, text_column, word_edges
 from lexloom.llm.components import components
 from lexloom.session import checkpointed
 
@@ -235,17 +236,36 @@ def _sampled(h: np.ndarray, size: np.ndarray, level: np.ndarray, used: np.ndarra
     return pa.LargeListArray.from_arrays(offsets, pa.array(h[kept].view(np.int64))).cast(pa.list_(pa.int64()))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of every text with words."""
+def _with_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, node) -> (g, node, shingles), from one text (h, text) of each node (node, h). The copies of a text give at most a row for each task."""
+    listed = wanted.groupBy("node").agg(F.collect_list("g").alias("gs")).join(nodes.select("node", "h"), "node").select("h", "gs")
+    last = "last h of the task"
 
-    def run(batch):
-        buf, off = joined(text_column(column(batch, "text")))
-        h, size, node = _compared(*compact_words(buf, off))
-        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), pa.array(h.view(np.int64)))
-        out = pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists.cast(pa.list_(pa.int64()))], ["node", "shingles"])
-        return out.filter(pa.array(size > 0))
+    def run(batches):
+        held: dict[str, int | None] = {last: None}
+
+        def rows(batch):
+            h_text = column(batch, "h").to_numpy()
+            new = np.concatenate(([h_text[0] != held[last]], h_text[1:] != h_text[:-1]))
+            held[last] = h_text[-1]
+            batch = batch.filter(pa.array(new))
+            if not batch.num_rows:
+                return None
+            buf, off = joined(text_column(column(batch, "text")))
+            h, size, node = _compared(*compact_words(buf, off))
+            lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
+            gs = column(batch, "gs")
+            pick = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(gs).to_numpy()))
+            return pa.RecordBatch.from_arrays([gs.flatten(), pa.array(node.view(np.int64)).take(pick), lists.take(pick)], ["g", "node", "shingles"])
+
+        for batch in batches:
+            for piece in pieces(batch):
+                out = rows(piece)
+                if out is not None:
+                    yield out
 
-    return by_piece(texts.select("text"), run, "node long, shingles array<long>")
+    small_batches(texts.sparkSession)
+    return texts.join(listed, "h").select("h", "text", "gs").sortWithinPartitions("h").mapInArrow(run, "g long, node long, shingles array<long>")
 
 
 # --- covering tables ------------------------------------------------------------
@@ -413,10 +433,7 @@ def similar(texts: DataFrame, fps: DataFrame) -> DataFrame:
     groups = alike.by_rare_items(ranked, F.when(F.col("g") == 0, SIMILARITY).otherwise(LOOSE))
     together = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     members = checkpointed(groups.select("g", "node").join(together, "g").join(nodes.select("node", "size"), "node").select("g", "node", "size"))
-    needed = checkpointed(members.select("node").distinct().join(nodes.select("node", "h"), "node").select("h"))
-    found = shingle_sets(texts.join(needed, "h", "left_semi"))  # the texts of these nodes alone are read again
-    sets = checkpointed(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    return alike.links(members, sets, SIMILARITY)
+    return alike.links(members, lambda wanted: _with_sets(texts, nodes, wanted), SIMILARITY)
 
 
 def _named(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -245,7 +245,8 @@ def test_links_of_groups_of_any_weight(spark, weight):
     sets = _random_sets(np.random.default_rng(22), 120, 60)
     sets = [s for i, s in enumerate(sets) if s not in sets[:i]]
     nodes = spark.createDataFrame([(1, i, len(s)) for i, s in enumerate(sets)] + [(2, i, len(s)) for i, s in enumerate(sets)] + [(3, 0, len(sets[0]))], "g long, node long, size long")
-    found = alike.links(nodes, spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<long>"), 0.8, weight)
+    known = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<long>")
+    found = alike.links(nodes, lambda wanted: wanted.join(known, "node").select("g", "node", "shingles"), 0.8, weight)
     edges = [tuple(r) for r in found.collect()]
     assert _same_parts(edges, _pairs(sets, 0.8)) and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges)
 
