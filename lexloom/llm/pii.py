@@ -23,6 +23,7 @@ surroundings look like is.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -271,11 +272,15 @@ def train(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict | None:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
-    """Learn from a bounded sample: about ``train_docs`` documents, ``PER_DOC`` proposals each."""
-    n = docs.count()
+    """Learn from a bounded sample: about ``train_docs`` documents, ``PER_DOC`` proposals each.
+
+    Documents are told apart by id and text, so one id may have any share of the rows, and copies count once.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit("pii"))
+    n = docs.agg(F.approx_count_distinct(key)).first()[0]
     share = min(1 << 20, math.ceil((1 << 20) * train_docs / max(n, 1)))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit("pii"))
-    sample = docs.where(F.pmod(key, F.lit(1 << 20)) < share).select(key.alias("key"), "text")
+    part = docs.where(F.pmod(key, F.lit(1 << 20)) < share).select(key.alias("key"), "text")
+    sample = part.groupBy("key").agg(F.first("text").alias("text"))
     small_batches(docs.sparkSession)
 
     def rows(batches):
@@ -305,11 +310,11 @@ def added_spans(model: dict | None, text: str, base: list[tuple]) -> list[tuple]
         return []
     p = probabilities(model, np.array([features(text, s, e, k) for s, e, k, _ in found]))
     chosen = [(-q, s - e, s, e, k) for q, (s, e, k, _) in zip(p, found, strict=True) if q >= model["threshold"][k]]
-    taken: list[tuple] = []
+    taken: list[tuple] = []  # by start; they never overlap
     for *_, s, e, k in sorted(chosen):
-        if len(_free([(s, e)], taken)):
-            taken.append((s, e, k))
-            taken.sort()
+        at = bisect.bisect_left(taken, (s, e, k))
+        if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
+            taken.insert(at, (s, e, k))
     return taken
 
 

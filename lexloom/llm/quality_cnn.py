@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, train_
         ids = ids.where(usable)
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of an id that repeats
     small_batches(docs.sparkSession)
 
     def cut(batches):
@@ -187,7 +188,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, train_
 
     got = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(cut, "doc_id long, quality int, codes binary").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["codes"].to_pylist(), got["quality"].to_pylist(), strict=True))
-    rows = rows[: 2 * train_docs]  # an id that repeats may bring several texts
     if not rows:
         return train(np.zeros((0, CHUNK), np.int16), np.zeros(0, np.int64), np.zeros(0))
     parts = [np.frombuffer(r[1], "<i2").reshape(-1, CHUNK) for r in rows]

@@ -115,15 +115,19 @@ def bin_weights(docs: DataFrame) -> list[float]:
     return [round(math.log((g + SMOOTHING) / all_good) - math.log((r + SMOOTHING) / all_raw), 3) for r, g in zip(raw, good, strict=True)]
 
 
+#: What ``measured`` adds; columns of the input with these names are replaced.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_words", "_sum")
+
+
 def measured(docs: DataFrame, weights: list[float]) -> DataFrame:
     """``docs`` with the counted features, the base verdict, the score and the final verdict."""
     # one constant array: the optimizer folds it before the plan runs
     folded = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
     text = F.col("text")
-    worded = docs.select("*", word_hashes(text).alias("_words"))
+    worded = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURES], word_hashes(text).alias("_words"))
     words, n = F.col("_words"), F.col("n_words")
     out = worded.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURES],
         F.size(words).cast("long").alias("n_words"),
         (F.length(F.coalesce(text, F.lit(""))) - _count(text, BLANK)).alias("word_chars"),
         symbols(text).alias("n_symbols"),

@@ -8,6 +8,7 @@ from pathlib import Path
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,3 +383,43 @@ def test_licences_of_all_notices_whole_texts_and_an_own_table(spark):
     own = spark.createDataFrame([(digest, "Own-1.0")], "digest string, license_id string")
     mine = spark.createDataFrame([(1, "x\nOURS, alone!"), (2, "Released under MIT.")], "doc_id long, text string")
     assert by_id(license_scan.scanned(mine, own), "doc_id", "license_id", "line_licenses") == [(1, None, "Own-1.0"), (2, None, "")]
+
+
+@pytest.mark.parametrize("ids", [[None] * 4, [7] * 4, [7, None, 1, 2]])
+def test_samples_do_not_depend_on_how_often_an_id_repeats(spark, ids):
+    """All documents under one id, or under none, still teach both models, and copies do not fill the sample."""
+    texts = [f"key token=Zk{i}9fQ7xLmPw{i}Tb{i}4 and call 415-555-0{i:03d} or mail a{i}@b.org" for i in range(100)]
+    rows = [(ids[i % 4], t) for i, t in enumerate(texts)] + [(ids[0], texts[0])] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = pii.fit(df, 50)
+    assert got is None or got["trees"]
+    seen = []
+    real = pii.train
+    pii.train = lambda x, y, held: seen.append(len(y)) or real(x, y, held)
+    try:
+        pii.fit(df, 50)
+        pii.fit(df, 10**6)
+    finally:
+        pii.train = real
+    assert 0 < seen[0] < seen[1]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(sorted({i for i in ids if i is not None}))], "doc_id long, quality int")
+    assert quality_cnn.fit(df, labels)
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    taken, model = time.time(), {"threshold": dict.fromkeys(pii.ADDED_KINDS, 0.0)}
+    real, pii.probabilities = pii.probabilities, lambda m, x: np.linspace(0, 1, len(x))
+    try:
+        text = " ".join(f"token=Zk{i}9fQ7xLmPw{i}Tb4" for i in range(20_000))
+        spans = pii.added_spans(model, text, [])
+    finally:
+        pii.probabilities = real
+    assert len(spans) >= 20_000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and time.time() - taken < 60
+
+
+def test_measured_replaces_columns_with_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 9, "x")], "doc_id long, text string, n_words int, KEPT string")
+    row = quality_rules.measured(df, [0.0] * quality_rules.BUCKETS).collect()[0]
+    assert row["n_words"] == 3 and row["kept"] is False
