@@ -206,7 +206,43 @@ def session_turns(s, d):
 
 
 SESSION = ["session_id", "turn_index", "status", "clarification_round", "awaiting", "category", "route_of_administration"]
-Q["session_batch"] = (lambda s, d: session_machine_batch(session_turns(s, d)).select(*SESSION, F.array_join("pending", "|").alias("pending")), None)
+#: What the rules give for the five remarks of the adapter: intent, description, mention, then slots (route, category, jurisdiction, use), then rules (category, route).
+_REMARKS = """(VALUES
+  ('it is an oral capsule', 'other', true, NULL, 'oral', NULL, NULL, NULL, 'unclassified', 'oral'),
+  ('a proprietary neem cream', 'other', true, NULL, 'external', 'proprietary', NULL, NULL, 'proprietary', 'external'),
+  ('for india, therapeutic', 'other', false, 'Europe', NULL, NULL, 'india', 'medicine', NULL, NULL),
+  ('can i patent my herbal mixture', 'patentability', true, NULL, NULL, NULL, NULL, NULL, 'unclassified', 'unknown'),
+  ('unrelated remark', 'other', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+) AS x(text, t_intent, t_desc, t_mention, s_route, s_cat, s_jur, s_use, t_cat, t_route)"""
+_SESSION_SQL = f"""
+, turns AS (SELECT e.session_id, e.turn_index, row_number() OVER (PARTITION BY e.session_id ORDER BY e.turn_index) AS no, x.* FROM fx_session_events e JOIN {_REMARKS} ON x.text = e.text),
+steps AS (
+  SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS turn_index, CAST(0 AS BIGINT) AS no, 'x' AS status, 0 AS clarification_round, false AS awaiting, '' AS pending,
+    'other' AS intent, false AS has_desc, CAST(NULL AS VARCHAR) AS r_cat, CAST(NULL AS VARCHAR) AS r_route, 'unclassified' AS category, 'unknown' AS route,
+    CAST(NULL AS VARCHAR) AS f_cat, CAST(NULL AS VARCHAR) AS f_route, CAST(NULL AS VARCHAR) AS f_jur, CAST(NULL AS VARCHAR) AS f_use, false AS f_desc
+  FROM (SELECT DISTINCT session_id FROM turns)
+  UNION ALL
+  SELECT session_id, turn_index, no, CASE WHEN ask THEN 'needs_clarification' ELSE 'answered' END, clarification_round, ask, CASE WHEN ask THEN concat_ws('|', CASE WHEN need_cat THEN 'category' END, CASE WHEN need_route THEN 'route_of_administration' END) ELSE '' END,
+    intent, has_desc, r_cat, r_route, category, route, f_cat, f_route, f_jur, f_use, f_desc
+  FROM (SELECT *, (need_cat OR need_route) AND intent NOT IN ('other', 'general_info') AND clarification_round < 2 AS ask FROM (
+    SELECT *, category = 'unclassified' AND f_cat IS NULL AND has_desc AS need_cat, category = 'proprietary' AND intent = 'compliance' AND route = 'unknown' AND f_route IS NULL AND has_desc AS need_route FROM (
+      SELECT * REPLACE (coalesce(f_cat, CASE WHEN has_desc AND r_cat <> 'unclassified' THEN r_cat END, category) AS category, coalesce(f_route, CASE WHEN has_desc AND r_route <> 'unknown' THEN r_route END, route) AS route) FROM (
+        SELECT s.session_id, t.turn_index, t.no, s.clarification_round + CAST(s.awaiting AS INT) AS clarification_round, CASE WHEN s.awaiting THEN s.intent ELSE t.t_intent END AS intent,
+          CASE WHEN s.awaiting THEN s.has_desc ELSE s.f_desc OR t.t_desc END AS has_desc, CASE WHEN NOT s.awaiting AND t.t_desc THEN t.t_cat ELSE s.r_cat END AS r_cat, CASE WHEN NOT s.awaiting AND t.t_desc THEN t.t_route ELSE s.r_route END AS r_route,
+          s.category, s.route, CASE WHEN s.awaiting THEN coalesce(t.s_cat, s.f_cat) ELSE s.f_cat END AS f_cat, CASE WHEN s.awaiting THEN coalesce(t.s_route, s.f_route) ELSE s.f_route END AS f_route,
+          CASE WHEN s.awaiting THEN coalesce(t.s_jur, s.f_jur) ELSE coalesce(s.f_jur, t.t_mention) END AS f_jur, CASE WHEN s.awaiting THEN coalesce(t.s_use, s.f_use) ELSE s.f_use END AS f_use, s.f_desc OR (NOT s.awaiting AND t.t_desc) AS f_desc
+        FROM steps s JOIN turns t ON CAST(t.session_id AS VARCHAR) = s.session_id AND t.no = s.no + 1))))
+)
+SELECT session_id, turn_index, status, clarification_round, awaiting, category, route AS route_of_administration, pending, coalesce(f_cat, '') AS f_category, coalesce(f_route, '') AS f_route, coalesce(f_jur, '') AS f_jurisdiction, coalesce(f_use, '') AS f_use FROM steps WHERE no > 0"""
+
+
+def session_rows(out):
+    fact = lambda k, n: F.coalesce(F.try_element_at("known_facts", F.lit(k)), F.lit("")).alias(n)
+    facts = [fact("category", "f_category"), fact("route_of_administration", "f_route"), fact("jurisdiction", "f_jurisdiction"), fact("intended_use", "f_use")]
+    return out.select(*SESSION, F.array_join("pending", "|").alias("pending"), *facts)
+
+
+Q["session_batch"] = (lambda s, d: session_rows(session_machine_batch(session_turns(s, d))), duck("fx_session_events").replace("WITH ", "WITH RECURSIVE ", 1) + _SESSION_SQL)
 
 
 def _stream(s, d, name):
@@ -242,10 +278,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def session_stream(s, d):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return _run(s, session_machine(_stream(s, d, "events").select("session_id", "turn_index", "text"))).select(*SESSION, F.array_join("pending", "|").alias("pending"))
+    return session_rows(_run(s, session_machine(_stream(s, d, "events").select("session_id", "turn_index", "text"))))
 
 
-Q["session_stream"] = (session_stream, None)
+Q["session_stream"] = (session_stream, Q["session_batch"][1])
 Q["turn_log"] = (
     lambda s, d: _run(s, turn_log(_stream(s, d, "events"))).select("session_id", "turn_index", "text"),
     duck("fx_session_events") + " SELECT session_id, turn_index, text FROM fx_session_events",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.adapters import duck, duck_strip, fx, table
@@ -11,7 +13,9 @@ from lexloom.operators import hierarchy as H
 from lexloom.operators.retrieval import embed
 from lexloom.plans.ingest import ingest_pages, ingest_texts
 from lexloom.sources import manifest as M
+from lexloom.session import shared_folder
 from lexloom.sources import memory, store
+from lexloom.streaming.ingest_stream import Ingestion
 
 Q: dict = {}
 
@@ -157,6 +161,54 @@ Q["upsert_chunks"] = (
     "SELECT concat('D', doc_id) AS chunk_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -n_chars ELSE n_chars END AS n_chars FROM documents",
 )
 
+
+
+def store_batches(s, d):
+    """Three ingests of the documents, compaction between them, and a batch whose index never came."""
+    docs = table(s, d, "documents").selectExpr("doc_id", "concat('D', doc_id) AS point_id", "source AS source_id", "lang AS collection_name", "n_chars AS v")
+    found = store.ChunkStore(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    found.append(docs.where("doc_id % 2 = 0"), 0)
+    found.append(docs.where("doc_id % 3 = 0").withColumn("v", -F.col("v")), 1)
+    found.compact()
+    found.append(docs.where("doc_id % 5 = 0").withColumn("v", 2 * F.col("v")), 2)
+    docs.withColumn("v", F.lit(0)).write.parquet(f"{found.path}/rows/{store.BATCH}=6")
+    return found.read().select("point_id", "source_id", "v")
+
+
+Q["store_batches"] = (
+    store_batches,
+    "SELECT concat('D', doc_id) AS point_id, source AS source_id, CASE WHEN doc_id % 5 = 0 THEN 2 * n_chars WHEN doc_id % 3 = 0 THEN -n_chars ELSE n_chars END AS v "
+    "FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0",
+)
+
+
+def ingest_batches(s, d):
+    """Two runs of the stream over a growing folder, the second one repeated after the fact; known sources that come again are skipped."""
+    at = f"{shared_folder(s)}/ingest-{uuid.uuid4().hex}"
+    docs = table(s, d, "documents").selectExpr("concat('S-', doc_id) AS doc_id", "text", "doc_id AS modified")
+    schema = docs.schema
+    load = Ingestion(s, manifest(s, d).withColumn("chunk_size", F.lit(1_000_000)), f"{at}/store")
+
+    def run():
+        stream = s.readStream.schema(schema).parquet(f"{at}/in")
+        stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+
+    docs.where("modified % 3 <> 0").write.mode("append").parquet(f"{at}/in")
+    run()
+    more = docs.where("modified % 3 = 0 OR modified % 7 = 0").withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))
+    more.write.mode("append").parquet(f"{at}/in")
+    run()
+    load(more, 1)
+    out = load.chunks().groupBy("source_id").agg(F.max(store.BATCH).alias("b"), F.count("*").alias("n"))
+    return out.select("source_id", F.expr("CAST(b DIV 2 AS BIGINT)").alias("batch"), "n")
+
+
+Q["ingest_batches"] = (
+    ingest_batches,
+    "SELECT concat('S-', doc_id) AS source_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch, 1 AS n FROM documents "
+    "WHERE doc_id % 3 = 0 OR trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''",
+)
+
 # --- memory ------------------------------------------------------------------------------
 
 

@@ -1,13 +1,21 @@
-"""The chunk store: keyed, partitioned parquet in place of a vector collection."""
+"""The chunk store: append-only batches of keyed rows in place of a vector collection.
+
+``ChunkStore`` writes a batch as two folders: the rows, then a narrow index (point, source, collection) whose
+completion makes the batch count. An ingest writes its own rows only; of several versions of a point the
+one of the latest batch is read. A batch that is repeated after a failure overwrites itself, one that never
+got its index is not read, and compaction removes nothing before what replaces it is complete.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import uuid5
 
+BATCH = "ingest_batch"
+
 
 def unique_ids(chunks: DataFrame, position: str = "position") -> DataFrame:
     """Make chunk ids unique (``_dup{position}`` for repeats) and add point_id.
@@ -48,9 +56,85 @@ def write_chunks(chunks: DataFrame, existing: DataFrame | None = None, position:
     return upsert(unique_ids(chunks, position), existing)
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Partition by collection; writing is the only action."""
-    chunks.write.mode("overwrite").partitionBy("collection_name").parquet(path)
+class ChunkStore:
+    """Chunks under ``path``: ``rows/ingest_batch=N`` and ``index/ingest_batch=N``.
+
+    Batch n of a writer is stored under 2n; all batches up to n compacted are stored under 2n + 1, after them
+    and before the next one.
+    """
+
+    KEYS = ("point_id", "source_id", "collection_name")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, part: str, number: int) -> str:
+        return f"{self.path}/{part}/{BATCH}={number}"
+
+    def _files(self):
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def committed(self) -> list[int]:
+        """Numbers of the complete batches; a listing, no job."""
+        path, fs = self._files()
+        found = fs.globStatus(path(f"{self.path}/index/{BATCH}=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+    def _read(self, part: str, numbers: list[int]) -> DataFrame | None:
+        if not numbers:
+            return None
+        # every batch by its own path, so a folder that is being written is never listed; the columns are those of all batches
+        return self.spark.read.option("basePath", f"{self.path}/{part}").option("mergeSchema", True).parquet(*[self._folder(part, n) for n in numbers])
+
+    def _write(self, chunks: DataFrame, number: int) -> None:
+        self._drop("index", number)  # the batch does not count until its rows are whole
+        rows = chunks.drop(BATCH)
+        rows.write.mode("overwrite").parquet(self._folder("rows", number))
+        again = self.spark.read.schema(rows.schema).parquet(self._folder("rows", number))
+        again.select(*[c for c in self.KEYS if c in rows.columns]).write.mode("overwrite").parquet(self._folder("index", number))
+
+    def _drop(self, part: str, number: int) -> None:
+        path, fs = self._files()
+        fs.delete(path(self._folder(part, number)), True)
+
+    def append(self, chunks: DataFrame, batch: int) -> None:
+        """Write one batch (point_id, ...): new points and new versions of points. Repeating it replaces it."""
+        self._write(chunks, 2 * batch)
+
+    def index(self) -> DataFrame | None:
+        """Every stored version: the key columns and the batch."""
+        return self._read("index", self.committed())
+
+    def newest(self) -> DataFrame | None:
+        """(point_id, ingest_batch) of the version that counts, from the index alone."""
+        index = self.index()
+        return None if index is None else index.groupBy("point_id").agg(F.max(BATCH).alias(BATCH))
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The chunks as they are now. Rows are filtered by the few versions that a later batch replaced; texts are not grouped."""
+        numbers = [n for n in self.committed() if upto is None or n <= upto]
+        rows = self._read("rows", numbers)
+        if rows is None or len(numbers) == 1:
+            return rows
+        index = self._read("index", numbers).select("point_id", BATCH)
+        versions = index.groupBy("point_id").agg(F.max(BATCH).alias("last"), F.count("*").alias("n")).where("n > 1")
+        old = index.join(versions.select("point_id", "last"), "point_id").where(F.col(BATCH) < F.col("last")).select("point_id", BATCH)
+        return rows.join(old, ["point_id", BATCH], "left_anti")
+
+    def compact(self) -> None:
+        """Make one batch of all. The old ones go when the new one is complete; a crash before that leaves them as they were."""
+        numbers = self.committed()
+        if len(numbers) < 2:
+            return
+        target = numbers[-1] | 1
+        if target == numbers[-1]:
+            return
+        self._write(self.read(target), target)
+        for part in ("index", "rows"):
+            for n in numbers:
+                self._drop(part, n)
 
 
 def collection_dims(chunks: DataFrame) -> DataFrame:

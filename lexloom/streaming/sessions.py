@@ -1,9 +1,8 @@
 """Clarification sessions: one state record per session, batch and streaming.
 
 All text rules run natively before the stateful step; what remains per turn is a
-small state transition. It depends on the whole past of a session, so a session
-is read in order by one task, in constant memory: rows stream through and only
-the state record is kept.
+small state transition. Rows stream through in order and only the state record is kept.
+A long session is folded in blocks whose effects are composed (``entry_states``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
+from lexloom.functions.blocked import dense_index
 from lexloom.functions.constants import CATEGORIES, LOAD_BEARING_FIELDS, ROUTE_FACTS, USE_FACTS
+from lexloom.session import checkpointed
 
 OUT_SCHEMA = (
     "session_id string, turn_index long, status string, clarification_round int, awaiting boolean, "
@@ -106,22 +107,120 @@ def _clean(row: dict) -> dict:
     return {k: (None if isinstance(v, float) and pd.isna(v) else v) for k, v in row.items()}
 
 
-def session_machine_batch(turns: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Status and state after every user turn of a finished log."""
+class _Facts(dict):
+    """Facts that remember what was written since the last ``take``."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.written: dict = {}
+
+    def __setitem__(self, key, value):
+        super().__setitem__(key, value)
+        self.written[key] = value
+
+    def update(self, other):
+        super().update(other)
+        self.written.update(other)
+
+
+#: Facts that a transition reads; all others only pass through it.
+_READ = ("jurisdiction", "raw_product_description", "category", "route_of_administration", "intended_use")
+BLOCK = 65536
+
+
+def _load(text: str | None) -> dict:
+    state = json.loads(text) if text else blank_state()
+    return state | {"facts": _Facts(state["facts"])}
+
+
+def _read_part(state: dict) -> str:
+    """What a run of turns can see of the state at its start."""
+    return json.dumps(state | {"facts": {k: state["facts"][k] for k in _READ if k in state["facts"]}}, sort_keys=True)
+
+
+def _blocks(turns: DataFrame, block: int) -> DataFrame:
+    d = dense_index(turn_features(turns), ["session_id"], "turn_index", "pos", block=block)
+    return d.withColumn("blk", F.floor(F.col("pos") / block).cast("long")).drop("pos")
+
+
+def _runs(blocks: DataFrame, entries: DataFrame, max_rounds: int, schema: str, rows: bool) -> DataFrame:
+    """Fold every block from its entry state: a row per turn, or one row per block with what it did."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, start, out = None, None, None, []
+
+        def closing():
+            return {"session_id": current[0], "blk": current[1], "seen": start, "control": json.dumps(state | {"facts": {}}), "written": json.dumps(state["facts"].written)}
+
         for frame in frames:
-            out = []
             for row in frame.to_dict("records"):
                 row = _clean(row)
-                if row["session_id"] != current:
-                    current, state = row["session_id"], blank_state()
-                out.append({"session_id": current, "turn_index": row["turn_index"], **advance(state, row, max_rounds)})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
+                key = (row["session_id"], row["blk"])
+                if key != current:
+                    if current is not None and not rows:
+                        out.append(closing())
+                    current, state = key, _load(row["entry"])
+                    start = _read_part(state)
+                after = advance(state, row, max_rounds)
+                if rows:
+                    out.append({"session_id": key[0], "turn_index": row["turn_index"], **after})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            out = []
+        if current is not None and not rows:
+            yield pd.DataFrame([closing()])
+
+    dealt = blocks.join(entries, ["session_id", "blk"], "left").repartition("session_id", "blk").sortWithinPartitions("session_id", "blk", "turn_index")
+    return dealt.mapInPandas(run, schema)
+
+
+_RUN = "session_id string, blk long, seen string, control string, written string"
+_ENTRY = "session_id string, blk long, entry string, known boolean"
 
-    ordered = turn_features(turns).repartition("session_id").sortWithinPartitions("session_id", "turn_index")
-    return ordered.mapInPandas(run, OUT_SCHEMA)
+
+def _scan(frame: pd.DataFrame) -> pd.DataFrame:
+    """The entry state of every block of one session, as far as its runs tell; ``known``: the run on record began in that state."""
+    state, out = blank_state(), []
+    for row in frame.sort_values("blk").to_dict("records"):
+        out.append((row["session_id"], row["blk"], json.dumps(state), _read_part(state) == row["seen"]))
+        state = json.loads(row["control"]) | {"facts": state["facts"] | json.loads(row["written"])}
+    return pd.DataFrame(out, columns=["session_id", "blk", "entry", "known"])
+
+
+def entry_states(blocks: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(session_id, blk, entry) of all sessions with more than one block.
+
+    Every block is first folded from the blank state. A block's effect is the control part of its last state and
+    the facts that it wrote, so effects compose: a scan over the blocks of a session (one row each) gives every
+    block its entry. Blocks whose run began in another state, in what a transition can read, are folded
+    again, all at once, until none is left. Facts are never taken back and a fresh turn forgets most of the
+    control state, so blocks of thousands of turns need few rounds; each round settles at least one more block
+    of every session, and very short blocks may need as many rounds as there are blocks.
+    """
+    ids = blocks.select("session_id", "blk").distinct()
+    many = ids.where("blk > 0").select("session_id").distinct()
+    if many.isEmpty():
+        return blocks.sparkSession.createDataFrame([], "session_id string, blk long, entry string")
+    long = checkpointed(blocks.join(many, "session_id", "left_semi"))
+    todo = long.select("session_id", "blk").distinct().withColumn("entry", F.lit(None).cast("string"))
+    done = None
+    while True:
+        part = long.join(todo.select("session_id", "blk"), ["session_id", "blk"], "left_semi")
+        runs = _runs(part, todo, max_rounds, _RUN, rows=False)
+        done = checkpointed(runs if done is None else done.join(todo, ["session_id", "blk"], "left_anti").unionByName(runs))
+        scanned = checkpointed(done.groupBy("session_id").applyInPandas(_scan, _ENTRY))
+        todo = scanned.where("NOT known").select("session_id", "blk", "entry")
+        if todo.isEmpty():
+            return scanned.select("session_id", "blk", "entry")
+
+
+def session_machine_batch(turns: DataFrame, max_rounds: int = MAX_ROUNDS, block: int = BLOCK) -> DataFrame:
+    """Status and state after every user turn of a finished log.
+
+    A session is cut into blocks of ``block`` turns that run in parallel, so one that holds a large share of
+    all turns is spread over the cluster; a task holds one state.
+    """
+    blocks = checkpointed(_blocks(turns, block))
+    return _runs(blocks, entry_states(blocks, max_rounds), max_rounds, OUT_SCHEMA, rows=True)
 
 
 def session_machine(turns_stream: DataFrame, max_rounds: int = MAX_ROUNDS, ttl_ms: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 
 from lexloom.sources import manifest as M
 from lexloom.sources import memory, store
-from lexloom.streaming.ingest_stream import ingest_stream, latest_points
+from lexloom.streaming.ingest_stream import Ingestion, ingest_stream, latest_points
 from lexloom.streaming.turn_log import turn_log
 
 
@@ -26,6 +26,57 @@ def test_ingest_stream_adds_new_files_once(spark, tmp_path):
     assert {r.chunk_id: r.point_id for r in rows if r.source_id == "A-1"} == first
 
 
+def test_names_and_versions_of_files(spark, tmp_path):
+    """Blanks and plus signs, one name in two folders, a repeated batch, and a changed file."""
+    src, out = tmp_path / "in put", str(tmp_path / "store")
+    for folder in ("x", "y"):
+        (src / folder).mkdir(parents=True)
+        (src / folder / "same.txt").write_text(f"text of {folder}. " * 30)
+    (src / "a+b.txt").write_text("plus. " * 30)
+    (src / "a b.txt").write_text("blank. " * 300)
+    names = ["x/same", "y/same", "a+b", "a b"]
+    m = _manifest(spark, names)
+    ingest_stream(spark, str(src), m, out, str(tmp_path / "cp")).awaitTermination()
+    first = {r.point_id: r.source_id for r in latest_points(spark, out).collect()}
+    assert set(first.values()) == set(names)
+    again = spark.createDataFrame([("a b", "changed. " * 10, "2030-01-01 00:00:00"), ("a b", "older. ", "2029-01-01 00:00:00")], "doc_id string, text string, modified string")
+    kept = Ingestion(spark, m, out)
+    kept(again, 7)  # known already: skipped
+    assert {r.point_id for r in kept.chunks().collect()} == set(first)
+    new = Ingestion(spark, m, out, replace=True)
+    for _ in range(2):  # the same batch twice
+        new(again, 8)
+    now = new.chunks().collect()
+    text = {r.source_id: r.page_content for r in now if r.source_id == "a b"}
+    assert len(text) == 1 and "changed." in text["a b"] and sum(r.source_id == "a b" for r in now) == 1
+    assert {r.point_id for r in now if r.source_id != "a b"} == {p for p, i in first.items() if i != "a b"}
+
+
+def test_store_writes_its_own_rows_and_survives_crashes(spark, tmp_path, monkeypatch):
+    s = store.ChunkStore(spark, str(tmp_path / "s"))
+    frame = lambda rows: spark.createDataFrame([(p, "src", "col", v) for p, v in rows], "point_id string, source_id string, collection_name string, v long")
+    assert s.read() is None and s.newest() is None
+    s.append(frame([("a", 1), ("b", 1), ("c", 1)]), 0)
+    s.append(frame([("b", 2), ("d", 2)]), 1)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "s" / "rows" / "ingest_batch=0").iterdir()}
+    s.append(frame([("d", 3)]), 2)
+    s.append(frame([("d", 3)]), 2)
+    assert files == {f: f.stat().st_mtime_ns for f in (tmp_path / "s" / "rows" / "ingest_batch=0").iterdir()}
+    want = {"a": 1, "b": 2, "c": 1, "d": 3}
+    now = lambda: {r.point_id: r.v for r in s.read().collect()}
+    assert now() == want and s.read().count() == 4
+    frame([("a", 99)]).write.parquet(str(tmp_path / "s" / "rows" / "ingest_batch=6"))  # rows without their index
+    assert now() == want
+    with monkeypatch.context() as m:
+        m.setattr(s, "_drop", lambda *a: None)  # a crash before the old batches go
+        s.compact()
+        assert now() == want and s.read().count() == 4
+    s.compact()
+    s.append(frame([("a", 5)]), 3)
+    s.compact()
+    assert s.committed() == [7] and now() == want | {"a": 5}
+
+
 def test_turn_log_drops_repeats(spark, tmp_path):
     rows = [("s", 1, "2024-01-01 00:00:00", "a"), ("s", 1, "2024-01-01 00:00:01", "a"), ("s", 2, "2024-01-01 00:00:02", "b")]
     spark.createDataFrame(rows, "session_id string, turn_index long, ts string, text string").write.parquet(str(tmp_path / "in"))
