@@ -80,14 +80,14 @@ SELECT query_id, turn, cat2 AS category, route2 AS route_of_administration,
 
 
 def extracted(s, d):
-    c = P.classify(P.understand(fx(s, d, "fx_queries").drop("category", "jurisdiction")))
-    x = fx(s, d, "fx_queries").selectExpr("query_id", "category", "0.7D AS confidence", "'oral' AS route_of_administration", "array('Extra') AS ingredients", "'from model' AS reasoning")
+    c = cls(s, d).withColumn("query_id", F.concat_ws("-", "query_id", "turn"))
+    x = asked(s, d).selectExpr("concat_ws('-', query_id, turn) AS query_id", "CASE query_id % 3 WHEN 0 THEN 'classical' WHEN 1 THEN 'proprietary' ELSE 'unclassified' END AS category", "0.7D AS confidence", "'oral' AS route_of_administration", "array('Extra') AS ingredients", "'from model' AS reasoning")
     return P.merge_extracted(c, x).select("query_id", "category", "confidence", "route_of_administration", "reasoning", F.array_join("ingredients", "|").alias("ingredients"))
 
 
 Q["merge_extracted"] = (
     extracted,
-    CLS_SQL + """, m AS (SELECT c.*, q.category AS x, coalesce(c.description, '') <> '' AND (c.category = 'unclassified' OR len(ingredients) = 0) AS ask FROM cls c JOIN fx_queries q USING (query_id) WHERE c.turn = 0)
+    CLS_SQL + """, m AS (SELECT c.* REPLACE (concat(c.query_id, '-', c.turn) AS query_id), CASE c.query_id % 3 WHEN 0 THEN 'classical' WHEN 1 THEN 'proprietary' ELSE 'unclassified' END AS x, coalesce(c.description, '') <> '' AND (c.category = 'unclassified' OR len(ingredients) = 0) AS ask FROM cls c)
 SELECT query_id, CASE WHEN ask AND category = 'unclassified' AND x <> 'unclassified' THEN x ELSE category END AS category,
   CASE WHEN ask AND category = 'unclassified' AND x <> 'unclassified' THEN 0.7::DOUBLE ELSE confidence END AS confidence,
   CASE WHEN ask AND route_of_administration = 'unknown' THEN 'oral' ELSE route_of_administration END AS route_of_administration,
@@ -125,10 +125,10 @@ _MISSING = "CASE query_id % 4 WHEN 0 THEN {a}'category', 'route_of_administratio
 
 
 def missing(s, d):
-    return asked(s, d).where("turn = 0").select("query_id", F.expr(_MISSING.format(a="array(", z=")", e="cast(array() as array<string>)")).alias("missing_facts"))
+    return asked(s, d).select(F.concat_ws("-", "query_id", "turn").alias("query_id"), F.expr(_MISSING.format(a="array(", z=")", e="cast(array() as array<string>)")).alias("missing_facts"))
 
 
-_QSQL = duck("fx_queries") + f""", m AS (SELECT query_id, {_MISSING.format(a='[', z=']', e='[]')} AS f FROM fx_queries),
+_QSQL = UND_SQL + f""", m AS (SELECT concat(query_id, '-', turn) AS query_id, {_MISSING.format(a='[', z=']', e='[]')} AS f FROM low),
 v AS (SELECT query_id, f, list_filter(f, lambda x: list_contains(['category', 'jurisdiction', 'route_of_administration', 'intended_use'], x)) AS ok FROM m),
 a AS (SELECT query_id, CASE WHEN len(ok) > 0 THEN ok[1:3] ELSE f[1:2] END AS l FROM v),
 qs AS (SELECT query_id, CAST(i AS INT) AS question_no, l[i] AS field FROM a, range(1, len(l) + 1) AS r(i)),

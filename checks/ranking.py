@@ -107,7 +107,6 @@ Q["infer_areas"] = (
 )
 
 # --- reranked packs ----------------------------------------------------------------------
-TOP = 15
 
 
 def subs(s, d):
@@ -120,11 +119,11 @@ def subs(s, d):
 
 
 def packs(s, d):
-    """The best candidates per sub-query (a top-k, as retrieval gives them)."""
+    """All candidates of every sub-query, by score."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id", "area_ix").orderBy(F.col("vector_score").desc(), F.col("doc_id"))
-    p = fx(s, d, "fx_pairs").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).drop("doc_id")
+    p = fx(s, d, "fx_pairs").withColumn("rank", F.row_number().over(w)).drop("doc_id")
     return p.join(fx(s, d, "fx_chunks"), "chunk_id").selectExpr(
         "query_id", "area_ix", "rank", "chunk_id", "vector_score", "section AS provision", "source_title AS title", "'N/A' AS chapter",
         "concat(doc_id % 9, ' to ', doc_id % 9 + 1) AS pages", "source_title AS source_authority", "authority_level", "document_type",
@@ -137,7 +136,7 @@ def reranked(s, d, dedup=True):
 
 
 _RANKED_SQL = duck(*FX) + f"""
-, top AS (SELECT *, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, doc_id) AS rank FROM fx_pairs QUALIFY rank <= {TOP}),
+, top AS (SELECT *, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, doc_id) AS rank FROM fx_pairs),
 r0 AS (SELECT t.query_id, t.area_ix, t.rank, t.vector_score, c.chunk_id, c.section, c.source_title AS title, c.authority_level, c.document_type, c.jurisdiction, c.doc_id, c.text,
   coalesce(nullif(CASE WHEN c.doc_id % 8 = 0 THEN '' ELSE c.legal_area END, ''), {SUB_AREA.replace('query_id', 't.query_id')}) AS area,
   CASE WHEN c.doc_id % 8 = 0 THEN '' ELSE c.legal_area END AS own_area,
@@ -194,7 +193,7 @@ def dups(s, d):
 
 
 _DUPS_SQL = duck(*FX).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
-, top AS (SELECT p.*, c.text, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, p.doc_id) AS rank FROM fx_pairs p JOIN fx_chunks c ON c.chunk_id = p.chunk_id QUALIFY rank <= {TOP}),
+, top AS (SELECT p.*, c.text, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, p.doc_id) AS rank FROM fx_pairs p JOIN fx_chunks c ON c.chunk_id = p.chunk_id),
 dd AS (SELECT query_id, area_ix, concat(chunk_id, '-', k) AS chunk_id, CAST(rank * 4 + k AS INT) AS pos,
   CASE k WHEN 0 THEN text WHEN 1 THEN lower(text) WHEN 2 THEN string_split(text, chr(10))[-1] ELSE ' ' END AS t FROM top, range(0, 4) AS r(k)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY pos) AS position, {duck_strip('lower(t)')} AS low FROM dd)
@@ -212,8 +211,8 @@ def dedup_by_provision(s, d):
 
 Q["dedup_by_provision"] = (
     dedup_by_provision,
-    duck(*FX) + f""", top AS (SELECT p.query_id, p.area_ix, p.chunk_id, source_title, section, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, p.doc_id) AS position
-  FROM fx_pairs p JOIN fx_chunks c ON c.chunk_id = p.chunk_id QUALIFY position <= {TOP})
+    duck(*FX) + """, top AS (SELECT p.query_id, p.area_ix, p.chunk_id, source_title, section, row_number() OVER (PARTITION BY query_id, area_ix ORDER BY vector_score DESC, p.doc_id) AS position
+  FROM fx_pairs p JOIN fx_chunks c ON c.chunk_id = p.chunk_id)
 SELECT query_id, area_ix, position, chunk_id FROM top QUALIFY row_number() OVER (PARTITION BY query_id, area_ix, source_title, CASE WHEN position % 4 = 0 THEN '' ELSE section[1] END ORDER BY position) = 1""",
 )
 
@@ -351,12 +350,12 @@ Q["assumption_caveat"] = (
 
 
 def blocks(s, d):
-    r = reranked(s, d).where("area_ix = 0").withColumn("effective_from", F.lit("1970-01-01"))
+    r = reranked(s, d).withColumn("query_id", F.concat_ws("-", "query_id", "area_ix")).withColumn("effective_from", F.lit("1970-01-01"))
     return context_blocks(r, 4).select("query_id", F.sha2("context", 256).alias("context_hash"))
 
 
 Q["context_blocks"] = (
     blocks,
-    _DEDUP_SQL + """ SELECT query_id, sha256(string_agg(concat('[', section, ' - ', title, '] (Chapter: N/A, Pages: ', doc_id % 9, ' to ', doc_id % 9 + 1, ', Type: ', document_type, ', Effective: 1970-01-01, Re-rank score: ',
-  printf('%.4f', final_score), ')', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position)) AS context_hash FROM kept WHERE area_ix = 0 AND position <= 4 GROUP BY query_id""",
+    _DEDUP_SQL + """ SELECT concat(query_id, '-', area_ix) AS query_id, sha256(string_agg(concat('[', section, ' - ', title, '] (Chapter: N/A, Pages: ', doc_id % 9, ' to ', doc_id % 9 + 1, ', Type: ', document_type, ', Effective: 1970-01-01, Re-rank score: ',
+  printf('%.4f', final_score), ')', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position)) AS context_hash FROM kept WHERE position <= 4 GROUP BY kept.query_id, area_ix""",
 )
