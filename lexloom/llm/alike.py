@@ -197,7 +197,9 @@ def links(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], least
     edges = _within(with_sets(light.select("g", "node")), least)
     if heavy.isEmpty():
         return edges
-    sized = with_sets(heavy.select("g", "node")).dropDuplicates(["g", "node"]).withColumn("size", F.size("shingles").cast("long"))
-    anew = _weighed(by_rare_items(sized, least))
+    # the sets of heavy groups are made once and kept
+    nodes = heavy.select(F.col("node").alias("g"), "node").distinct()
+    sets = checkpointed(with_sets(nodes).dropDuplicates(["node"]).select("node", "shingles"))
+    anew = _weighed(by_rare_items(heavy.select("g", "node", "size").join(sets, "node"), least))
     light, heavy = anew.where(F.col("weight") <= weight).select("g", "node"), anew.where(F.col("weight") > weight)
-    return edges.unionByName(_within(with_sets(light.unionByName(_blocks(heavy, weight))), least))
+    return edges.unionByName(_within(light.unionByName(_blocks(heavy, weight)).join(sets, "node"), least))
