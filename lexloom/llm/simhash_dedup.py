@@ -237,35 +237,25 @@ def _sampled(h: np.ndarray, size: np.ndarray, level: np.ndarray, used: np.ndarra
 
 
 def _with_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, node) -> (g, node, shingles), from one text (h, text) of each node (node, h). The copies of a text give at most a row for each task."""
+    """(g, node) -> (g, node, shingles), from one text (h, text) of each node (node, h)."""
     listed = wanted.groupBy("node").agg(F.collect_list("g").alias("gs")).join(nodes.select("node", "h"), "node").select("h", "gs")
-    last = "last h of the task"
 
-    def run(batches):
-        held: dict[str, int | None] = {last: None}
-
-        def rows(batch):
-            h_text = column(batch, "h").to_numpy()
-            new = np.concatenate(([h_text[0] != held[last]], h_text[1:] != h_text[:-1]))
-            held[last] = h_text[-1]
-            batch = batch.filter(pa.array(new))
-            if not batch.num_rows:
-                return None
-            buf, off = joined(text_column(column(batch, "text")))
-            h, size, node = _compared(*compact_words(buf, off))
-            lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-            gs = column(batch, "gs")
-            pick = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(gs).to_numpy()))
-            return pa.RecordBatch.from_arrays([gs.flatten(), pa.array(node.view(np.int64)).take(pick), lists.take(pick)], ["g", "node", "shingles"])
+    def rows(batch):
+        buf, off = joined(text_column(column(batch, "text")))
+        h, size, node = _compared(*compact_words(buf, off))
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
+        gs = column(batch, "gs")
+        pick = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(gs).to_numpy()))
+        return pa.RecordBatch.from_arrays([gs.flatten(), pa.array(node.view(np.int64)).take(pick), lists.take(pick)], ["g", "node", "shingles"])
 
+    def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                out = rows(piece)
-                if out is not None:
-                    yield out
+                yield rows(piece)
 
     small_batches(texts.sparkSession)
-    return texts.join(listed, "h").select("h", "text", "gs").sortWithinPartitions("h").mapInArrow(run, "g long, node long, shingles array<long>")
+    one = texts.groupBy("h").agg(F.first("text").alias("text"))  # copies go before the exchange
+    return one.join(listed, "h").select("h", "text", "gs").sortWithinPartitions("h").mapInArrow(run, "g long, node long, shingles array<long>")
 
 
 # --- covering tables ------------------------------------------------------------
