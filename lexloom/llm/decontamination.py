@@ -2,9 +2,9 @@
 
 For every benchmark item of n words, every window of n consecutive words of a document
 that shares a shingle with the item is fingerprinted. The fingerprints of the items lie
-in a multi-index: each of four 16-bit blocks lists the items under every value within
-``BLOCK_RADIUS`` bits, so by the pigeonhole principle every item within ``RADIUS`` bits
-of a window is found under at least one block. What is found is compared exactly:
+in a multi-index: each of four 16-bit blocks lists the items by their value. A window asks
+for all values within ``BLOCK_RADIUS`` bits of its own, so by the pigeonhole principle every
+item within ``RADIUS`` bits is found under at least one block. What is found is compared exactly:
 weighted Jaccard similarity of the shingle multisets, a shingle weighing the bytes of
 its words, ``SIMILARITY`` or more.
 
@@ -21,16 +21,20 @@ one shingle. An item without words matches nothing.
 * Repeated rows each report their matches; equal items each match.
 * Of equally similar windows the first counts.
 * Documents are read once per slice of the benchmark and never shuffled. A slice has at
-  most about ``SLICE_BYTES`` of text; a larger benchmark is taken slice by slice.
+  most about ``SLICE_BYTES`` of text; a larger benchmark is taken slice by slice. The index of
+  a slice is broadcast and grows with its items only (four entries an item); the driver
+  builds one slice at a time and keeps none. Each further slice is one more pass.
 * ``decontaminated`` keeps all columns; ``leaks`` reads ``doc_id`` and ``text`` only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,7 @@ BLOCK_RADIUS = 3
 RADIUS = 4 * (BLOCK_RADIUS + 1) - 1
 SLICE_BYTES = 1 << 22
 _WINDOWS = 1 << 15
+_ASKED = 1 << 10
 _NEAR = np.array([sum(1 << b for b in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(16), r)], np.uint64)
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -73,6 +78,26 @@ class Words:
         return self.width[at + k] - self.width[at]
 
 
+def _close_values(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, key) places of all 16-bit values and sorted distinct keys within BLOCK_RADIUS bits.
+
+    Few keys are compared with every value, of many the values within the radius are looked up.
+    """
+    v, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(values), _ASKED):
+        part = values[i : i + _ASKED, None]
+        if len(keys) <= len(_NEAR):
+            a, b = np.nonzero(np.bitwise_count(part ^ keys[None]) <= BLOCK_RADIUS)
+        else:
+            asked = part ^ _NEAR[None]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            a, c = np.nonzero(keys[at] == asked)
+            b = at[a, c]
+        v.append(a + i)
+        k.append(b)
+    return np.concatenate(v), np.concatenate(k)
+
+
 def _multiset(hashes: np.ndarray, weights: np.ndarray) -> dict:
     out: dict[int, list] = {}
     for h, w in zip(hashes.tolist(), weights.tolist(), strict=True):
@@ -124,20 +149,25 @@ class Index:
         out = []
         for b in range(4):
             value = (self.fp[items] >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            keys = (value[:, None] ^ _NEAR[None]).ravel()
-            order = np.argsort(keys, kind="stable")
-            out.append((keys[order], np.repeat(items, len(_NEAR))[order]))
+            order = np.argsort(value, kind="stable")
+            key, first = np.unique(value[order], return_index=True)
+            out.append((key, np.append(first, len(items)), items[order]))
         return out
 
     def near(self, n: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within RADIUS among the items of n words."""
         win, item = [], []
-        for b, (keys, items) in enumerate(self.by_words[n]):
-            value = (fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            lo, hi = np.searchsorted(keys, value), np.searchsorted(keys, value, side="right")
-            count = hi - lo
-            w = np.repeat(np.arange(len(fp)), count)
-            i = items[np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+        for b, (keys, first, items) in enumerate(self.by_words[n]):
+            value, of = np.unique((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF), return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            edge = np.searchsorted(of[order], np.arange(len(value) + 1))
+            v, k = _close_values(value, keys)
+            wide = first[k + 1] - first[k]
+            count = (edge[v + 1] - edge[v]) * wide
+            of_pair = np.repeat(np.arange(len(v)), count)
+            place = np.arange(len(of_pair)) - np.repeat(np.cumsum(count) - count, count)
+            w = order[edge[v][of_pair] + place // wide[of_pair]]
+            i = items[first[k][of_pair] + place % wide[of_pair]]
             close = np.bitwise_count(fp[w] ^ self.fp[i]) <= RADIUS
             win.append(w[close])
             item.append(i[close])
@@ -228,20 +258,24 @@ class Index:
                 self._keep(best, (int(row[i]), int(j)), s, int(start[i] - w.row[row[i]]), n)
 
 
-def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[Index]:
+def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[Index]:
     """The benchmark as indexes of bounded size, one slice on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // slice_bytes) or 1
-    out = []
     for i in range(slices):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").toArrow()
-        out.append(Index(got["item_id"].to_pylist(), got["text"].to_pylist()))
-    return out
+        yield Index(got["item_id"].to_pylist(), got["text"].to_pylist())
+
+
+def _sent(benchmark: DataFrame, slice_bytes: int) -> Iterator[Broadcast]:
+    """Each index as a broadcast, which the driver keeps on disk only."""
+    return map(benchmark.sparkSession.sparkContext.broadcast, indexes(benchmark, slice_bytes))
 
 
-def _pairs(docs: DataFrame, index: Index) -> DataFrame:
+def _pairs(docs: DataFrame, sent: Broadcast) -> DataFrame:
     def run(batch):
+        index = sent.value
         found = index.matches(text_column(column(batch, "text")))
         if not found:
             return None
@@ -261,8 +295,8 @@ def _pairs(docs: DataFrame, index: Index) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row for each document and benchmark item that it holds: (doc_id, item_id, similarity, first_word, n_words)."""
     out = None
-    for index in indexes(benchmark, slice_bytes):
-        part = _pairs(docs, index)
+    for sent in _sent(benchmark, slice_bytes):
+        part = _pairs(docs, sent)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -271,8 +305,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLI
     """The documents that hold no benchmark item, with all their columns."""
     small_batches(docs.sparkSession)
 
-    def clean(index):
+    def clean(sent):
         def run(batches):
+            index = sent.value
             for batch in batches:
                 for piece in pieces(batch):
                     bad = np.zeros(piece.num_rows, bool)
@@ -281,8 +316,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLI
 
         return run
 
-    for index in indexes(benchmark, slice_bytes):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+    for sent in _sent(benchmark, slice_bytes):
+        docs = docs.mapInArrow(clean(sent), docs.schema)
     return docs
 
 

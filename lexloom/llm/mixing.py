@@ -17,8 +17,7 @@ The number of buckets grows with the largest source, so that a bucket stays boun
 * A document without words takes 0. Rows that are equal in id and text share a key;
   which of them comes first is then open, their results are the same set.
 * An empty table gives an empty result; a mix without words has targets of 0.
-* Further columns are kept by ``mixed`` under their names; its own columns replace
-  columns of the same names.
+* Only ``doc_id``, ``source`` and ``text`` are read; further columns and the text are not in the result.
 """
 
 from __future__ import annotations
