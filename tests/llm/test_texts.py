@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from pathlib import Path
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,3 +425,37 @@ def test_measured_replaces_columns_with_its_own_names(spark):
     df = spark.createDataFrame([(1, "a b c", 9, "x")], "doc_id long, text string, n_words int, KEPT string")
     row = quality_rules.measured(df, [0.0] * quality_rules.BUCKETS).collect()[0]
     assert row["n_words"] == 3 and row["kept"] is False
+
+
+def test_licence_table_with_repeated_and_missing_digests(spark):
+    digest = hashlib.sha256(license_scan.canonical_text("Our own words").encode()).hexdigest()
+    table = spark.createDataFrame([(digest, "B"), (digest, "A"), (None, "C"), (digest[::-1], None)], "digest string, license_id string")
+    docs = spark.createDataFrame([(1, "our OWN, words!"), (2, "Copyright 2020 x\nother"), (3, None)], "doc_id long, text string")
+    got = license_scan.scanned(docs, table).orderBy("doc_id").collect()
+    assert [(r["license_id"], r["n_license_lines"], r["line_licenses"]) for r in got] == [("A", 1, "A"), (None, 0, ""), (None, 0, "")]
+    assert [r["license_id"] for r in license_scan.scanned(docs, table.where("false")).collect()] == [None] * 3
+
+
+def test_too_many_licences_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MOST", 2)
+    table = spark.createDataFrame([(str(i), "A") for i in range(3)], "digest string, license_id string")
+    with pytest.raises(ValueError):
+        license_scan.scanned(spark.createDataFrame([(1, "x")], "doc_id long, text string"), table)
+
+
+@pytest.mark.parametrize("n_keys", [1, 40, 5000])
+def test_values_within_the_radius_are_all_found(n_keys):
+    rng = np.random.default_rng(n_keys)
+    keys = np.unique(rng.integers(0, 1 << 16, n_keys).astype(np.uint64))
+    values = np.unique(rng.integers(0, 1 << 16, 1500).astype(np.uint64))
+    v, k = decontamination._close_values(values, keys)
+    want = np.argwhere(np.bitwise_count(values[:, None] ^ keys[None]) <= decontamination.BLOCK_RADIUS)
+    assert sorted(zip(v.tolist(), k.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+
+
+def test_index_of_many_items_stays_small():
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random())[2:9] for _ in range(13)) for _ in range(4000)]
+    index = decontamination.Index(list(range(4000)), texts)
+    assert len(pickle.dumps(index)) < 20 * sum(map(len, texts))
+    assert [j for _, j, *_ in index.matches(pa.array(texts[:50]))] == list(range(50))
