@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 from lexloom.functions import constants as K
 from lexloom.functions.text import filled, let, lookup, strip, tokens
+from lexloom.operators.lexical import LexicalIndex
+from lexloom.session import shared_folder
 
 BROADCAST_QUERY_BYTES = 64 << 20  # query vectors copied to every task at most
 BLOCK_ROWS = 20_000  # vectors per side of one block product
@@ -121,8 +124,8 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1))
 
 
+BM25_ROWS = 1024  # chunks in a block of the lexical index
 SCORE_CELLS = 4_000_000  # scores held at once in a task
-BM25_ROWS = 512  # chunks scored at once
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
@@ -410,85 +413,8 @@ def context_blocks(ranked: DataFrame, keep: int) -> DataFrame:
 
 
 # --- lexical search (opt-in) ---------------------------------------------------------------
-def bm25_weights(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(chunk_id, terms: map word → weight) for the words some query asks for."""
-    asked = queries.select(F.explode(tokens(F.lower("query_text"))).alias("term")).distinct()
-    sized = chunks.select("chunk_id", tokens(F.lower("text")).alias("w")).withColumn("dl", F.size("w"))
-    tf = (
-        sized.select("chunk_id", "dl", F.explode("w").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    n_docs, avgdl = sized.agg(F.count("*")).scalar(), sized.agg(F.avg("dl")).scalar()
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)
-    weighted = tf.join(df_, "term").select("chunk_id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    return weighted.groupBy("chunk_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms")
-    )
-
-
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over white-space words; off in the answer flow.
-
-    Query words (bounded, checked) go to every task; chunks are scored where they
-    are, and a task emits k rows per query, never all (query, chunk) pairs.
-    Queries beyond the bound are scored in hashed slices of the same plan.
-    """
-    weights = bm25_weights(queries, chunks, k1, b)
-    asked = queries.select("query_id", F.array_distinct(tokens(F.lower("query_text"))).alias("terms"))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    n_words = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    slices = max(1, -(-n_words * 32 // BROADCAST_QUERY_BYTES))
-    hits = None
-    for i in range(slices):
-        part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        found = _bm25_scan(part.toArrow(), weights, k, schema)
-        hits = found if hits is None else hits.unionByName(found)
-    return _top_k(hits, ["query_id"], "chunk_id", k)
-
-
-def _bm25_scan(asked: pa.Table, weights: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    ids, q_type = np.array(asked.column("query_id").to_pylist()), asked.column("query_id").type
-    postings: dict = {}
-    for i, terms in enumerate(asked.column("terms").to_pylist()):
-        for t in terms:
-            postings.setdefault(t, []).append(i)
-    shared = weights.sparkSession.sparkContext.broadcast((ids, {t: np.array(ix) for t, ix in postings.items()}))
-
-    def scored(part: pa.RecordBatch, posts: dict, n: int) -> pd.DataFrame:
-        """(query, chunk, score) of the pairs that share a word; nothing is held for the others."""
-        pair, add = [], []
-        for col, terms in enumerate(part.column("terms").to_pylist()):
-            for t, w in sorted(terms):
-                if t in posts:  # the weights hold the words of all queries, the postings those of one slice
-                    pair.append(col * n + posts[t])
-                    add.append(np.full(len(posts[t]), w))
-        if not pair:
-            return pd.DataFrame({"r": np.zeros(0, int), "c": [], "s": []})
-        key, where = np.unique(np.concatenate(pair), return_inverse=True)
-        total = np.round(np.bincount(where, np.concatenate(add)), 6)
-        names = np.asarray(part.column("chunk_id").to_pylist())
-        best = pd.DataFrame({"r": key % n, "c": names[key // n], "s": total})
-        return best.sort_values(["r", "s", "c"], ascending=[True, False, True]).groupby("r").head(k)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, posts = shared.value
-        kept = c_type = None
-        for batch in batches:
-            c_type = batch.column("chunk_id").type
-            for at in range(0, batch.num_rows, BM25_ROWS):
-                part = scored(batch.slice(at, BM25_ROWS), posts, max(1, len(q_ids)))
-                if len(part):
-                    kept = _kept(kept, part, k)
-        if kept is not None:
-            yield _hits(q_ids, q_type, kept, c_type, ["query_id", "chunk_id", "score"])
-
-    return weights.select("chunk_id", "terms").mapInArrow(scan, schema)
+    """BM25 over white-space words; off in the answer flow. For one search only: a corpus that is searched again keeps a ``LexicalIndex``."""
+    spark = chunks.sparkSession
+    folder = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+    return LexicalIndex(spark, folder, shards=1, block_chunks=BM25_ROWS).append(chunks).topk(queries, k, k1, b)
