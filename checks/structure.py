@@ -185,6 +185,24 @@ Q["validate_candidates"] = (
     lambda s, d: validated(s, d).select("doc_id", "node_type", "number", "start_char", "outcome"),
     duck("fx_plain") + _candidates_sql("fx_plain", False) + VALID_SQL + " SELECT doc_id, node_type, number, start_char, outcome FROM valid",
 )
+def half_source(s, d):
+    """Candidates held against the first half of their text only."""
+    docs = fx(s, d, "fx_plain")
+    half = docs.select("doc_id", F.expr("substring(text, 1, CAST(floor(length(text) / 2) AS INT))").alias("text"))
+    return L.validate(L.detect_candidates(docs), docs, half)
+
+
+def _single(col: str) -> str:
+    return f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
+
+
+Q["validate_other_source"] = (
+    lambda s, d: half_source(s, d).select("doc_id", "node_type", "number", "start_char", "outcome"),
+    duck("fx_plain") + _candidates_sql("fx_plain", False) + VALID_SQL + f"""
+, src AS (SELECT doc_id, {_single("substring(text, 1, CAST(floor(length(text) / 2) AS INT))")} AS src FROM fx_plain)
+SELECT doc_id, node_type, number, start_char, CASE WHEN outcome = 'accepted' AND NOT contains(src, {_single("substring(chunk, 1, 500)")})
+  THEN 'not_in_source' ELSE outcome END AS outcome FROM valid JOIN src USING (doc_id)""",
+)
 Q["validation_summary"] = (
     lambda s, d: L.validation_summary(validated(s, d)),
     duck("fx_plain") + _candidates_sql("fx_plain", False) + VALID_SQL + """

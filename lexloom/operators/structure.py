@@ -8,7 +8,10 @@ steps that follow never shuffle texts.
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -383,46 +386,89 @@ def slice_spans(spans: DataFrame, docs: DataFrame, out: str = "original_text", s
 
 
 # --- validation --------------------------------------------------------------------------
-def _nfkc(c: Column) -> Column:
-    """Unicode NFKC; Spark has no built-in for it, so Arrow batches go through Python."""
-
-    @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
-
-    return nfkc(c)
-
-
-def integrity_form(c: Column) -> Column:
+def integrity_form(text: str) -> str:
     """Compatibility-normalised text with single blanks."""
-    return strip(F.regexp_replace(_nfkc(c), r"(?U)[\s\x1c-\x1f]+", " "))
+    return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
-def validate(cands: DataFrame, docs: DataFrame) -> DataFrame:
-    """All candidates with an ``outcome``: accepted, low_confidence, too_short or not_in_source."""
-    cut = slice_spans(cands, docs, "__cut").withColumn("__cut", strip(F.col("__cut")))
-    gone = F.col("__cut").rlike(K.REPEALED_PATTERN)
+def heads_found(heads: list[str], source: str, near: int = 4096) -> list[bool]:
+    """Which heads occur in the source, in time linear in both.
+
+    Heads in the order of the text are expected just behind their predecessor; all that are not there are
+    looked up together by one automaton in one scan of the source.
+    """
+    import ahocorasick
+
+    found, at, rest = [False] * len(heads), 0, {}
+    for i, head in enumerate(heads):
+        hit = source.find(head, at, at + near + len(head))
+        if hit < 0:
+            rest.setdefault(head, []).append(i)
+        else:
+            found[i], at = True, hit
+    if rest:
+        automaton = ahocorasick.Automaton()
+        for head in rest:
+            automaton.add_word(head, head)
+        automaton.make_automaton()
+        for _, head in automaton.iter(source):
+            for i in rest.pop(head, ()):
+                found[i] = True
+            if not rest:
+                break
+    return found
+
+
+_REPEALED = re.compile(K.REPEALED_PATTERN.replace("(?iU)", "(?i)"))  # Python's classes are Unicode by themselves
+
+
+def _outcomes(text: str | None, cands: list[dict], source: str | None) -> list[str]:
+    """The outcome of each candidate of one document."""
+    out, heads = ["not_in_source"] * len(cands), {}
+    for i, c in enumerate(cands):
+        if text is None or c["start_char"] is None or c["end_char"] is None:
+            continue
+        cut = text[c["start_char"] : max(c["end_char"], c["start_char"])].strip()
+        gone = _REPEALED.search(cut) is not None
+        if c["confidence"] is not None and c["confidence"] < K.REVIEW_THRESHOLD and not (gone or c["named"]):
+            out[i] = "low_confidence"
+        elif len(cut) < 10 and not gone:
+            out[i] = "too_short"
+        else:
+            heads[i] = integrity_form(cut[:500])
+    if heads and source is not None:
+        order = sorted(heads, key=lambda i: cands[i]["start_char"])
+        for i, found in zip(order, heads_found([heads[i] for i in order], integrity_form(source))):
+            if found:
+                out[i] = "accepted"
+    return out
+
+
+def validate(cands: DataFrame, docs: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """All candidates with an ``outcome``: accepted, low_confidence, too_short or not_in_source.
+
+    ``source`` (doc_id, text) is the text to be held against, where it is not that of ``docs``; a document that
+    it lacks has nothing in the source. Candidates travel to their document as short records (they are headings
+    of that same text value, which bounds their number); its text is cut, normalised and scanned once.
+    """
     named = F.coalesce(F.col("title").rlike(K.REPEALED_PATTERN), F.lit(False))
-    early = F.when((F.col("confidence") < K.REVIEW_THRESHOLD) & ~(gone | named), "low_confidence").when(
-        (F.length("__cut") < 10) & ~gone, "too_short"
-    )
-    checked = cut.select(*cands.columns, early.alias("__early"), F.substring("__cut", 1, 500).alias("__head"))
-    heads = F.when(F.col("__early").isNull(), F.col("__head"))
-    checked = checked.withColumn("__head", integrity_form(heads))
-    # The source is normalised once per document. Its candidates travel as short
-    # heads; they are headings of that same text value, which bounds their number.
-    per_doc = checked.groupBy("doc_id").agg(F.collect_list(F.struct(*checked.columns)).alias("cs"))
-    d = docs.join(per_doc, "doc_id").select("cs", integrity_form(F.col("text")).alias("__src"))
-
-    def outcome(c, src):
-        return F.coalesce(c["__early"], F.when(F.contains(src, c["__head"]), "accepted").otherwise("not_in_source"))
-
-    looked = let(
-        F.col("__src"),
-        lambda src: F.transform("cs", lambda c: F.struct(c.alias("c"), outcome(c, src).alias("outcome"))),
-    )
-    d = d.select(F.explode_outer(looked).alias("x"))
-    return d.select(*[F.col(f"x.c.{n}").alias(n) for n in cands.columns], "x.outcome")
+    brief = F.struct("start_char", "end_char", "confidence", named.alias("named"))
+    per_doc = cands.groupBy("doc_id").agg(F.collect_list(F.struct(F.struct(*cands.columns).alias("c"), brief.alias("b"))).alias("cs"))
+    d = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    if source is not None:
+        d = d.join(source.select("doc_id", F.col("text").alias("__src")), "doc_id", "left")
+
+    own = source is None
+
+    @F.arrow_udf("array<string>")
+    def judged(text: pa.Array, briefs: pa.Array, other: pa.Array) -> pa.Array:
+        rows = ((t.as_py(), b.as_py(), o) for t, b, o in zip(text, briefs, other))
+        return pa.array([_outcomes(t, b, t if own else o.as_py()) for t, b, o in rows], pa.list_(pa.string()))
+
+    other = F.col("cs.b.named") if own else F.col("__src")  # the text itself is sent once
+    told = d.select("cs", judged(F.col("text"), F.col("cs.b"), other).alias("os"))
+    each = told.select(F.explode_outer(F.arrays_zip(F.col("cs.c").alias("c"), F.col("os").alias("o"))).alias("x"))
+    return each.select(*[F.col(f"x.c.{n}").alias(n) for n in cands.columns], F.col("x.o").alias("outcome"))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

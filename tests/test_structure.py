@@ -129,3 +129,29 @@ def test_asof_join_equals_bisect(spark):
         for q in range(110):
             i = bisect.bisect_right(pages, q) - 1
             assert got[q] == (f"L{pages[i]}" if i >= 0 else None)
+
+
+def test_heads_are_looked_up_by_one_scan():
+    rnd = random.Random(3)
+    for _ in range(200):
+        source = "".join(rnd.choices("ab ", k=rnd.randrange(60)))
+        heads = ["".join(rnd.choices("ab ", k=rnd.randrange(1, 7))) for _ in range(12)]
+        assert L.heads_found(heads, source, near=rnd.choice((0, 2, 50))) == [h in source for h in heads]
+
+
+def test_validate_against_another_source(spark):
+    text = "1. Scope\nThis Act applies to all drugs.\n2. Terms\nA \ufb01ne  word\u00a0here is long.\n3. End\nOmitted.\n"
+    docs = spark.createDataFrame([("d", text), ("n", None)], "doc_id string, text string")
+    spans = [("d", 0, 39, 0.9, "Scope"), ("d", 39, 75, 0.9, "Terms"), ("d", 75, 91, 0.5, "End"), ("d", 39, 45, 0.9, "x"), ("d", 0, 39, 0.5, None),
+             ("d", None, 4, 0.9, "t"), ("n", 0, 5, 0.9, "t")]
+    cands = spark.createDataFrame(spans, "doc_id string, start_char int, end_char int, confidence double, title string")
+
+    def told(source=None):
+        got = L.validate(cands, docs, source).collect()
+        return sorted(((r.doc_id, -1 if r.start_char is None else r.start_char, r.confidence, r.title or "", r.outcome) for r in got))
+
+    want = {("d", 0, 0.5, "", "low_confidence"), ("d", 39, 0.9, "x", "too_short"), ("d", -1, 0.9, "t", "not_in_source"), ("n", 0, 0.9, "t", "not_in_source")}
+    every = want | {("d", 0, 0.9, "Scope", "accepted"), ("d", 39, 0.9, "Terms", "accepted"), ("d", 75, 0.5, "End", "accepted")}
+    assert set(told()) == every
+    other = spark.createDataFrame([("d", "2.   Terms A fine word here is long. 3. End Omitted.")], "doc_id string, text string")
+    assert set(told(other)) == {(*r[:4], "not_in_source") if r[3] == "Scope" else r for r in every}
