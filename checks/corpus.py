@@ -15,6 +15,7 @@ from lexloom.plans.ingest import ingest_pages, ingest_texts
 from lexloom.sources import manifest as M
 from lexloom.session import shared_folder
 from lexloom.sources import memory, store
+from lexloom.sources.contexts import ContextStore
 from lexloom.streaming.ingest_stream import Ingestion
 
 Q: dict = {}
@@ -322,7 +323,8 @@ Q["enrich"] = (
 )
 
 
-def context(s, d):
+def context_input(s, d):
+    """All documents as chunks, and contexts that are known for the labelled ones."""
     docs = table(s, d, "documents")
     chunks = docs.select(
         "doc_id", F.concat(F.lit(" parent "), "source").alias("parent_context"), F.col("text").alias("split_text"),
@@ -331,9 +333,29 @@ def context(s, d):
     cache = docs.join(table(s, d, "labels"), "doc_id").select(
         C.context_key(F.concat(F.lit("parent "), "source"), F.col("text")).alias("key"), F.concat(F.lit("cached "), "source").alias("context")
     ).distinct()
-    found, fresh = C.context_lookup(chunks, cache)
-    out = C.contextualise(found)
-    return out.select("doc_id", "generated_context", F.sha2("page_content", 256).alias("content_hash"))
+    return chunks, cache
+
+
+def situated(found):
+    return C.contextualise(found).select("doc_id", "generated_context", F.sha2("page_content", 256).alias("content_hash"))
+
+
+def context(s, d):
+    found, _ = C.context_lookup(*context_input(s, d))
+    return situated(found)
+
+
+def context_store(s, d):
+    """The same through a store that is looked up twice; the second run may not ask for anything."""
+    chunks, cache = context_input(s, d)
+    kept = ContextStore(s, f"{shared_folder(s)}/contexts-{uuid.uuid4().hex}")
+    kept.add(cache)
+    kept.fill(chunks)
+
+    def nothing(prompts):
+        raise AssertionError("a stored context was asked for again")
+
+    return situated(kept.lookup(chunks, nothing))
 
 
 Q["context_cache"] = (
@@ -344,6 +366,7 @@ fresh AS (SELECT key, min(concat('This chunk is part of ', source, ', Chapter N/
 j AS (SELECT doc_id, text, context AS generated_context FROM c JOIN (SELECT * FROM known UNION ALL SELECT * FROM fresh) USING (key))
 SELECT doc_id, generated_context, sha256(concat(generated_context, chr(10), chr(10), text)) AS content_hash FROM j""",
 )
+Q["context_store"] = (context_store, Q["context_cache"][1])
 Q["context_prompt"] = (
     lambda s, d: C.context_prompt(
         table(s, d, "documents").select("doc_id", F.col("text").alias("parent_context"), F.col("source").alias("split_text"))

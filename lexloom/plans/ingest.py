@@ -13,6 +13,7 @@ from lexloom.operators import hierarchy as H
 from lexloom.operators import structure as L
 from lexloom.operators.retrieval import embed
 from lexloom.session import checkpointed
+from lexloom.sources.contexts import ContextStore
 from lexloom.sources.store import pending_docs, unique_ids, upsert
 
 
@@ -30,7 +31,7 @@ def _with_settings(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     return d.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in _SETTINGS.items()})
 
 
-def _situated(splits: DataFrame, cache: DataFrame | None, generator, contextual: bool) -> DataFrame:
+def _situated(splits: DataFrame, cache: DataFrame | ContextStore | None, generator, contextual: bool) -> DataFrame:
     on = F.col("enable_contextual") & F.lit(contextual)
     away = ["parent_context", "fallback_context", *_SETTINGS]
     if not contextual or (cache is None and generator is None):
@@ -40,7 +41,10 @@ def _situated(splits: DataFrame, cache: DataFrame | None, generator, contextual:
     cache = cache if cache is not None else empty_cache(splits.sparkSession)
     # The look-up reads its input for the keys and for the chunks; split once.
     splits = checkpointed(splits)
-    situated, _ = C.context_lookup(splits.where(on), cache, generator)
+    if isinstance(cache, ContextStore):
+        situated = cache.lookup(splits.where(on), generator)
+    else:
+        situated, _ = C.context_lookup(splits.where(on), cache, generator)
     plain = splits.where(~on).withColumn("generated_context", F.lit(""))
     return C.contextualise(situated.unionByName(plain, allowMissingColumns=True).drop(*away))
 
@@ -60,7 +64,7 @@ def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFram
 
 
 def chunk_nodes(
-    nodes: DataFrame, manifest: DataFrame, cache: DataFrame | None = None, generator: Callable | None = None,
+    nodes: DataFrame, manifest: DataFrame, cache: DataFrame | ContextStore | None = None, generator: Callable | None = None,
     size: int | None = None, overlap: int | None = None, contextual: bool = True,
 ) -> DataFrame:
     """Nodes → enriched chunks (doc_id is the source id).
@@ -88,7 +92,7 @@ def chunk_nodes(
 
 def ingest_pages(
     pages: DataFrame, manifest: DataFrame, toc: DataFrame | None = None, existing: DataFrame | None = None,
-    cache: DataFrame | None = None, generator: Callable | None = None, encoder: Callable | None = None,
+    cache: DataFrame | ContextStore | None = None, generator: Callable | None = None, encoder: Callable | None = None,
     dim: int = 256, force: bool = False, contextual: bool = True,
 ) -> DataFrame:
     """Page texts of pending documents → embedded chunks, merged with the store."""
@@ -103,7 +107,7 @@ def ingest_pages(
 
 
 def ingest_texts(
-    docs: DataFrame, manifest: DataFrame, cache: DataFrame | None = None, generator: Callable | None = None,
+    docs: DataFrame, manifest: DataFrame, cache: DataFrame | ContextStore | None = None, generator: Callable | None = None,
     encoder: Callable | None = None, dim: int = 256, contextual: bool = True,
 ) -> DataFrame:
     """Plain texts bypass the structure steps: windows of the whole text as one section."""
@@ -126,7 +130,7 @@ def ingest_texts(
 
 
 def ingest_legacy(pages: DataFrame, manifest: DataFrame, toc: DataFrame | None = None,
-                  cache: DataFrame | None = None, generator: Callable | None = None, contextual: bool = True) -> DataFrame:
+                  cache: DataFrame | ContextStore | None = None, generator: Callable | None = None, contextual: bool = True) -> DataFrame:
     """The section-only flow."""
     docs, offsets = L.concat_pages(pages)
     sections = L.validate_legacy(L.detect_sections_legacy(docs, toc), docs)
