@@ -80,6 +80,44 @@ def test_dedup_equals_greedy_loop(spark):
     assert got == want
 
 
+def test_large_packs_equal_greedy_loop(spark):
+    rnd = random.Random(9)
+    words = ["aaaa", "straße", "naïve", "von", "x", "ééé", "the end", "\u2003"]
+    base = [" ".join(rnd.choice(words) for _ in range(n)) for n in (400, 90, 60, 25, 20)] + ["a" * 200, "ab" * 90]
+    rows, want = [], {}
+    for pack in range(2):
+        items = []
+        for i in range(700):
+            t = rnd.choice(base)
+            a, n = rnd.randint(0, len(t) - 1), rnd.choice((1, 2, 3, 5, 7, 10, 20, 30, 70, 85, 130, 500, 900))
+            own = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+            text = rnd.choice([own + t[a:a + n], t[a:a + n] + own, own * 2, own[:9], t.upper(), t[a:a + n], None, " \n"])
+            items.append((rnd.choice([f"c{i}", f"c{rnd.randint(0, 300)}"]), text))
+        items += [(f"k{i}", base[0][i:]) for i in range(20)] + [("g0", "q"), ("g1", "q" * 81), ("", "one blank id " * 9), ("", "two blank ids " * 9)]
+        want[pack] = [p for p in _greedy_positions(items)]
+        rows += [(pack, 0, i, c, t) for i, (c, t) in enumerate(items)]
+    df = spark.createDataFrame(rows, "query_id long, area_ix int, position int, chunk_id string, text string").repartition(5)
+    for small in (False, True):
+        got = {}
+        for r in R.dedup_near(df, small=small).orderBy("query_id", "position").collect():
+            got.setdefault(r.query_id, []).append(r.position)
+        assert got == want
+
+
+def _greedy_positions(rows):
+    ids, texts, out = set(), [], []
+    for i, (cid, text) in enumerate(rows):
+        low = (text or "").lower().strip()
+        if not low or (cid and cid in ids):
+            continue
+        if any(low == t or (len(low) > 80 and (low in t or t in low)) for t in texts):
+            continue
+        ids.add(cid)
+        texts.append(low)
+        out.append(i)
+    return out
+
+
 def test_better_chunk_ranks_first(spark):
     cols = "chunk_id string, provision string, title string, source_authority string, authority_level string, document_type string, jurisdiction string, text string, vector_score double, rank int"
     rows = [("c2", "Section 9", "Notes", "Notes", None, None, "india", "other words", 0.70, 1),
