@@ -137,3 +137,13 @@ def test_citation_check(spark):
     assert got["a"] == (False, ["Section 3 (p)"], ["Rule 999"])
     assert got["b"] == (True, ["Section 6(k)"], []) and got["c"] == (False, [], [])
     assert got["d"] == (True, [], []) and got["e"] == (False, [], ["Sec. 5"])
+
+
+def test_scores_are_printed_by_their_binary_value(spark):
+    row = (1, 1, "3", "t", "N/A", "1 to 2", "act", "1970-01-01", 0.30345, "x")
+    cols = "query_id long, position int, provision string, title string, chapter string, pages string, document_type string, effective_from string, final_score double, text string"
+    assert "score: 0.3034)" in V.context_blocks(spark.createDataFrame([row], cols), 4).first().context
+    low = spark.createDataFrame([(1, 0.125, 1.0), (2, 0.9, 0.245)], "query_id long, final_score double, applicability_score double")
+    answers = spark.createDataFrame([(1, "a"), (2, "a")], "query_id long, answer string")
+    reasons = [r.reason for r in E.guardrail(answers, low).orderBy("query_id").collect()]
+    assert "score: 0.12)" in reasons[0] and "avg: 0.24)" in reasons[1]
