@@ -147,3 +147,26 @@ def test_scores_are_printed_by_their_binary_value(spark):
     answers = spark.createDataFrame([(1, "a"), (2, "a")], "query_id long, answer string")
     reasons = [r.reason for r in E.guardrail(answers, low).orderBy("query_id").collect()]
     assert "score: 0.12)" in reasons[0] and "avg: 0.24)" in reasons[1]
+
+
+def test_blocks_grow_with_the_table(spark):
+    ids = spark.range(3000)
+    vec = F.array(*[F.sin(F.col("id") * (j + 1)).cast("float") for j in range(4)])
+    df = ids.select("id", vec.alias("embedding"))
+    q, c = df.selectExpr("id AS __q", "'' AS __k", "embedding AS __qv"), df.selectExpr("id AS __c", "'' AS __k", "embedding AS __cv")
+    schema = "__q long, __c long, score double"
+    # a row per query and block at most: 16 blocks of 188 rows, not 94 of 32
+    assert V._blocked(q, c, 1, schema, True, 32).count() == 3000 * 16
+
+
+def test_best_takes_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    c = rng.integers(-2, 3, size=(900, 3)).astype(float)
+    c[5] = np.nan
+    q = rng.integers(-2, 3, size=(40, 3)).astype(float)
+    ids = rng.permutation(900)
+    r, n, v = V._score_block(ids[:40], q, ids, c, 6, True)
+    for i in range(40):
+        s = np.round(q[i] @ c.T, 9)
+        want = sorted((-s[j], ids[j]) for j in range(900) if j not in (5, i))[:6]
+        assert [(-a, b) for a, b in zip(v[r == i], n[r == i])] == want
