@@ -170,3 +170,21 @@ def test_best_takes_ties_and_odd_vectors(spark):
         s = np.round(q[i] @ c.T, 9)
         want = sorted((-s[j], ids[j]) for j in range(900) if j not in (5, i))[:6]
         assert [(-a, b) for a, b in zip(v[r == i], n[r == i])] == want
+
+
+def test_kept_rows_merge_by_ranges_of_queries():
+    rng = np.random.default_rng(5)
+    parts, rows = [], []
+    for b in range(4):
+        r = np.sort(rng.integers(0, 20_000, 30_000)).astype(np.int32)
+        c, s = rng.permutation(30_000) + 30_000 * b, rng.integers(0, 4, 30_000) / 4
+        parts.append((r, c, s))
+        rows += zip(r, -s, c)
+    kept = None
+    for part in parts:
+        kept = V._kept(kept, part, 3)
+    best, want = {}, []
+    for r, s, c in sorted(rows):
+        best[r] = best.get(r, 0) + 1
+        want += [(r, c, -s)] * (best[r] <= 3)
+    assert list(zip(*kept)) == want
