@@ -84,3 +84,20 @@ def test_conversation(spark, chunks):
 def test_merged_facts(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"c": "1"}), (None, None)], "p map<string,string>, n map<string,string>")
     assert [r[0] for r in df.select(merged_facts(F.col("p"), F.col("n"))).collect()] == [{"a": "1", "b": "3"}, {"c": "1"}, {}]
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    from lexloom.plans import answer as plan
+
+    rows = [(i, 0, "patent" if i < 4 else "gi", "neem oil" if i != 3 else "clove oil", None) for i in range(6)]
+    subs = spark.createDataFrame(rows, "query_id long, area_ix int, legal_area string, query_text string, product_category string")
+    texts = [(f"c{j}", a, t) for j, (a, t) in enumerate([("patent", "neem oil"), ("patent", "clove oil"), ("gi", "neem"), ("gi", "oil")])]
+    chunks = plan.embed(spark.createDataFrame(texts, "chunk_id string, legal_area string, text string"), "text", dim=64)
+    seen = []
+    search = plan.filtered_topk
+    monkeypatch.setattr(plan, "filtered_topk", lambda q, c, k: seen.append(q.count()) or search(q, c, k))
+    got = {}
+    for r in plan.retrieve(subs, chunks, dim=64, k=1).collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    each = {r.query_id: r.chunk_id for r in search(plan.embed(plan.route(subs), "query_text", dim=64), chunks, 1).collect()}
+    assert seen == [3] and got == {q: [c] for q, c in each.items()} and len(got) == 6
