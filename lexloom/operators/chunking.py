@@ -18,14 +18,20 @@ def _col(value: int | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def select_chunkable(nodes: DataFrame, size: int | Column = K.CHUNK_SIZE) -> DataFrame:
-    """Drop containers with children, long nodes with children, and blank nodes."""
+def mark_parents(nodes: DataFrame) -> DataFrame:
+    """Add ``has_kids``. A join, so better on nodes that have no texts yet."""
     parents = nodes.where("parent_ix is not null").select("doc_id", F.col("parent_ix").alias("node_ix")).distinct()
     out = nodes.join(parents.withColumn("__kids", F.lit(True)), ["doc_id", "node_ix"], "left")
-    kids = F.coalesce("__kids", F.lit(False))
+    return out.withColumn("has_kids", F.coalesce("__kids", F.lit(False))).drop("__kids")
+
+
+def select_chunkable(nodes: DataFrame, size: int | Column = K.CHUNK_SIZE) -> DataFrame:
+    """Drop containers with children, long nodes with children, and blank nodes."""
+    out = nodes if "has_kids" in nodes.columns else mark_parents(nodes)
+    kids = F.col("has_kids")
     container = kids & F.lower("node_type").isin("document", "part", "chapter")
     long_parent = kids & (F.length("text") > size)
-    return out.where(~container & ~long_parent & (strip(F.col("text")) != "")).drop("__kids")
+    return out.where(~container & ~long_parent & (strip(F.col("text")) != "")).drop("has_kids")
 
 
 def pack_paragraphs(text: Column, size: int | Column = K.CHUNK_SIZE) -> Column:
@@ -97,8 +103,20 @@ def _windows(parts: list[str], size: int, overlap: int) -> Iterator[str]:
         yield "".join(parts[first:])
 
 
+def _char_windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    """What :func:`_windows` makes of single characters, without listing them."""
+    first = 0
+    while first + size < len(text):
+        yield text[first : first + size]
+        first += size - overlap
+    yield text[first:]
+
+
 def _split(text: str, size: int, overlap: int, seps: list[str]) -> Iterator[str]:
     at = next((i for i, s in enumerate(seps) if re.search(s, text)), len(seps) - 1)
+    if seps[at] == "." and 0 <= overlap < size and size > 1 and text and "\n" not in text[1:]:
+        yield from _char_windows(text, size, overlap)
+        return
     finer = seps[at + 1:] if re.search(seps[at], text) else []
     small: list[str] = []
     for part in _pieces(text, seps[at]):
@@ -232,18 +250,24 @@ ENRICHED = [
 ]
 
 
+def document_fields(manifest: DataFrame) -> list[Column]:
+    """The manifest's fields that every chunk of a document gets."""
+    return [F.coalesce(c, F.lit("")).alias(c) if c == "parent_document" else F.col(c) for c in ENRICHED]
+
+
 def enrich(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """Overwrite the document fields from the manifest; default absent hierarchy fields.
 
     One manifest row per source keeps the join from multiplying chunks. Spark
     broadcasts the manifest when its measured size allows, and joins by hash
-    otherwise.
+    otherwise. Chunks whose rows met the manifest before they got their texts bring the
+    fields in a struct ``manifest_row``: they are not joined again.
     """
-    meta = manifest.select(*[F.col(c) for c in ENRICHED]).withColumn(
-        "parent_document", F.coalesce("parent_document", F.lit(""))
-    )
-    keep = [c for c in chunks.columns if c not in ENRICHED or c == "source_id"]
-    out = chunks.select(*keep).join(meta, "source_id", "left")
+    keep = [c for c in chunks.columns if c not in ENRICHED and c != "manifest_row"]
+    if "manifest_row" in chunks.columns:
+        out = chunks.select("source_id", *keep, *[F.col(f"manifest_row.{c}") for c in ENRICHED if c != "source_id"])
+    else:
+        out = chunks.select("source_id", *keep).join(manifest.select(*document_fields(manifest)), "source_id", "left")
     have = set(out.columns)
 
     def col_or(name: str, default: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import constants as K
 from lexloom.functions.blocked import carry, dense_index
 from lexloom.functions.text import filled, lookup, present, strip, tokens
-from lexloom.operators.structure import chapter_for_page, page_range, slice_spans
+from lexloom.operators.structure import chapter_for_page, cut_spans, page_range
 from lexloom.session import checkpointed
 
 RANKS = range(9)
@@ -152,7 +152,7 @@ def slice_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if "doc_size" in cols:
         end = F.when(F.col("end_char") > F.col("start_char"), F.least("end_char", "doc_size")).otherwise(F.col("doc_size"))
         n = n.withColumn("end_char", end)
-    out = slice_spans(n, docs, "original_text").withColumn("end_char", F.col("__end"))
+    out = cut_spans(n, docs, "original_text").withColumn("end_char", F.col("__end"))
     return out.select(*cols, "original_text", strip_marks(F.col("original_text")).alias("text"))
 
 

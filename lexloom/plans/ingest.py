@@ -27,7 +27,8 @@ _SETTINGS = {"chunk_size": K.CHUNK_SIZE, "chunk_overlap": K.CHUNK_OVERLAP, "enab
 def _with_settings(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Title, collection and the document's own chunking settings (defaults where the manifest has none)."""
     own = [F.col(c) if c in manifest.columns else F.lit(v).alias(c) for c, v in _SETTINGS.items()]
-    d = docs.join(manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name", *own), "source_id", "left")
+    fields = F.struct(*C.document_fields(manifest)).alias("manifest_row")
+    d = docs.join(manifest.select("source_id", F.col("title").alias("doc_title"), "collection_name", *own, fields), "source_id", "left")
     return d.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in _SETTINGS.items()})
 
 
@@ -49,8 +50,8 @@ def _situated(splits: DataFrame, cache: DataFrame | ContextStore | None, generat
     return C.contextualise(situated.unionByName(plain, allowMissingColumns=True).drop(*away))
 
 
-def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
-    """Documents → validated nodes with parents, pages, texts, paths and ancestors."""
+def build_tree(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
+    """Documents → validated nodes with parents, pages, paths and ancestors: narrow rows, without texts."""
     cands = L.accepted(L.validate(L.detect_candidates(docs, toc), docs))
     nodes = H.build_hierarchy(cands)
     if offsets is not None:
@@ -59,8 +60,16 @@ def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFram
             nodes = H.toc_titles(nodes, toc)
     else:
         nodes = nodes.withColumns({"start_page": F.lit(1), "end_page": F.lit(1)})
-    # The tree is built on narrow rows; texts join last.
-    return H.slice_text(H.ancestors(nodes), docs)
+    return C.mark_parents(H.ancestors(nodes))
+
+
+def build_nodes(docs: DataFrame, offsets: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
+    """Documents → validated nodes with parents, pages, texts, paths and ancestors."""
+    return H.slice_text(build_tree(docs, offsets, toc), docs)
+
+
+def _of_manifest(nodes: DataFrame, manifest: DataFrame) -> DataFrame:
+    return _with_settings(nodes.withColumn("source_id", F.col("doc_id").cast("string")), manifest)
 
 
 def chunk_nodes(
@@ -69,9 +78,10 @@ def chunk_nodes(
 ) -> DataFrame:
     """Nodes → enriched chunks (doc_id is the source id).
 
-    Sizes are those of the document in the manifest unless ``size`` or ``overlap`` is given.
+    Sizes are those of the document in the manifest unless ``size`` or ``overlap`` is given. Nodes that met the
+    manifest before they got their texts stay where they are.
     """
-    n = _with_settings(nodes.withColumn("source_id", F.col("doc_id").cast("string")), manifest)
+    n = nodes if "manifest_row" in nodes.columns else _of_manifest(nodes, manifest)
     size = F.col("chunk_size") if size is None else size
     overlap = F.col("chunk_overlap") if overlap is None else overlap
     n = C.hierarchy_columns(C.breadcrumb(C.chunkable_index(C.select_chunkable(n, size))))
@@ -100,7 +110,9 @@ def ingest_pages(
         todo = pending_docs(manifest, existing, dim, force).select(F.col("source_id").alias("doc_id"))
         pages = pages.join(todo, "doc_id", "left_semi")
     docs, offsets = L.concat_pages(pages)
-    chunks = chunk_nodes(build_nodes(docs, offsets, toc), manifest, cache, generator, contextual=contextual)
+    # Everything that joins is done on narrow rows; texts come last and are not exchanged after that.
+    nodes = H.slice_text(_of_manifest(build_tree(docs, offsets, toc), manifest), docs)
+    chunks = chunk_nodes(nodes, manifest, cache, generator, contextual=contextual)
     # Ids are made unique on the stored chunk table, and vectors are computed last:
     # neither splitting nor encoding runs twice.
     return upsert(embed(unique_ids(checkpointed(chunks)), "page_content", encoder, dim), existing)

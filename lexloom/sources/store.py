@@ -13,19 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import uuid5
+from lexloom.session import checkpointed
 
 BATCH = "ingest_batch"
+FEW_REPEATS = 100_000  # repeated ids up to which their join leaves the chunks in place
 
 
 def unique_ids(chunks: DataFrame, position: str = "position") -> DataFrame:
     """Make chunk ids unique (``_dup{position}`` for repeats) and add point_id.
 
-    The first position per id is a map-side-combined minimum. Its join is by
-    chunk_id, which adaptive execution splits when copies of one id dominate.
+    The first position per id is a map-side-combined minimum. Only ids that repeat are
+    joined, none if there are none; beyond ``FEW_REPEATS`` of them by chunk_id, which
+    adaptive execution splits when copies of one id dominate.
     Rows that share id and position are told apart by a further ``_{n}``, counted in
     the order of their contents; only such rows are ranked.
     """
-    pairs = chunks.groupBy("chunk_id", position).agg(F.count("*").alias("__m")).where("__m > 1").drop("__m")
+    first = chunks.groupBy("chunk_id").agg(F.min(position).alias("__first"), F.count("*").alias("__n"))
+    repeated = checkpointed(first.where("__n > 1").select("chunk_id", "__first"))
+    if repeated.isEmpty():
+        return chunks.withColumn("point_id", uuid5(F.col("chunk_id")))
+    among = chunks.select("chunk_id", position).join(repeated, "chunk_id", "left_semi")
+    pairs = among.groupBy("chunk_id", position).agg(F.count("*").alias("__m")).where("__m > 1").drop("__m")
     if not pairs.isEmpty():
         plain = [f.name for f in chunks.schema.fields if not isinstance(f.dataType, T.MapType)]
         w = Window.partitionBy("chunk_id", position).orderBy(F.xxhash64(*plain))
@@ -34,9 +42,8 @@ def unique_ids(chunks: DataFrame, position: str = "position") -> DataFrame:
         again = unique_ids(same.where("__k = 0").drop("__k").unionByName(chunks.join(pairs, ["chunk_id", position], "left_anti")), position)
         more = same.where("__k > 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("_dup"), F.col(position).cast("string"), tail))
         return again.unionByName(more.drop("__k").withColumn("point_id", uuid5(F.col("chunk_id"))))
-    first = chunks.groupBy("chunk_id").agg(F.min(position).alias("__first"), F.count("*").alias("__n"))
-    repeated = first.where("__n > 1").select("chunk_id", "__first")
-    out = chunks.join(repeated, "chunk_id", "left")
+    few = repeated.limit(FEW_REPEATS + 1).count() <= FEW_REPEATS
+    out = chunks.join(F.broadcast(repeated) if few else repeated, "chunk_id", "left")
     again = F.col("__first").isNotNull() & (F.col(position) != F.col("__first"))
     cid = F.when(again, F.concat("chunk_id", F.lit("_dup"), F.col(position).cast("string"))).otherwise(F.col("chunk_id"))
     out = out.withColumn("chunk_id", cid).drop("__first")

@@ -1,9 +1,12 @@
 """Large-input paths: tiny bounds must give what no bound gives."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import hierarchy, questions, retrieval, structure
+from lexloom.operators import chunking, hierarchy, questions, retrieval, structure
 from lexloom.plans.ingest import ingest_texts
 from lexloom.sources import store
 from lexloom.sources.manifest import typed_manifest
@@ -81,6 +84,56 @@ def test_equal_spans_stay_two(spark, size):
     assert rows(structure.slice_spans(spans, docs, size=size), "original_text") == [("",), ("hello",), ("hello",), ("say",)]
 
 
+def exchanges(df):
+    """The exchanges of a plan, one line each, with all joins by hash."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [line for line in plan.splitlines() if "Exchange " in line]
+
+
+def test_cut_spans_equal_sliced_spans(spark):
+    rng = random.Random(3)
+    docs = [(f"d{i}", "".join(rng.choice("ab é\U0001d11e\n") for _ in range(rng.randint(0, 60)))) for i in range(12)] + [("none", None)]
+    docs = spark.createDataFrame(docs, "doc_id string, text string")
+    spans = [(f"d{rng.randint(0, 13)}", rng.randint(-2, 55), rng.choice([None, rng.randint(-2, 70)])) for _ in range(200)]
+    spans = spark.createDataFrame(spans + spans[:5] + [("d1", None, 4), ("none", 0, 3)], "doc_id string, start_char int, end_char int")
+    cols = ("doc_id", "start_char", "end_char", "original_text")
+    for size in (7, 4096):
+        assert rows(structure.cut_spans(spans, docs, size=size), *cols) == rows(structure.slice_spans(spans, docs, size=7), *cols)
+
+
+def test_texts_of_nodes_are_exchanged_by_document_only(spark):
+    docs = spark.createDataFrame([("d", "<<<HEADING>>>Section 1. One<<<END_HEADING>>>\ntext of it")], "doc_id string, text string")
+    nodes = spark.createDataFrame([("d", 0, 56)], "doc_id string, start_char int, end_char int")
+    found = exchanges(hierarchy.slice_text(nodes, docs))
+    assert len(found) == 2 and all(re.search(r"hashpartitioning\(doc_id#\d+, \d+\)", x) for x in found)
+
+
+def test_ids_without_repeats_need_no_join(spark):
+    chunks = spark.createDataFrame([("x", 1, "a"), ("y", 1, "b")], "chunk_id string, position long, text string")
+    assert exchanges(store.unique_ids(chunks)) == []
+    assert rows(store.unique_ids(chunks), "chunk_id") == [("x",), ("y",)]
+
+
+def test_character_windows_equal_joined_characters():
+    rng = random.Random(4)
+    for _ in range(500):
+        text = rng.choice("\nab") + "".join(rng.choice("abc .") for _ in range(rng.randint(0, 40)))
+        size = rng.randint(2, 12)
+        overlap = rng.randint(0, size - 1)
+        assert list(chunking._char_windows(text, size, overlap)) == list(chunking._windows(list(text), size, overlap))
+
+
+def test_repealed_texts_pass_the_first_look():
+    for text in ("REPEALED", "was Om\u0131t", "OM\u0130TTED", "deleted.", "Repeal"):
+        assert structure._REPEALED.search(text) and structure.may_be_repealed(text)
+    assert not structure.may_be_repealed("in force")
+
+
 def test_equal_ids_and_positions_get_unique_ids(spark):
     chunks = spark.createDataFrame(
         [("x", 1, "a"), ("x", 1, "b"), ("x", 1, "b"), ("x", 2, "c"), ("y", 1, "d")], "chunk_id string, position long, text string"
