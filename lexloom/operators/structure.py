@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,39 +43,133 @@ def modal_font_size(words: DataFrame) -> DataFrame:
     )
 
 
-def text_lines(words: DataFrame, modal: DataFrame) -> DataFrame:
-    """One row per visual line, with the heading decision."""
-    w = words.select(
-        "doc_id", "page", F.bround("top", 0).cast("int").alias("y"), "word_ix", "text",
-        F.bround(F.coalesce("size", F.lit(0.0)), 0).cast("int").alias("sz"),
-        F.lower(F.coalesce("fontname", F.lit(""))).contains("bold").alias("bold"),
+_RUN_KEYS = ("doc_id", "page", "y", "sz", "bold")
+
+
+def _separator(texts: pa.Array) -> str:
+    """A character that no text of the batch holds; a blank if possible."""
+    return next(c for c in map(chr, (32, *range(1, 0xD800))) if not pc.any(pc.match_substring(texts, c)).as_py())
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive words of one line, size and weight as one row, their texts joined by ``sep``.
+
+    ``word_ix`` lists the numbers of the words that have a text, null if these are ``first_ix``, ``first_ix`` + 1, ….
+    """
+    for b in batches:
+        n = b.num_rows
+        if n == 0:
+            continue
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for key in _RUN_KEYS:
+            here, before = b.column(key).slice(1), b.column(key).slice(0, n - 1)
+            differs = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before)))
+            new[1:] |= differs.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        edges = np.append(starts, n)
+        ix, text = b.column("word_ix"), b.column("text")
+        there = text.is_valid().to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.append(0, np.cumsum(there))[edges], pa.int32())
+        said = text.drop_null()
+        sep = _separator(said)
+        next_one = pc.fill_null(pc.equal(ix.slice(1), pc.add(ix.slice(0, n - 1), pa.scalar(1, ix.type))), False)
+        odd = ~there | ix.is_null().to_numpy(zero_copy_only=False)
+        odd[1:] |= ~(next_one.to_numpy(zero_copy_only=False) | new[1:])
+        plain = ~np.logical_or.reduceat(odd, starts)
+        first = pa.table({"r": np.cumsum(new), "i": ix}).group_by("r").aggregate([("i", "min")]).sort_by("r")["i_min"].combine_chunks()
+        listed = pa.ListArray.from_arrays(offsets, ix.filter(text.is_valid()))
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(key).take(pa.array(starts)) for key in _RUN_KEYS], pa.array(np.diff(edges)), first,
+             pc.if_else(pa.array(plain), pa.scalar(None, listed.type), listed),
+             pc.binary_join(pa.ListArray.from_arrays(offsets, said), sep), pa.array([sep] * len(starts), pa.string())],
+            names=[*_RUN_KEYS, "n", "first_ix", "word_ix", "line", "sep"],
+        )
+
+
+def _lines(words: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per visual line with its words joined, its largest size and ``sizes`` (sz, n, first_ix).
+
+    Words are packed into runs where they lie, so that an exchange, by ``by``, moves a row per line and not one per
+    word, and no words are sorted or held before it. Words in any order give the same lines, in more runs.
+    """
+    w = words.where("doc_id IS NOT NULL AND page IS NOT NULL").select(
+        "doc_id", "page", F.bround("top", 0).cast("int").alias("y"),
+        F.when(F.col("size") != 0, F.bround("size", 0).cast("int")).alias("sz"),
+        F.lower(F.coalesce("fontname", F.lit(""))).contains("bold").alias("bold"), "word_ix", "text",
     )
-    lines = w.groupBy("doc_id", "page", "y").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("word_ix", "text"))), lambda x: x["text"]), " "
-        ).alias("line"),
-        F.max("sz").alias("max_size"),
-        F.bool_or("bold").alias("bold"),
+    ix = w.schema["word_ix"].dataType
+    shape = T.StructType([
+        *[T.StructField(k, w.schema[k].dataType) for k in _RUN_KEYS], T.StructField("n", T.LongType()), T.StructField("first_ix", ix),
+        T.StructField("word_ix", T.ArrayType(ix)), T.StructField("line", T.StringType()), T.StructField("sep", T.StringType()),
+    ])
+    run = F.struct("sz", "n", "first_ix", "word_ix", "line", "sep")
+    lines = w.mapInArrow(_runs, shape).repartition(*by).groupBy("doc_id", "page", "y").agg(
+        F.collect_list(run).alias("runs"), F.max(F.coalesce("sz", F.lit(0))).alias("max_size"), F.bool_or("bold").alias("bold")
     )
-    return lines.join(modal, ["doc_id", "page"]).select(
+
+    def spoken(r):
+        texts = F.split(r["line"], F.concat(F.lit("\\Q"), r["sep"], F.lit("\\E")), -1)
+        numbers = F.coalesce(r["word_ix"], F.sequence(r["first_ix"], (r["first_ix"] + r["n"] - 1).cast(ix)))
+        return F.zip_with(numbers, F.when(F.size(numbers) > 0, texts).otherwise(F.array().cast("array<string>")), lambda i, t: F.struct(i.alias("i"), t.alias("t")))
+
+    only = F.get("runs", F.lit(0))
+    merged = F.array_join(F.transform(F.array_sort(F.flatten(F.transform("runs", spoken))), lambda x: x["t"]), " ")
+    line = F.when((F.size("runs") == 1) & only["word_ix"].isNull(), F.replace(only["line"], only["sep"], F.lit(" "))).otherwise(merged)
+    sizes = F.transform("runs", lambda r: F.struct(r["sz"].alias("sz"), r["n"].alias("n"), r["first_ix"].alias("first_ix")))
+    return lines.select("doc_id", "page", "y", line.alias("line"), "max_size", "bold", sizes.alias("sizes"))
+
+
+def _modal(sizes: Column) -> Column:
+    """Modal size of (sz, n, first_ix) entries, as :func:`modal_font_size` defines it; equal sizes follow each other after the sort."""
+    start = "named_struct('sz', int(null), 'n', 0L, 'first_ix', {0}, 'best', {1})"
+    rank = "struct<n:bigint,first:bigint,sz:int>"
+    none = F.expr(start.format("bigint(null)", f"cast(null as {rank})"))
+
+    def best(acc):
+        own = F.struct(acc["n"].alias("n"), (-acc["first_ix"]).alias("first"), acc["sz"].alias("sz"))
+        return F.array_max(F.array(acc["best"], F.when(acc["sz"].isNotNull(), own)))
+
+    def step(acc, x):
+        same, first = acc["sz"] == x["sz"], x["first_ix"].cast("long")
+        more = F.struct(acc["sz"].alias("sz"), (acc["n"] + x["n"]).alias("n"), F.least(acc["first_ix"], first).alias("first_ix"), acc["best"].alias("best"))
+        other = F.struct(x["sz"].alias("sz"), x["n"].alias("n"), first.alias("first_ix"), best(acc).alias("best"))
+        return F.when(same, more).otherwise(other)
+
+    known = F.array_sort(F.filter(sizes, lambda x: x["sz"].isNotNull()))
+    return F.coalesce(F.aggregate(known, none, step, best)["sz"], F.lit(12))
+
+
+def text_lines(words: DataFrame, modal: DataFrame) -> DataFrame:
+    """One row per visual line, with the heading decision."""
+    return _lines(words, ["doc_id", "page"]).join(modal, ["doc_id", "page"]).select(
         "doc_id", "page", "y", "line", "modal_size",
         ((F.col("max_size") > F.col("modal_size")) | F.col("bold")).alias("is_heading"),
     )
 
 
 def assemble_lines(words: DataFrame, modal: DataFrame | None = None) -> DataFrame:
-    """Page texts with marked headings; pages without words do not appear."""
-    modal = modal if modal is not None else modal_font_size(words)
-    mark = F.concat(F.lit("\n" + K.HEADING_START), "line", F.lit(K.HEADING_END))
-    lines = text_lines(words, modal).withColumn("part", F.when(F.col("is_heading"), mark).otherwise(F.col("line")))
-    pages = lines.groupBy("doc_id", "page").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("y", "part"))), lambda x: x["part"]), "\n"
-        ).alias("text"),
-        F.first("modal_size").alias("modal_size"),
+    """Page texts with marked headings; pages without words do not appear.
+
+    Words are read once and exchanged once, by document: its lines, pages, sizes and number of pages all follow there.
+    """
+    line = F.struct("y", "line", "max_size", "bold")
+    pages = _lines(words, ["doc_id"]).groupBy("doc_id", "page").agg(
+        F.collect_list(line).alias("lines"), F.flatten(F.collect_list("sizes")).alias("sizes")
     )
-    total = words.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
-    return pages.join(total, "doc_id").select("doc_id", "page", "text", "modal_size", "total_pages")
+    total = F.max("page").over(Window.partitionBy("doc_id"))
+    pages = pages.withColumns({"lines": F.array_sort("lines"), "total_pages": total})
+    if modal is None:
+        pages = pages.withColumn("modal_size", _modal(F.col("sizes")))
+    else:
+        pages = pages.join(modal, ["doc_id", "page"])
+
+    def part(x):
+        mark = F.concat(F.lit("\n" + K.HEADING_START), x["line"], F.lit(K.HEADING_END))
+        return F.when((x["max_size"] > F.col("modal_size")) | x["bold"], mark).otherwise(x["line"])
+
+    text = F.array_join(F.transform("lines", part), "\n")
+    return pages.select("doc_id", "page", text.alias("text"), "modal_size", "total_pages")
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:

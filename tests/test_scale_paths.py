@@ -155,3 +155,35 @@ def test_documents_have_their_own_chunk_sizes(spark):
     assert longest["a"] <= 200 and longest["b"] > 900 and longest["c"] > 900
     assert {r["generated_context"] for r in rows_ if r["source_id"] == "a"} == {""}
     assert all(r["generated_context"] for r in rows_ if r["source_id"] == "b")
+
+
+def test_lines_of_words_in_any_order(spark):
+    rng = random.Random(5)
+    words = [
+        (doc, page, ix, rng.choice(["a", "b c", "", None, "\x01", "é"]), rng.choice([0.2, 12.7, 12.9, None]),
+         rng.choice([None, 0.0, 10.1, 14.2]), rng.choice([None, "Serif", "Serif-BOLD"]))
+        for doc, page, n in (("d", 1, 40), ("d", 3, 25), ("e", 1, 9), (None, 1, 3), ("f", None, 2)) for ix in range(n)
+    ]
+    schema = "doc_id string, page int, word_ix int, text string, top double, size double, fontname string"
+    expected = []
+    for doc, page in (("d", 1), ("d", 3), ("e", 1)):
+        here = [w for w in words if w[:2] == (doc, page)]
+        sizes = [round(w[5]) for w in here if w[5]]
+        modal = max(sizes, key=lambda s: (sizes.count(s), -sizes.index(s))) if sizes else 12
+        parts = []
+        for y in sorted({w[4] if w[4] is None else round(w[4]) for w in here}, key=lambda y: (y is not None, y)):
+            line = [w for w in here if (w[4] if w[4] is None else round(w[4])) == y]
+            text = " ".join(w[3] for w in line if w[3] is not None)
+            head = max(round(w[5] or 0) for w in line) > modal or any("bold" in (w[6] or "").lower() for w in line)
+            parts.append(f"\n<<<HEADING>>>{text}<<<END_HEADING>>>" if head else text)
+        expected.append((doc, page, "\n".join(parts), modal, 3 if doc == "d" else 1))
+    cols = ("doc_id", "page", "text", "modal_size", "total_pages")
+    shuffled = rng.sample(words, len(words))
+    plain = [(w[0], w[1], w[2], "w", 0.2, 10.1, None) for w in words if w[0] == "d"]
+    for given in (words, shuffled):
+        df = spark.createDataFrame(given, schema)
+        assert rows(structure.assemble_lines(df), *cols) == sorted(expected, key=repr)
+        assert rows(structure.assemble_lines(df, structure.modal_font_size(df)), *cols) == sorted(expected, key=repr)
+        assert len(exchanges(structure.assemble_lines(df))) == 1
+    one = rows(structure.assemble_lines(spark.createDataFrame(plain, schema)), "page", "text")
+    assert one == [(1, " ".join(["w"] * 40)), (3, " ".join(["w"] * 25))]
