@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexloom.functions.text import uuid5
 from lexloom.plans.ingest import ingest_texts
 from lexloom.session import checkpointed
 from lexloom.sources.store import BATCH, ChunkStore, unique_ids
@@ -74,9 +75,18 @@ class Ingestion:
         if ledger is not None and not self.replace:
             seen = ledger.where(F.col(BATCH) != batch_id).select(F.col("source_id").alias("doc_id"))
             last = last.join(seen, "doc_id", "left_anti")
-        docs = batch.join(last, ["doc_id", "modified"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-        chunks = checkpointed(unique_ids(ingest_texts(docs, self.manifest, encoder=self.encoder)))
+        # and meet them by doc_id alone (no time is later than the last one), as they then meet the manifest: one exchange
+        newest = last.select(F.col("doc_id").alias("__id"), F.col("modified").alias("__last"))
+        docs = batch.join(newest, (F.col("doc_id") == F.col("__id")) & (F.col("modified") >= F.col("__last")), "left_semi")
+        chunks = ingest_texts(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), self.manifest, encoder=self.encoder)
+        # A source's name and a window's number make an id of their own, unless the manifest lists a source twice.
+        listed = self.manifest.where("source_id IS NOT NULL").groupBy("source_id").agg(F.count("*").alias("n"))
+        if listed.where("n > 1").isEmpty():
+            chunks = chunks.withColumn("point_id", uuid5(F.col("chunk_id")))
+        else:
+            chunks = unique_ids(checkpointed(chunks))
         if self.replace and self.store.committed():
+            chunks = checkpointed(chunks)
             mine = last.select(F.col("doc_id").alias("source_id"))
             old = self.store.index().where(F.col(BATCH) != 2 * batch_id).join(mine, "source_id", "left_semi")
             gone = old.select("point_id", "source_id").distinct().join(chunks.select("point_id"), "point_id", "left_anti").withColumn("removed", F.lit(True))

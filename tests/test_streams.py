@@ -112,3 +112,23 @@ def test_upsert_and_memory(spark):
     g = spark.createDataFrame([("s", {"b": "2"}, 2)], "session_id string, facts map<string,string>, seq long")
     assert memory.save_facts(f, g).first().facts == {"a": "1", "b": "2"}
     assert memory.clear_session(turns, spark.createDataFrame([("s",)], "session_id string")).count() == 0
+
+
+def test_a_batch_is_written_without_a_copy(spark, tmp_path, monkeypatch):
+    def copied(df):
+        raise AssertionError("the chunks were written twice")
+
+    once = _manifest(spark, ["a", "b"])
+    twice = once.unionByName(once.where("source_id = 'b'"))
+    docs = spark.createDataFrame([("a", "old text", 1), ("a", "new text", 2), ("b", "one", 5), ("b", "one", 5), ("c", "word " * 300, 1)], "doc_id string, text string, modified long")
+    for name, manifest in (("once", once), ("twice", twice)):
+        load = Ingestion(spark, manifest, str(tmp_path / name))
+        with monkeypatch.context() as m:
+            if name == "once":
+                m.setattr("lexloom.streaming.ingest_stream.checkpointed", copied)
+            load(docs, 0)
+        found = load.chunks().collect()
+        texts = sorted((r.source_id, r.split_text) for r in found if r.source_id != "c")
+        assert ("a", "new text") in texts and ("a", "old text") not in texts
+        assert len({r.point_id for r in found}) == len(found) and len({r.chunk_id for r in found}) == len(found)
+        assert name == "twice" or texts == [("a", "new text"), ("b", "one")]
