@@ -330,9 +330,10 @@ def context_input(s, d):
         "doc_id", F.concat(F.lit(" parent "), "source").alias("parent_context"), F.col("text").alias("split_text"),
         C.structural_context(F.col("source"), F.lit("N/A"), F.col("doc_id").cast("string"), F.col("lang")).alias("fallback_context"),
     )
-    cache = docs.join(table(s, d, "labels"), "doc_id").select(
-        C.context_key(F.concat(F.lit("parent "), "source"), F.col("text")).alias("key"), F.concat(F.lit("cached "), "source").alias("context")
-    ).distinct()
+    keyed = docs.select(
+        "doc_id", C.context_key(F.concat(F.lit("parent "), "source"), F.col("text")).alias("key"), F.concat(F.lit("cached "), "source").alias("context")
+    )
+    cache = keyed.join(table(s, d, "labels").select("doc_id"), "doc_id").select("key", "context").distinct()
     return chunks, cache
 
 

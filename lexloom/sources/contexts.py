@@ -1,7 +1,8 @@
 """Stored situating contexts: what a generator wrote once is not asked for again.
 
-A look-up writes down the distinct keys that are missing, dealt into parts by their hash; the contexts of one
-part are generated and stored before the next part begins. A part counts when it is complete, so a run that is
+A look-up writes down the prompts of the distinct keys that are missing, dealt into parts by their hash; the contexts
+of one part are generated and stored before the next part begins. Without a generator nothing is asked for, so there
+are no prompts and one part. A part counts when it is complete, so a run that is
 killed loses the part it was in, and the next one asks only for what is still missing.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import filled, strip
 from lexloom.operators.chunking import context_key, context_prompt
+from lexloom.session import checkpointed
 
 CONTEXT = "key string, context string"
 
@@ -43,16 +45,31 @@ class ContextStore:
             return self.spark.createDataFrame([], CONTEXT)
         return self.spark.read.schema(CONTEXT).parquet(*folders).groupBy("key").agg(F.min("context").alias("context"))
 
-    def add(self, contexts: DataFrame) -> None:
-        """Store contexts made elsewhere, for example an earlier cache table."""
-        contexts.select("key", "context").write.parquet(f"{self.path}/contexts/{uuid.uuid4().hex}")
+    def add(self, contexts: DataFrame) -> int:
+        """Store contexts made elsewhere, for example an earlier cache table; the number of rows. No rows leave no folder."""
+        folder = f"{self.path}/contexts/{uuid.uuid4().hex}"
+        contexts.select("key", "context").write.parquet(folder)
+        n = self.spark.read.schema(CONTEXT).parquet(folder).count()
+        if n == 0:
+            path, fs = self._fs()
+            fs.delete(path(folder), True)
+        return n
 
     def fill(self, chunks: DataFrame, generator: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Generate and store what is missing for chunks (parent_context, split_text, fallback_context); the number of new keys."""
         keyed = chunks.withColumn("key", context_key(F.col("parent_context"), F.col("split_text"))).where("key is not null")
-        # Stored keys go first: only texts that need a context are made into prompts and shuffled.
-        missing = context_prompt(keyed.join(self.read().select("key"), "key", "left_anti"))
-        wanted = missing.groupBy("key").agg(F.min("prompt").alias("prompt"), F.min("fallback_context").alias("fallback_context"))
+        # What is missing is found on keys; without a generator its sentences are all that is needed.
+        known = self.read().select("key")
+        if generator is None:
+            missing = keyed.select("key", "fallback_context").join(known, "key", "left_anti")
+            return self.add(missing.groupBy("key").agg(F.min("fallback_context").alias("context")))
+        keys = checkpointed(keyed.select("key").distinct().join(known, "key", "left_anti"))
+        if keys.isEmpty():
+            return 0
+        # Only texts that need a context are made into prompts and exchanged.
+        wanted = context_prompt(keyed.join(keys, "key", "left_semi")).groupBy("key").agg(
+            F.min("prompt").alias("prompt"), F.min("fallback_context").alias("fallback_context")
+        )
         part = F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int")
         todo = f"{self.path}/todo/{uuid.uuid4().hex}"
         wanted.withColumn("part", part).write.partitionBy("part").parquet(todo)
@@ -60,13 +77,8 @@ class ContextStore:
         total = 0
         for folder in sorted(f.getPath().toString() for f in fs.globStatus(path(f"{todo}/part=*")) or []):
             rows = self.spark.read.schema("key string, prompt string, fallback_context string").parquet(folder)
-            if generator is None:
-                fresh = rows.select("key", F.col("fallback_context").alias("context"))
-            else:
-                made = generator(rows.select("key", "prompt")).groupBy("key").agg(F.min("context").alias("made"))
-                fresh = rows.join(made, "key", "left").select("key", filled(strip(F.col("made")), F.col("fallback_context")).alias("context"))
-            self.add(fresh)
-            total += rows.count()
+            made = generator(rows.select("key", "prompt")).groupBy("key").agg(F.min("context").alias("made"))
+            total += self.add(rows.join(made, "key", "left").select("key", filled(strip(F.col("made")), F.col("fallback_context")).alias("context")))
         fs.delete(path(todo), True)
         return total
 

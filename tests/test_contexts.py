@@ -54,3 +54,20 @@ def test_without_generator_or_chunks(spark, tmp_path):
     model = Model()
     assert store.lookup(none, model).count() == 0 and model.calls == 0
     assert {r.generated_context for r in store.lookup(spark.createDataFrame(rows(3), SCHEMA)).collect()} == {"fixed 0", "fixed 1", "fixed 2", "fixed null", None}
+
+
+def test_prompts_are_made_only_for_what_a_generator_is_asked(spark, tmp_path, monkeypatch):
+    def prompted(chunks):
+        raise AssertionError("texts were made into prompts")
+
+    chunks = spark.createDataFrame(rows(40), SCHEMA)
+    store = ContextStore(spark, str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr("lexloom.sources.contexts.context_prompt", prompted)
+        assert store.fill(chunks) == 30 and store.fill(chunks) == 0  # nobody to ask
+        assert store.fill(chunks, Model()) == 0  # all stored
+        found = {r.id: r.generated_context for r in store.lookup(chunks, Model()).collect()}
+    assert all(found[i] == fixed for i, _, _, fixed in rows(40))
+    assert len(list((tmp_path / "contexts").iterdir())) == 1
+    model = Model()
+    assert store.fill(chunks.withColumn("split_text", F.concat("split_text", F.lit("!"))), model) == 30 and len(model.asked) == 30
