@@ -118,6 +118,22 @@ def _greedy_positions(rows):
     return out
 
 
+def _pack_rows(packs, n):
+    return [(p, i % 2, i, f"c{i}", f"{'word ' * 30}{i % 7} {p}" if i % 3 else f"own text of {i}") for p in range(packs) for i in range(n)]
+
+
+def test_dedup_picks_rows_without_moving_texts(spark):
+    df = spark.createDataFrame(_pack_rows(3, 40), "query_id long, area_ix int, position int, chunk_id string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = R.dedup_near(df)
+        assert kept.count() == len({(r[0], r[1], r[4]) for r in df.collect()})
+        assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_better_chunk_ranks_first(spark):
     cols = "chunk_id string, provision string, title string, source_authority string, authority_level string, document_type string, jurisdiction string, text string, vector_score double, rank int"
     rows = [("c2", "Section 9", "Notes", "Notes", None, None, "india", "other words", 0.70, 1),
