@@ -134,6 +134,17 @@ def test_dedup_picks_rows_without_moving_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_python_gets_few_texts_at_once(spark, monkeypatch):
+    seen, run = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or run(self, *a, **b))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame(_pack_rows(1, 30), "query_id long, area_ix int, position int, chunk_id string, text string")
+    kept = R.dedup_near(df)
+    assert seen and max(seen) <= 1000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    # what Python does has been done: no text meets it under the session's own setting
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == len({(r[0], r[1], r[4]) for r in df.collect()})
+
+
 def test_better_chunk_ranks_first(spark):
     cols = "chunk_id string, provision string, title string, source_authority string, authority_level string, document_type string, jurisdiction string, text string, vector_score double, rank int"
     rows = [("c2", "Section 9", "Notes", "Notes", None, None, "india", "other words", 0.70, 1),
