@@ -45,7 +45,7 @@ LONGEST = 4
 TOP = 2000
 SCALE = 2_000_000
 SHARD_BYTES = 1 << 21
-GROUP = 1 << 21
+GROUP = 1 << 19
 LEAST_QUOTIENT_BITS = 8
 
 #: Bytes that end a piece, and all bytes that end a word.
@@ -92,17 +92,30 @@ def _shard(batch: pa.RecordBatch, shard: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([codes.tobytes()], pa.binary()), lists], ["shard", "codes", "entries"])
 
 
+def _stretches(batches):
+    """Batches of any size as batches of about ``SHARD_BYTES`` of text; a longer text is one of its own."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in pieces(batch, size=SHARD_BYTES):
+            more = pc.sum(pc.binary_length(column(piece, "text"))).as_py() or 0
+            if held and size + more > SHARD_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(piece)
+            size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shards(docs: DataFrame) -> DataFrame:
     """One row for each stretch of about ``SHARD_BYTES`` of text: its dictionary, and its words as numbers of it."""
 
     def run(batches):
-        base, k = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for piece in pieces(batch, size=SHARD_BYTES):
-                yield _shard(piece, base + k)
-                k += 1
+        base = TaskContext.get().partitionId() << 32
+        for k, rows in enumerate(_stretches(batches)):
+            yield _shard(rows, base + k)
 
-    small_batches(docs.sparkSession, 5000)
+    small_batches(docs.sparkSession)  # a batch may be many times a shard otherwise
     return docs.select(F.col("lang").cast("string"), "text").mapInArrow(run, _SHARD)
 
 
@@ -158,7 +171,7 @@ def word_states(parts: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
                 seq = table[codes]
                 yield pa.RecordBatch.from_pydict({"shard": column(one, "shard"), "prefix": pa.array([_bytes(seq[_squeezed(seq)], kind)], pa.binary()), "last": pa.array([None], pa.binary())})
 
-    small_batches(parts.sparkSession, 8)
+    small_batches(parts.sparkSession, 1)
     return staged(parts.select("shard", "codes").join(maps, "shard").mapInArrow(run, _STATE))
 
 
@@ -218,19 +231,18 @@ def merged(messages: DataFrame, layout: Layout, min_count: int) -> DataFrame:
         counters = _flat(table.column("counters")).view(COUNTER)
         sizes = pc.binary_length(table.column("remainders")).to_numpy() // layout.width
         run_r, run_c = merge(remainders, counters)
+        del counters
         often = run_c >= min_count
         run_r, run_c = run_r[often], run_c[often]
         ids = np.arange(len(run_r), dtype=np.int64) * quotients + quotient + 1
         keys = layout.whole(quotient, run_r)
         rows = {"shard": [None], "keys": [_bytes(keys, "<u8")], "ids": [_bytes(ids, "<u8")], "counts": [_bytes(run_c, "<u8")]}
         if len(run_r):
-            where = np.minimum(np.searchsorted(run_r, remainders), len(run_r) - 1)
-            hit = run_r[where] == remainders
-            owner = np.repeat(np.arange(len(sizes)), sizes)[hit]
-            where = where[hit]
-            edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
             for k, shard in enumerate(table.column("shard").to_pylist()):
-                mine = where[edges[k] : edges[k + 1]]
+                own = remainders[ends[k] : ends[k + 1]]  # sorted, as the run is
+                mine = np.minimum(np.searchsorted(run_r, own), len(run_r) - 1)
+                mine = mine[run_r[mine] == own]
                 if len(mine):
                     for name, value in (("shard", shard), ("keys", _bytes(keys[mine], "<u8")), ("ids", _bytes(ids[mine], "<u8")), ("counts", None)):
                         rows[name].append(value)
@@ -274,7 +286,7 @@ def advanced(states: DataFrame, found: DataFrame, prefix_kind: str, kind: str, n
                 ends = last[np.minimum(kept + 1, len(last) - 1)]
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard]), "prefix": pa.array([_bytes(seq[kept], kind)], pa.binary()), "last": pa.array([_bytes(ends, word_kind)], pa.binary())})
 
-    small_batches(states.sparkSession, 8)
+    small_batches(states.sparkSession, 1)
     return staged(states.join(back, "shard").mapInArrow(run, _STATE))
 
 

@@ -100,3 +100,22 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 def test_nothing_frequent(spark, no_docs, docs):
     assert m.op13(no_docs).collect() == []
     assert m.op13(docs.limit(3)).collect() == []
+
+
+def test_python_gets_few_shards_at_once(spark, monkeypatch):
+    frame, seen = type(spark.range(0)), []
+    run, many = frame.mapInArrow, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **b: seen.append((f.__qualname__.split(".")[0], int(spark.conf.get(many)))) or run(self, f, schema, *a, **b))
+    docs = spark.createDataFrame([("en", "one two three four. " * 20)] * 40, "lang string, text string").coalesce(1)
+    every, totals = m.counted(docs)
+    assert {tuple(r["words"]): r["a"] for r in every.collect()}["one", "two", "three", "four"] == 800
+    limits = {name: max(n for x, n in seen if x == name) for name, _ in seen}
+    assert limits["shards"] <= 500 and limits["word_states"] == limits["advanced"] == 1
+
+
+def test_small_batches_fill_a_shard():
+    batch = m.pa.RecordBatch.from_pydict({"lang": ["en"] * 10 + [None], "text": ["x" * 1000] * 9 + [None, "y" * (3 << 20)]})
+    sizes = [[len(t or "") for t in b["text"].to_pylist()] for b in m._stretches([batch] * 300)]
+    assert sum(map(len, sizes)) == 3300 and [3 << 20] in sizes
+    plain = [sum(x) for x in [[len(t or "") for t in b["text"].to_pylist()] for b in m._stretches([batch.slice(0, 10)] * 1000)]]
+    assert sum(plain) == 9_000_000 and max(plain) <= m.SHARD_BYTES and len(plain) == 5
