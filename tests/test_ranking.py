@@ -145,6 +145,19 @@ def test_python_gets_few_texts_at_once(spark, monkeypatch):
     assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == len({(r[0], r[1], r[4]) for r in df.collect()})
 
 
+def test_questions_are_read_once_each(spark):
+    packs = spark.range(20).selectExpr(
+        "0L AS query_id", "0 AS area_ix", "concat('c', id) AS chunk_id", "'Section 3' AS provision", "'Patents Act' AS title", "'Act' AS source_authority", "'1' AS authority_level",
+        "'act' AS document_type", "'india' AS jurisdiction", "'patent' AS legal_area", "concat('text ', id) AS text", "0.5D AS vector_score", "CAST(id AS INT) AS rank")
+    subs = spark.createDataFrame([(0, 0, "patent", "about patent", "is it a patent under section 3", "india", None)],
+                                 "query_id long, area_ix int, legal_area string, query_text string, query string, jurisdiction string, product_category string")
+    out = R.rerank(packs, subs, small=True)
+    assert {(r["s_citation"], r["effective_query"]) for r in out.collect()} == {(1.0, "is it a patent under section 3 - about patent")}
+    # the locators of a question are searched below the join with its candidates
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.index("Join") < plan.index("regexp_extract_all")
+
+
 def test_better_chunk_ranks_first(spark):
     cols = "chunk_id string, provision string, title string, source_authority string, authority_level string, document_type string, jurisdiction string, text string, vector_score double, rank int"
     rows = [("c2", "Section 9", "Notes", "Notes", None, None, "india", "other words", 0.70, 1),
