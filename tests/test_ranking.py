@@ -135,12 +135,18 @@ def test_dedup_picks_rows_without_moving_texts(spark):
 
 
 def test_python_gets_few_texts_at_once(spark, monkeypatch):
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own, cleaned = spark.conf.get(clean, None), []
     seen, run = [], type(spark.range(0)).mapInArrow
+    write = R.greedy_by_containment.__globals__["_filter"]
+    monkeypatch.setitem(R.greedy_by_containment.__globals__, "_filter", lambda anchors: cleaned.append(spark.conf.get(clean)) or write(anchors))
     monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or run(self, *a, **b))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = spark.createDataFrame(_pack_rows(1, 30), "query_id long, area_ix int, position int, chunk_id string, text string")
     kept = R.dedup_near(df)
     assert seen and max(seen) <= 1000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    # what a step has shuffled goes with it
+    assert cleaned == ["true"] and spark.conf.get(clean, None) == own
     # what Python does has been done: no text meets it under the session's own setting
     assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == len({(r[0], r[1], r[4]) for r in df.collect()})
 
